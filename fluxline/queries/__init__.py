@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("temporal",)
+SUBJECTS = ("temporal", "quality", "labels")
 
 
 def load():
