@@ -14,48 +14,72 @@ from fluxline.sources.archive import in_coverage
 from fluxline.sources.corpus import Corpus
 
 
-def packets(spark, sf_dir):
-    """Events as packets with a parameter map, some of them faulty.
+def _readings():
+    """Parameter columns of a view (field) and of a purchase (plasma) event.
 
-    Views carry a field, purchases plasma; other events have no instrument.
     Every k = 7 has a fill value, every k = 20 a bad quality flag.
     """
     v, k = F.col("value"), F.col("k")
-
-    def text(c):
-        return c.cast("string")
-
+    fill = F.lit(C.FILL_VALUE)
     field = {
-        "data_type": F.lit("magnetic"),
-        "bx_gse_nt": F.when(k == 7, text(F.lit(C.FILL_VALUE))).otherwise(text(v / 4)),
-        "by_gse_nt": text(v / 2),
-        "bz_gse_nt": text(v - 60),
-        "bt_nt": text(v * 2),
+        "bx_gse_nt": F.when(k == 7, fill).otherwise(v / 4),
+        "by_gse_nt": v / 2,
+        "bz_gse_nt": v - 60,
+        "bt_nt": v * 2,
     }
     plasma = {
-        "data_type": F.lit("plasma"),
-        "proton_density_n_cc": text(v),
-        "bulk_speed_km_s": F.when(k == 7, text(F.lit(C.FILL_VALUE))).otherwise(text(v + 300)),
-        "ion_temperature_k": text(v * 1000),
-        "vx_gse_km_s": text(-v),
-        "vy_gse_km_s": text(v / 8),
-        "vz_gse_km_s": text(v / 16),
-        "thermal_speed_km_s": text(v / 3),
-        "data_quality_flag": F.when(k == 20, "1").otherwise("0"),
+        "proton_density_n_cc": v,
+        "bulk_speed_km_s": F.when(k == 7, fill).otherwise(v + 300),
+        "ion_temperature_k": v * 1000,
+        "vx_gse_km_s": -v,
+        "vy_gse_km_s": v / 8,
+        "vz_gse_km_s": v / 16,
+        "thermal_speed_km_s": v / 3,
+        "data_quality_flag": F.when(k == 20, 1.0).otherwise(0.0),
     }
+    return field, plasma
 
-    def as_map(d):
-        return F.create_map(*[x for n, c in d.items() for x in (F.lit(n), c)])
 
-    kind = F.col("event_type")
-    return events(spark, sf_dir).select(
+def _envelope():
+    return [
         F.col("event_id").cast("string").alias("packet_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.concat(F.lit("craft-"), F.col("user_id").cast("string")).alias("spacecraft_id"),
         F.pmod("k", F.lit(2)).cast("int").alias("apid"),
         F.pmod("event_id", F.lit(C.SEQUENCE_MODULO)).cast("int").alias("sequence_count"),
         F.lit("events").alias("source"),
-        F.when(kind == "view", as_map(field)).when(kind == "purchase", as_map(plasma))
+    ]
+
+
+def typed_packets(spark, sf_dir):
+    """Events as packets with typed columns, as the archive readers give them."""
+    field, plasma = _readings()
+    kind = F.col("event_type")
+    return events(spark, sf_dir).select(
+        *_envelope(),
+        F.lit("events").alias("archive_dataset"),
+        F.lit("definitive").alias("data_level"),
+        F.when(kind == "view", "mag").when(kind == "purchase", "plasma").alias("instrument"),
+        *[F.when(kind == "view", c).alias(n) for n, c in field.items()],
+        *[F.when(kind == "purchase", c).alias(n) for n, c in plasma.items()],
+    )
+
+
+def map_packets(spark, sf_dir):
+    """Events as packets with a parameter map of texts."""
+    field, plasma = _readings()
+    kind = F.col("event_type")
+
+    def as_map(tag, d):
+        pairs = [F.lit("data_type"), F.lit(tag)]
+        for n, c in d.items():
+            pairs += [F.lit(n), c.cast("string")]
+        return F.create_map(*pairs)
+
+    return events(spark, sf_dir).select(
+        *_envelope(),
+        F.when(kind == "view", as_map("magnetic", field))
+        .when(kind == "purchase", as_map("plasma", plasma))
         .otherwise(F.create_map(F.lit("data_type"), kind)).alias("parameters"),
     )
 
@@ -81,14 +105,14 @@ SELECT instrument, count(*) AS rows_seen,
   round(count(*) FILTER (WHERE drop_reason IS NOT NULL) / count(*), 6) AS drop_rate
 FROM {_JUDGED} WHERE instrument IS NOT NULL GROUP BY 1""")
 def packet_gate_report(spark, sf_dir):
-    judged = gates.judge(gates.promote(packets(spark, sf_dir)))
+    judged = gates.judge(typed_packets(spark, sf_dir))
     return rounded(gates.gate_report(judged), "drop_rate")
 
 
 @query("packet_gate_reasons", f"""
 SELECT CAST(event_id AS VARCHAR) AS packet_id, instrument, drop_reason FROM {_JUDGED}""")
 def packet_gate_reasons(spark, sf_dir):
-    return gates.judge(gates.promote(packets(spark, sf_dir))).select(
+    return gates.judge(gates.promote(map_packets(spark, sf_dir))).select(
         "packet_id", "instrument", "drop_reason")
 
 
@@ -97,7 +121,7 @@ SELECT CAST(event_id AS VARCHAR) AS packet_id, value AS proton_density_n_cc,
   value + 300 AS bulk_speed_km_s, -value AS vx_gse_km_s, 0.0::DOUBLE AS data_quality_flag
 FROM {_JUDGED} WHERE instrument = 'plasma' AND drop_reason IS NULL""")
 def plasma_table(spark, sf_dir):
-    judged = gates.judge(gates.promote(packets(spark, sf_dir)))
+    judged = gates.judge(typed_packets(spark, sf_dir))
     return gates.instrument_rows(judged, "plasma").select(
         "packet_id", "proton_density_n_cc", "bulk_speed_km_s", "vx_gse_km_s", "data_quality_flag")
 
@@ -111,7 +135,7 @@ SELECT instrument, drop_reason, count(*) AS n FROM (SELECT instrument, CASE
   FROM {_JUDGED}) GROUP BY ALL""")
 def ungated_rows(spark, sf_dir):
     """Fill and flag gates off: fill values now fall to the plausibility gate."""
-    judged = gates.judge(gates.promote(packets(spark, sf_dir)), fill=False, flag=False)
+    judged = gates.judge(typed_packets(spark, sf_dir), fill=False, flag=False)
     return judged.groupBy("instrument", "drop_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -231,7 +255,7 @@ WHERE instrument IS NOT NULL AND drop_reason IS NULL GROUP BY ALL""")
 def corpus_round_trip(spark, sf_dir):
     """Gated packets written twice as a corpus and read back by day."""
     corpus = Corpus(spark, scratch_path(spark, "corpus"))
-    judged = gates.judge(gates.promote(packets(spark, sf_dir)))
+    judged = gates.judge(typed_packets(spark, sf_dir))
     corpus.write(judged)
     corpus.write(judged)
     both = corpus.table("mag").withColumn("instrument", F.lit("mag")).unionByName(
@@ -245,7 +269,7 @@ WHERE instrument = 'mag' AND drop_reason IS NULL
   AND ts BETWEEN TIMESTAMP '2024-01-10 12:00:00' AND TIMESTAMP '2024-01-12 06:00:00'""")
 def corpus_window(spark, sf_dir):
     corpus = Corpus(spark, scratch_path(spark, "corpus"))
-    corpus.write(gates.judge(gates.promote(packets(spark, sf_dir))))
+    corpus.write(gates.judge(typed_packets(spark, sf_dir)))
     return corpus.between("mag", "2024-01-10 12:00:00", "2024-01-12 06:00:00").select(
         "packet_id", "bz_gse_nt")
 
@@ -258,7 +282,7 @@ FROM {_JUDGED} WHERE instrument = 'mag'""")
 def corpus_cleanup(spark, sf_dir):
     """An ungated corpus cleaned in place; counts before and after."""
     corpus = Corpus(spark, scratch_path(spark, "corpus"))
-    corpus.write(gates.judge(gates.promote(packets(spark, sf_dir)), fill=False, plausibility=False))
+    corpus.write(gates.judge(typed_packets(spark, sf_dir), fill=False, plausibility=False))
     report = corpus.clean("mag", dry_run=False)
     before = report.agg(F.sum("rows").alias("rows"), F.sum("out_of_bounds").alias("out_of_bounds"))
     after = corpus.table("mag").agg(F.count(F.lit(1)).alias("left_over"))
@@ -272,8 +296,7 @@ def validation_verdict(spark, sf_dir):
     """All corpus checks on the gated packets; stored |B| is made up, so the
     consistency check must fail."""
     corpus = Corpus(spark, scratch_path(spark, "corpus"))
-    narrow = packets(spark, sf_dir)
-    judged = gates.judge(gates.promote(narrow))
+    judged = gates.judge(typed_packets(spark, sf_dir))
     # Keep the field within the read-side bounds, which are narrower.
     judged = judged.filter(F.col("bt_nt").isNull() | (F.col("bt_nt") <= 200))
     corpus.write(judged)
@@ -338,7 +361,7 @@ SELECT instrument, count(*) AS rows_seen, count(*) FILTER (WHERE drop_reason IS
 FROM {_JUDGED} WHERE instrument IS NOT NULL GROUP BY 1""")
 def gate_totals(spark, sf_dir):
     """Reports of two batches summed up."""
-    judged = gates.judge(gates.promote(packets(spark, sf_dir)))
+    judged = gates.judge(typed_packets(spark, sf_dir))
     even = F.col("sequence_count") % 2 == 0
     reports = gates.gate_report(judged.filter(even)).unionByName(
         gates.gate_report(judged.filter(~even)))
