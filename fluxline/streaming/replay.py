@@ -1,0 +1,41 @@
+"""Replaying a corpus in time order, one day at a time."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fluxline.operators.ordered import position
+from fluxline.operators.slices import measured
+from fluxline.sources.corpus import PARTS, Corpus
+
+
+def replay(
+    corpus: Corpus,
+    name: str,
+    consumer: Callable[[DataFrame], None],
+    from_index: int = 0,
+) -> int:
+    """Calls ``consumer`` with each day's rows, which carry their ``index`` in
+    the whole table; rows before ``from_index`` are left out.
+
+    Only one row count per day comes to the driver. Returns the rows played.
+    """
+    rows = corpus.table(name)
+    days = rows.groupBy(*PARTS).count().orderBy(*PARTS).collect()
+    before = played = 0
+    for d in days:
+        if before + d["count"] > from_index:
+            day = rows.filter(
+                (F.col("year") == d.year) & (F.col("month") == d.month) & (F.col("day") == d.day))
+            order = ["timestamp", "packet_id"]
+            numbered = position(day, order, slices=measured(day, order), name="__i",
+                                total="__n", first="__f", last="__l")
+            numbered = numbered.withColumn("index", F.col("__i") + before).drop(
+                "__i", "__n", "__f", "__l")
+            consumer(numbered.filter(F.col("index") >= from_index))
+            played += before + d["count"] - max(before, from_index)
+        before += d["count"]
+    return played
