@@ -88,20 +88,22 @@ def asof_join(
         number = slices.number("__t", "__spread")
     stream = stream.withColumn("__slice", number)
     if slices.split:
+        # What each (key, slice) with left rows must know of the slices before.
         best = (F.max if back else F.min)("__r")
-        per_slice = Window.partitionBy(*keys).orderBy(
-            F.col("__slice").asc() if back else F.col("__slice").desc()
-        )
-        heads = stream.groupBy(*keys, "__slice").agg(best.alias("__best")).select(
-            *keys,
-            "__slice",
-            F.last("__best", ignorenulls=True)
-            .over(per_slice.rowsBetween(_BEFORE, -1))
-            .alias("__r"),
+        number_order = F.col("__slice").asc() if back else F.col("__slice").desc()
+        earlier = Window.partitionBy(*keys).orderBy(number_order).rangeBetween(_BEFORE, -1)
+        asks = stream.filter(F.col("__l").isNotNull()).select(*keys, "__slice").distinct()
+        knows = stream.filter(F.col("__r").isNotNull()).groupBy(*keys, "__slice").agg(
+            best.alias("__best"))
+        heads = (
+            asks.withColumn("__ask", F.lit(True))
+            .unionByName(knows, allowMissingColumns=True)
+            .withColumn("__r", F.last("__best", ignorenulls=True).over(earlier))
+            .filter("__ask")
+            .select(*keys, "__slice", "__r", F.lit(1).alias("__head"))
         )
         stream = stream.withColumn("__head", F.lit(0)).unionByName(
-            heads.withColumn("__head", F.lit(1)), allowMissingColumns=True
-        )
+            heads, allowMissingColumns=True)
     else:
         stream = stream.withColumn("__head", F.lit(0))
 

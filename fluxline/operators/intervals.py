@@ -76,30 +76,83 @@ def interval_flag(
     return joined.withColumn(flag, F.col(marker).isNotNull())
 
 
+# Bucket widths in microseconds, each a divisor of the one before.
+LADDER = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 10_000, 100, 1)
+
+
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _nodes(first: Column, past: Column, level: int, widths: Sequence[int]) -> Column:
+    """Buckets of a level inside [first, past) that no wider bucket covers."""
+    w = widths[level]
+
+    def up(c: Column, width: int) -> Column:
+        return -F.floor(-c / width)
+
+    def run(lo: Column, hi: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.when(lo < hi, F.sequence(lo, F.greatest(lo, hi - 1))).otherwise(none)
+
+    lo, hi = up(first, w), F.floor(past / w)
+    if level == 0:
+        return run(lo, hi)
+    wide = widths[level - 1]
+    ratio = wide // w
+    wlo, whi = up(first, wide), F.floor(past / wide)
+    covered = wlo < whi
+    return F.when(
+        covered, F.concat(run(lo, wlo * ratio), run(whi * ratio, hi))
+    ).otherwise(run(lo, hi))
+
+
 def interval_best(
     points: DataFrame,
     intervals: DataFrame,
     ts: str,
     start: str,
     end: str,
-    point_key: Sequence[str],
     rank: Sequence[str],
-    bucket_seconds: int = BUCKET_SECONDS,
+    grid_seconds: int | None = None,
 ) -> DataFrame:
-    """Each point once, with the covering interval lowest in ``rank``.
-
-    NULL ranks last; ``point_key`` identifies a point. The reduction is an
-    aggregate with map-side combine, not a window.
+    """Each point once, with the covering interval lowest in ``rank`` (NULL
+    last), or NULLs.
+
+    Each interval is laid out as the fewest buckets of a ladder of widths that
+    exactly tile it, and each bucket keeps only its best interval. A point then
+    finds at most one row per rung, so the work is linear however many
+    intervals overlap, and points are neither multiplied nor regrouped.
+    ``grid_seconds`` says that points lie on multiples of it, which needs only
+    the rungs that are at least as wide.
     """
     take = intervals.columns
-    joined = interval_join(points, intervals, ts, start, end, how="left",
-                           bucket_seconds=bucket_seconds)
+    first = _micros(F.col(start))
+    past = _micros(F.col(end)) + 1
+    widths = LADDER
+    if grid_seconds is not None:
+        step = grid_seconds * 1_000_000
+        if step not in LADDER:
+            raise ValueError("grid_seconds must be a rung of the ladder")
+        widths = LADDER[: LADDER.index(step) + 1]
+        # Tighten to the grid points the interval covers.
+        first = -F.floor(-first / step) * step
+        past = (F.floor((past - 1) / step) + 1) * step
     place = F.struct(
         *[x for c in rank for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(c))]
     )
-    covered = F.when(F.col(start).isNotNull(), F.struct(place.alias("place"), F.struct(*take).alias("row")))
-    rest = [c for c in points.columns if c not in point_key]
-    best = joined.groupBy(*point_key).agg(
-        *[F.first(c).alias(c) for c in rest], F.min(covered).alias("__best")
-    )
-    return best.select(*points.columns, *[F.col(f"__best.row.{c}").alias(c) for c in take])
+    spans = intervals.filter(F.col(start) <= F.col(end)).select(
+        first.cast("bigint").alias("__first"), past.cast("bigint").alias("__past"),
+        F.struct(place.alias("place"), F.struct(*take).alias("row")).alias("__row"))
+    out = points.withColumn("__at", _micros(F.col(ts)))
+    found = []
+    for level, w in enumerate(widths):
+        node = F.explode(_nodes(F.col("__first"), F.col("__past"), level, widths))
+        best = spans.select(node.alias(f"__n{level}"), "__row").groupBy(f"__n{level}").agg(
+            F.min("__row").alias(f"__b{level}"))
+        out = out.withColumn(f"__n{level}", F.floor(F.col("__at") / w).cast("bigint")).join(
+            best, f"__n{level}", "left")
+        found.append(F.col(f"__b{level}"))
+    top = found[0] if len(found) == 1 else F.least(*found)
+    return out.withColumn("__best", top).select(
+        *points.columns, *[F.col(f"__best.row.{c}").alias(c) for c in take])

@@ -20,7 +20,7 @@ Two ways to cut:
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,6 @@ class Slices:
     cuts: tuple[tuple[str, ...], ...] = ()
     types: tuple[str, ...] = ()
     width_seconds: int | None = None
-    names: tuple[str, ...] = field(default=())
 
     @property
     def split(self) -> bool:
@@ -106,7 +105,7 @@ def measured(
         .select(*[F.col(c).cast("string") for c in order])
         .collect()
     )
-    step = max(1, len(picked) // (wanted + 1))
-    cuts = tuple(dict.fromkeys(tuple(r) for r in picked[step::step]))
+    at = [len(picked) * (i + 1) // (wanted + 1) for i in range(wanted)]
+    cuts = tuple(dict.fromkeys(tuple(picked[i]) for i in at if i < len(picked)))
     types = tuple(keys.schema[c].dataType.simpleString() for c in order)
-    return Slices(cuts=cuts, types=types, names=tuple(order))
+    return Slices(cuts=cuts, types=types)

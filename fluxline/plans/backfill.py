@@ -13,9 +13,10 @@ def days(spark: SparkSession, start: str, end: str) -> DataFrame:
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     one = F.expr("INTERVAL 1 DAY")
     base = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).filter(lo < hi)
+    first = F.date_trunc("day", "lo")
+    last = F.greatest(first, F.col("hi") - F.expr("INTERVAL 1 MICROSECOND"))
     return base.select(
-        "lo", "hi",
-        F.explode(F.sequence(F.date_trunc("day", "lo"), F.col("hi") - F.expr("INTERVAL 1 MICROSECOND"), one)).alias("d"),
+        "lo", "hi", F.explode(F.sequence(first, last, one)).alias("d"),
     ).select(
         F.to_date("d").alias("day"),
         F.greatest("d", "lo").alias("day_start"),

@@ -63,7 +63,7 @@ def feature_matrix(
     labelled = interval_best(
         labelled,
         intervals.select("source_row", "icme_start", "icme_end", "mc_flag", "dst_min_nt"),
-        "__ts", "icme_start", "icme_end", point_key=["__ts"], rank=["dst_min_nt", "source_row"],
+        "__ts", "icme_start", "icme_end", rank=["dst_min_nt", "source_row"], grid_seconds=step,
     )
     m = resample(mag, ts, cadence, mag_features(F.col("bz_gse_nt"), F.col("bt_nt")), "__ts")
     p = resample(

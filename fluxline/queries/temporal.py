@@ -176,7 +176,7 @@ QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY i.dst_min_nt ASC NUL
 def interval_top(spark, sf_dir):
     points = events(spark, sf_dir).select("event_id", "ts")
     return interval_best(points, interval_rows(spark, sf_dir), "ts", "icme_start", "icme_end",
-                         ["event_id"], ["dst_min_nt", "source_row"]) \
+                         ["dst_min_nt", "source_row"]) \
         .select("event_id", "ts", "source_row", "dst_min_nt", "mc_flag")
 
 
