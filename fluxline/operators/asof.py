@@ -1,9 +1,14 @@
 """As-of join: for each left row the nearest right row in time.
 
-Left and right rows are laid into one ordered stream and the last right row
-seen is carried along, so the work is linear: no pair of rows is ever formed.
-The stream is cut into slices (see ``slices``), so neither a hot key nor a
-missing key puts the stream into one task.
+Two ways, chosen by a count of the right side:
+
+* A small right side (a label series) becomes a lookup table of short sorted
+  arrays, which is broadcast; left rows are neither shuffled nor sorted.
+* Otherwise left and right rows are laid into one ordered stream and the last
+  right row seen is carried along. The stream is cut into slices (see
+  ``slices``), so neither a hot key nor a missing key puts it into one task.
+
+Both are linear: no pairs of rows are formed.
 """
 
 from __future__ import annotations
@@ -22,6 +27,11 @@ from fluxline.operators.slices import (
 
 _BEFORE = Window.unboundedPreceding
 
+# Right sides up to this size are broadcast as a lookup table.
+LOOKUP_ROWS = 200_000
+LOOKUP_TEXT_BYTES = 16_000_000
+_UNROLLED = 12
+
 
 def asof_join(
     left: DataFrame,
@@ -36,6 +46,7 @@ def asof_join(
     how: str = "left",
     slices: Slices | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
+    lookup_rows: int = LOOKUP_ROWS,
 ) -> DataFrame:
     """Left rows with the columns ``take`` of the matching right row.
 
@@ -44,7 +55,8 @@ def asof_join(
     greatest (backward) or smallest (forward) ``tie`` wins. ``tolerance`` is an
     interval text such as ``"2 hours"``. ``how="inner"`` keeps matches only.
     Rows with a NULL time or key never match. ``take`` names must not clash
-    with left columns.
+    with left columns. Fixed ``slices`` keep the plan lazy and always use the
+    ordered stream; otherwise the right side is counted first.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, got {direction!r}")
@@ -53,6 +65,131 @@ def asof_join(
     back = direction == "backward"
     take = [c for c in (take or right.columns) if c not in by]
 
+    live = F.col(right_on).isNotNull()
+    for k in by:
+        live = live & F.col(k).isNotNull()
+    right = right.filter(live)
+    if slices is None:
+        size = _measure(right, right_on, [*by, *tie, *take])
+        if size["rows"] <= lookup_rows and size["text"] <= LOOKUP_TEXT_BYTES:
+            return _lookup(left, right, left_on, right_on, by, take, tie, back, tolerance, how, size)
+    return _stream(left, right, left_on, right_on, by, take, tie, back, tolerance, how, slices,
+                   rows_per_slice)
+
+
+def _entry(right_on: str, tie: Sequence[str], take: Sequence[str]):
+    """A right row as one value that sorts by time and then tie."""
+    return F.struct(
+        F.col(right_on).alias("at"),
+        F.struct(*([F.col(c) for c in tie] or [F.lit(0)])).alias("tie"),
+        F.struct(*take).alias("row"),
+    )
+
+
+def _within(at, t, back: bool, tolerance: str | None):
+    if tolerance is None:
+        return F.lit(True)
+    step = F.expr(f"INTERVAL {tolerance}")
+    return (at + step >= t) if back else (at - step <= t)
+
+
+# -- small right side -----------------------------------------------------
+
+
+def _measure(right: DataFrame, right_on: str, columns: Sequence[str]) -> dict:
+    """Rows, time range and bytes of variable-length columns of the right side."""
+    fixed = ("string", "binary", "array", "map", "struct", "variant")
+    loose = [c for c in dict.fromkeys(columns)
+             if right.schema[c].dataType.simpleString().startswith(fixed)]
+    text = F.lit(0)
+    for c in loose:
+        text = text + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    micros = F.unix_micros(F.col(right_on).cast("timestamp"))
+    row = right.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("text"),
+        F.min(micros).alias("lo"), F.max(micros).alias("hi"),
+    ).first()
+    return row.asDict()
+
+
+def _lookup(left, right, left_on, right_on, by, take, tie, back, tolerance, how, size) -> DataFrame:
+    """Broadcast arrays of right rows, one per key, or per time bucket if there
+    is no key. The arrays together hold at most the counted rows (and one
+    carried row per bucket)."""
+    keys = [f"__k{i}" for i in range(len(by))]
+    entry = _entry(right_on, tie, take)
+    t = F.col(left_on)
+
+    def bucket(ts):
+        micros = F.unix_micros(ts.cast("timestamp"))
+        at = F.floor((micros - size["lo"]) / width).cast("bigint")
+        # Times outside the right side's range use its first or last bucket.
+        return F.least(F.greatest(at, F.lit(0)), F.lit(last)).cast("bigint")
+
+    rows = right.select(*[F.col(k).alias(n) for k, n in zip(by, keys)], right_on, entry.alias("__e"))
+    if by:
+        arrays = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("__e")).alias("__a"))
+        longest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        placed = left.withColumns({n: F.col(k) for k, n in zip(by, keys)})
+        on = keys
+    else:
+        span = (size["hi"] or 0) - (size["lo"] or 0) + 1
+        width = max(1, span // max(1, size["rows"]))
+        last = (span - 1) // width
+        rows = rows.select(bucket(F.col(right_on)).alias("__b"), "__e")
+        own = rows.groupBy("__b").agg(F.array_sort(F.collect_list("__e")).alias("__own"))
+        every = left.sparkSession.range(0, last + 1 if size["rows"] else 0).select(
+            F.col("id").alias("__b"))
+        edge = F.element_at("__own", -1 if back else 1)
+        order = F.col("__b").asc() if back else F.col("__b").desc()
+        # At most one row per counted right row: one task can order them.
+        w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(_BEFORE, -1)
+        carried = F.last(edge, ignorenulls=True).over(w)
+        mine = F.coalesce("__own", F.array().cast(own.schema["__own"].dataType))
+        carry = F.when(F.col("__c").isNotNull(), F.array("__c")).otherwise(
+            F.array().cast(own.schema["__own"].dataType))
+        arrays = every.join(own, "__b", "left").withColumn("__c", carried).select(
+            "__b", (F.concat(carry, mine) if back else F.concat(mine, carry)).alias("__a"))
+        longest = (rows.groupBy("__b").count().agg(F.max("count")).first()[0] or 0) + 1
+        placed = left.withColumn("__b", bucket(t))
+        on = ["__b"]
+
+    joined = placed.join(F.broadcast(arrays), on, "left")
+    a = F.col("__a")
+    if longest <= _UNROLLED:
+        # Few entries: a chain of comparisons, which stays in generated code.
+        order = reversed(range(longest)) if back else range(longest)
+        best = F.lit(None)
+        picks = []
+        for i in order:
+            e = F.get(a, F.lit(i))
+            picks.append(F.when((e["at"] <= t) if back else (e["at"] >= t), e))
+        best = F.coalesce(*picks) if picks else F.lit(None)
+    else:
+        jumps = F.array(*[F.lit(1 << b) for b in reversed(range(longest.bit_length()))])
+
+        def passed(x):  # entries that lie before the wanted one
+            return (x["at"] <= t) if back else (x["at"] < t)
+
+        index = F.aggregate(
+            jumps, F.lit(0),
+            lambda at, jump: F.when(passed(F.get(a, at + jump - 1)), at + jump).otherwise(at))
+        best = F.get(a, index - 1) if back else F.get(a, index)
+    found = joined.withColumn("__m", best)
+    hit = F.col("__m").isNotNull() & t.isNotNull() & _within(F.col("__m.at"), t, back, tolerance)
+    found = found.withColumn("__hit", F.coalesce(hit, F.lit(False)))
+    if how == "inner":
+        found = found.filter("__hit")
+    return found.select(
+        *left.columns,
+        *[F.when(F.col("__hit"), F.col(f"__m.row.{c}")).alias(c) for c in take])
+
+
+# -- any right side -------------------------------------------------------
+
+
+def _stream(left, right, left_on, right_on, by, take, tie, back, tolerance, how, slices,
+            rows_per_slice) -> DataFrame:
     # A left row's match depends on its time alone, so left rows of one time
     # may be told apart by a hash and land in different slices. Right rows of
     # that time come ahead of them all.
@@ -64,18 +201,11 @@ def asof_join(
         spread.alias("__spread"),
         F.struct(*left.columns).alias("__l"),
     )
-    live = F.col(right_on).isNotNull()
-    for k in by:
-        live = live & F.col(k).isNotNull()
-    rrows = right.filter(live).select(
+    rrows = right.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)],
         F.col(right_on).alias("__t"),
         F.lit(far).cast("long").alias("__spread"),
-        F.struct(
-            F.col(right_on).alias("at"),
-            F.struct(*([F.col(c) for c in tie] or [F.lit(0)])).alias("tie"),
-            F.struct(*take).alias("row"),
-        ).alias("__r"),
+        _entry(right_on, tie, take).alias("__r"),
     )
     keys = [f"__k{i}" for i in range(len(by))]
     stream = lrows.unionByName(rrows, allowMissingColumns=True)
@@ -119,10 +249,7 @@ def asof_join(
     hit = F.col("__m").isNotNull() & t.isNotNull()
     for k in keys:
         hit = hit & F.col(k).isNotNull()
-    if tolerance is not None:
-        step = F.expr(f"INTERVAL {tolerance}")
-        at = F.col("__m.at")
-        hit = hit & ((at + step >= t) if back else (at - step <= t))
+    hit = hit & _within(F.col("__m.at"), t, back, tolerance)
     matched = matched.withColumn("__hit", hit)
     if how == "inner":
         matched = matched.filter("__hit")

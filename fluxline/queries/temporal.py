@@ -121,7 +121,7 @@ def asof_global(spark, sf_dir):
     # No key: the stream is cut into slices, here of a size that cuts small data too.
     left = events(spark, sf_dir, "click").select("event_id", "ts")
     return asof_join(left, _purchases(spark, sf_dir).drop("user_id"), "ts", "p_ts",
-                     tie=["p_event_id"], rows_per_slice=500)
+                     tie=["p_event_id"], rows_per_slice=500, lookup_rows=0)
 
 
 @query("asof_within", f"""
@@ -133,7 +133,7 @@ def asof_within(spark, sf_dir):
     left = events(spark, sf_dir, "view").select("event_id", "user_id", "ts")
     return asof_join(left, _purchases(spark, sf_dir).drop("p_value"), "ts", "p_ts",
                      by=["user_id"], tie=["p_event_id"], direction="forward",
-                     tolerance="12 hours", rows_per_slice=500)
+                     tolerance="12 hours", rows_per_slice=500, lookup_rows=0)
 
 
 @query("kp_label_by_row", f"""

@@ -92,8 +92,8 @@ def brute_asof(left, right, back=True, keyed=True, tol=None):
 
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("keyed", [True, False])
-@pytest.mark.parametrize("size", [30, 1_000_000])
-def test_asof_against_brute_force(spark, direction, keyed, size):
+@pytest.mark.parametrize("size,lookup", [(30, 0), (1_000_000, 0), (30, 200_000)])
+def test_asof_against_brute_force(spark, direction, keyed, size, lookup):
     left, right = skewed(300, 5), skewed(150, 9)
     schema = "id bigint, key int, ts timestamp, v double"
     ldf = spark.createDataFrame(left, schema).drop("v")
@@ -102,7 +102,7 @@ def test_asof_against_brute_force(spark, direction, keyed, size):
     if not keyed:
         rdf = rdf.drop("key")
     got = asof_join(ldf, rdf, "ts", "rts", by=["key"] if keyed else [], tie=["rid"],
-                    direction=direction, rows_per_slice=size)
+                    direction=direction, rows_per_slice=size, lookup_rows=lookup)
     pairs = sorted((r.id, -1 if r.rid is None else r.rid) for r in got.collect())
     assert pairs == brute_asof(left, right, direction == "backward", keyed)
 
@@ -128,8 +128,26 @@ def test_asof_null_key_and_time_never_match(spark):
     right = spark.createDataFrame(
         [(None, T0, 7), (1, None, 8), (1, T0, 9)], "key int, rts timestamp, rid int")
     for direction in ("backward", "forward"):
-        got = asof_join(left, right, "ts", "rts", by=["key"], direction=direction)
-        assert {r.id: r.rid for r in got.collect()} == {1: None, 2: None, 3: 9}
+        for lookup in (0, 1000):
+            got = asof_join(left, right, "ts", "rts", by=["key"], direction=direction, lookup_rows=lookup)
+            assert {r.id: r.rid for r in got.collect()} == {1: None, 2: None, 3: 9}
+
+
+def test_asof_lookup_edges(spark):
+    """Regular labels (short arrays), points outside their range, no labels."""
+    labels = [(T0 + timedelta(hours=3 * i), i) for i in range(50)]
+    points = [(i, T0 + timedelta(minutes=37 * i - 200)) for i in range(300)]
+    left = spark.createDataFrame(points, "id int, ts timestamp")
+    right = spark.createDataFrame(labels, "rts timestamp, rid int")
+    for direction in ("backward", "forward"):
+        got = asof_join(left, right, "ts", "rts", take=["rid"], direction=direction)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[0]
+        for r in got.collect():
+            fit = [i for t, i in labels if (t <= r.ts if direction == "backward" else t >= r.ts)]
+            want = None if not fit else (max(fit) if direction == "backward" else min(fit))
+            assert r.rid == want, (direction, r.ts)
+        none = asof_join(left, right.filter("false"), "ts", "rts", take=["rid"], direction=direction)
+        assert none.count() == 300 and none.filter("rid IS NOT NULL").count() == 0
 
 
 def make_intervals(n, seed):
