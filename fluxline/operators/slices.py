@@ -29,12 +29,33 @@ ROWS_PER_SLICE = 1_000_000
 MAX_SLICES = 2_000
 SAMPLE_PER_SLICE = 20
 
+_CELLS_PER_CUT = 4
+_CUTS_PER_CELL = 4
+_TIMES = ("timestamp", "timestamp_ntz", "date")
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _whole(col: Column, kind: str) -> Column:
+    """Order-keeping whole number of the leading order column."""
+    if kind in _TIMES:
+        return F.unix_micros(col.cast("timestamp"))
+    return F.floor(col).cast("bigint")
+
+
+def _longs(values: Sequence[int]) -> Column:
+    """A constant array made from one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
 
 @dataclass(frozen=True)
 class Slices:
-    """How to number the slice of a row from its order columns."""
+    """How to number the slice of a row from its order columns.
 
-    cuts: tuple[tuple[str, ...], ...] = ()
+    A cut is (whole number of the leading column, further order values as
+    text); ``types`` are the types of the order columns.
+    """
+
+    cuts: tuple[tuple, ...] = ()
     types: tuple[str, ...] = ()
     width_seconds: int | None = None
 
@@ -50,22 +71,56 @@ class Slices:
             return F.floor(seconds / self.width_seconds).cast("long")
         if not self.cuts:
             return F.lit(0).cast("long")
-        return self._search(cols)
+        return F.coalesce(self._by_cell(cols), F.lit(0)).cast("long")
+
+    def _by_cell(self, cols: Sequence[Column]) -> Column:
+        """Cells of equal width hold a few cuts each, kept as constant arrays:
+        cuts before the cell plus those of the cell that lie at or before the
+        row. A cell crowded with cuts, or with several at one value, searches
+        the cuts by all order columns instead.
+        """
+        lead = [c[0] for c in self.cuts]
+        low, high = lead[0], lead[-1]
+        cells = len(lead) * _CELLS_PER_CUT
+        width = max(1, (high - low) // cells + 1)
+        cells = (high - low) // width + 1
+        held: list[list[int]] = [[] for _ in range(cells)]
+        for c in lead:
+            held[(c - low) // width].append(c)
+        crowded = [len(h) > _CUTS_PER_CELL or len(set(h)) < len(h) for h in held]
+        before, n = [], 0
+        for h in held:
+            before.append(n)
+            n += len(h)
+
+        v = _whole(cols[0], self.types[0])
+        cell = F.least(F.greatest(F.floor((v - low) / width), F.lit(-1)), F.lit(cells - 1)).cast("int")
+        found = F.get(_longs(before), cell)
+        most = max((len(h) for h, x in zip(held, crowded) if not x), default=0)
+        for j in range(most):
+            nth = _longs([h[j] if j < len(h) and not x else 0 for h, x in zip(held, crowded)])
+            real = _longs([int(j < len(h) and not x) for h, x in zip(held, crowded)])
+            here = (F.get(real, cell) == 1) & (v >= F.get(nth, cell))
+            found = found + F.when(here, 1).otherwise(0)
+        if any(crowded):
+            found = F.when(
+                F.get(_longs([int(x) for x in crowded]), cell) == 1, self._search(cols)
+            ).otherwise(found)
+        return F.when(cell < 0, 0).otherwise(found)
 
     def _search(self, cols: Sequence[Column]) -> Column:
-        # Binary search over the literal cut array: how many cuts are <= row.
+        """Binary search over the whole cuts: how many are <= row."""
+
         def point(values):
             return F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)])
 
-        here = point(cols)
-        cuts = F.array(
-            *[
-                point([F.lit(v).cast(t) for v, t in zip(cut, self.types)])
-                for cut in self.cuts
-            ]
-        )
-        size = len(self.cuts)
-        jumps = [1 << b for b in reversed(range(size.bit_length()))]
+        here = point([_whole(cols[0], self.types[0]), *cols[1 : len(self.types)]])
+        cuts = F.array(*[
+            point([F.lit(cut[0]).cast("bigint"),
+                   *[F.lit(x).cast(t) for x, t in zip(cut[1:], self.types[1:])]])
+            for cut in self.cuts
+        ])
+        jumps = [1 << b for b in reversed(range(len(self.cuts).bit_length()))]
         return F.aggregate(
             F.array(*[F.lit(j) for j in jumps]),
             F.lit(0),
@@ -89,23 +144,31 @@ def measured(
 ) -> Slices:
     """Cuts at the sampled quantiles of ``order``.
 
-    Brings at most about ``SAMPLE_PER_SLICE * max_slices`` sampled order values
-    to the driver, whatever the size of ``df``.
+    The leading order column must be a time or a number. At most about
+    ``SAMPLE_PER_SLICE * max_slices`` sampled values come to the driver,
+    whatever the size of ``df``. Further order columns are only sampled when
+    some value of the leading one is so common that cuts fall together on it.
     """
-    keys = df.select(*order)
-    rows = keys.count()
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    if kinds[0] not in _TIMES + _NUMBERS:
+        raise ValueError(f"cannot cut by {order[0]!r} of type {kinds[0]}")
+    lead = df.select(_whole(F.col(order[0]), kinds[0]).alias("v")).dropna()
+    rows = lead.count()
     wanted = min(max_slices, rows // max(1, rows_per_slice))
     if wanted < 1:
         return WHOLE
     fraction = min(1.0, SAMPLE_PER_SLICE * (wanted + 1) / rows)
-    picked = (
-        keys.dropna()
-        .sample(fraction=fraction, seed=11)
-        .orderBy(*order)
-        .select(*[F.col(c).cast("string") for c in order])
-        .collect()
-    )
-    at = [len(picked) * (i + 1) // (wanted + 1) for i in range(wanted)]
-    cuts = tuple(dict.fromkeys(tuple(picked[i]) for i in at if i < len(picked)))
-    types = tuple(keys.schema[c].dataType.simpleString() for c in order)
-    return Slices(cuts=cuts, types=types)
+
+    def quantiles(found: list) -> list:
+        found = sorted(found)
+        at = [len(found) * (i + 1) // (wanted + 1) for i in range(wanted)]
+        return [found[i] for i in at if i < len(found)]
+
+    cuts = quantiles([(r.v,) for r in lead.sample(fraction=fraction, seed=11).collect()])
+    if len(order) > 1 and len(set(cuts)) < len(cuts):
+        full = df.select(_whole(F.col(order[0]), kinds[0]).alias("v"), *order[1:]).dropna()
+        cuts = quantiles([tuple(r) for r in full.sample(fraction=fraction, seed=11).collect()])
+        cuts = [(c[0], *map(str, c[1:])) for c in cuts]
+    else:
+        kinds = kinds[:1]
+    return Slices(cuts=tuple(dict.fromkeys(cuts)), types=tuple(kinds))

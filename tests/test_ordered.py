@@ -49,12 +49,21 @@ def test_measured_cuts_only_large_inputs(spark, rows):
 
 def test_slice_number_follows_the_order(spark, rows):
     cut = measured(rows, ["ts", "id"], rows_per_slice=40)
-    got = rows.withColumn("s", cut.number("ts", "id")).orderBy("ts", "id").collect()
-    numbers = [r.s for r in got]
-    assert numbers == sorted(numbers)
-    points = [(r.ts, r.id) for r in got]
-    cuts = [(datetime.fromisoformat(t), int(i)) for t, i in cut.cuts]
-    assert numbers == [sum(c <= p for c in cuts) for p in points]
+    assert len(cut.types) == 2  # the common timestamp calls for the second column
+    numbers = [r.s for r in rows.withColumn("s", cut.number("ts", "id")).orderBy("ts", "id").collect()]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and numbers[-1] == len(cut.cuts)
+
+
+def test_slice_number_of_spread_values(spark):
+    df = spark.range(0, 5000).select((F.col("id") * F.col("id") - 7000).alias("v"))
+    cut = measured(df, ["v"], rows_per_slice=50)
+    assert len(cut.cuts) == 100
+    got = df.withColumn("s", cut.number("v")).collect()
+    lead = [c[0] for c in cut.cuts]
+    assert all(r.s == sum(c <= r.v for c in lead) for r in got)
+    assert spark.sql("SELECT cast(NULL AS bigint) AS v").select(cut.number("v").alias("s")).first().s == 0
+    with pytest.raises(ValueError, match="cannot cut"):
+        measured(df.withColumn("v", F.col("v").cast("string")), ["v"])
 
 
 @pytest.mark.parametrize("keys", [["key"], []])
