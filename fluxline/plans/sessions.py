@@ -165,12 +165,24 @@ def fleet_totals(summary: DataFrame, as_of: Column | None = None, status: str |
     })
 
 
-def with_audit_health(totals: DataFrame, intact: bool) -> DataFrame:
-    """System health once the audit state is known: a broken chain degrades."""
-    return totals.withColumn(
-        "system_health",
+def system_status(totals: DataFrame, audit: DataFrame, rule_count: int) -> DataFrame:
+    """One row: health, sessions, audit state, active rules, open criticals.
+
+    ``audit`` is a chain status table (entries, intact), one row per log.
+    """
+    state = audit.agg(
+        F.coalesce(F.sum("entries"), F.lit(0)).alias("audit_entries"),
+        F.coalesce(F.every("intact"), F.lit(True)).alias("audit_intact"),
+    )
+    # Two one-row tables side by side.
+    both = totals.unionByName(state, allowMissingColumns=True)
+    names = ("system_health", "sessions", "packets", "anomalies", "critical_open",
+             "audit_entries", "audit_intact")
+    return both.agg(*[F.max(c).alias(c) for c in names]).select(
         F.when(F.col("system_health") == "CRITICAL", "CRITICAL")
-        .when(~F.lit(intact), "DEGRADED").otherwise(F.col("system_health")))
+        .when(~F.col("audit_intact"), "DEGRADED").otherwise(F.col("system_health")).alias("state"),
+        *names[1:], F.lit(rule_count).alias("rules"),
+    )
 
 
 def source_stats(summary: DataFrame, source: str = "source") -> DataFrame:

@@ -115,7 +115,19 @@ def chain_tampered(spark, sf_dir):
     return chain.chain_status(chain.verify_chain(hit, "user_id", "seq", _payload()), "user_id", "seq")
 
 
-@query("chain_seals")
+@query("chain_seals", f"""
+WITH RECURSIVE log AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq,
+  sha256({_TEXT}) AS payload FROM {EVENTS_SQL}),
+seg AS (SELECT *, (seq - 1) // 500 AS segment, CASE WHEN (seq - 1) // 500 = 0 THEN '{chain.GENESIS}'
+  ELSE sha256('{chain.GENESIS}|' || event_type || '|' || ((seq - 1) // 500)) END AS origin FROM log),
+c AS (SELECT event_type, segment, seq, sha256(origin || payload) AS h FROM seg WHERE (seq - 1) % 500 = 0
+  UNION ALL SELECT s.event_type, s.segment, s.seq, sha256(c.h || s.payload) FROM c
+  JOIN seg s ON s.event_type = c.event_type AND s.segment = c.segment AND s.seq = c.seq + 1),
+heads AS (SELECT event_type, segment, arg_max(h, seq) AS head, count(*) AS n FROM c GROUP BY 1, 2),
+s AS (SELECT event_type, segment, sha256('{chain.GENESIS}' || head || n) AS seal, n AS entries FROM heads WHERE segment = 0
+  UNION ALL SELECT x.event_type, x.segment, sha256(s.seal || x.head || x.n), s.entries + x.n FROM s
+  JOIN heads x ON x.event_type = s.event_type AND x.segment = s.segment + 1)
+SELECT event_type, arg_max(seal, segment) AS seal, max(entries) AS entries FROM s GROUP BY 1""")
 def chain_seals(spark, sf_dir):
     """Seals over short segments: five logs, rotated every 500 entries."""
     rows = events(spark, sf_dir)

@@ -9,6 +9,7 @@ from fluxline.operators.grid import lagged
 from fluxline.plans import causal
 from fluxline.queries.catalog import query, rounded
 from fluxline.queries.temporal import features, features_sql
+from fluxline.session import stored
 
 TERMS = [("kp", 1)]
 WIDE_TERMS = [("bz_min", 1), ("bt_max", 1), ("kp", 1), ("kp", 2)]
@@ -40,7 +41,8 @@ def lag_correlations(spark, sf_dir):
 
 @query("driver_discovery")
 def driver_discovery(spark, sf_dir):
-    return causal.discover(features(spark, sf_dir, "minute"), ["bz_min", "bt_max", "kp"],
+    matrix = stored(features(spark, sf_dir, "minute"), "features")
+    return causal.discover(matrix, ["bz_min", "bt_max", "kp"],
                            step_seconds=60, tau_max=3, missing="pairwise")
 
 
@@ -112,7 +114,7 @@ line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x)
 SELECT 'kp' AS var, CAST(1 AS INTEGER) AS lag, round(b, 6) AS coef, round(a, 6) AS intercept,
   round(r2, 6) AS r2, CAST(n AS BIGINT) AS n FROM line""")
 def model_fit(spark, sf_dir):
-    model = causal.fit(features(spark, sf_dir), TERMS)
+    model = causal.fit(stored(features(spark, sf_dir), "features"), TERMS)
     out = model.table(spark).select(
         "var", "lag", "coef", F.lit(model.intercept).alias("intercept"), F.lit(model.r2).alias("r2"),
         F.lit(model.n).cast("bigint").alias("n"))
@@ -123,24 +125,39 @@ def model_fit(spark, sf_dir):
 SELECT timestamp, y AS observed, round(a + coalesce(b * x, 0), 6) AS predicted, 'kp' AS var,
   CAST(1 AS INTEGER) AS lag, x AS value, round(b * x, 6) AS contribution FROM w, line""")
 def attribution(spark, sf_dir):
-    f = features(spark, sf_dir)
+    f = stored(features(spark, sf_dir), "features")
     out = causal.attribute(f, causal.fit(f, TERMS)).drop("coef")
     return rounded(out, "predicted", "contribution")
 
 
 @query("model_fit_wide")
 def model_fit_wide(spark, sf_dir):
-    model = causal.fit(features(spark, sf_dir), WIDE_TERMS)
+    model = causal.fit(stored(features(spark, sf_dir), "features"), WIDE_TERMS)
     return rounded(model.table(spark).select(
         "var", "lag", "coef", F.lit(model.r2).alias("r2")), "coef", "r2")
 
 
+@query("model_fit_two", features_sql() + """
+, w AS (SELECT kp AS y, lag(kp, 1) OVER o AS a, lag(kp, 2) OVER o AS b FROM f WINDOW o AS (ORDER BY timestamp)),
+c AS (SELECT * FROM w WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
+s AS (SELECT var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay,
+  covar_pop(b, y) AS bz, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) AS n FROM c),
+q AS (SELECT *, (ay * vb - bz * ab) / (va * vb - ab * ab) AS ca, (bz * va - ay * ab) / (va * vb - ab * ab) AS cb FROM s)
+SELECT 'kp' AS var, CAST(1 AS INTEGER) AS lag, round(ca, 6) AS coef, round(my - ca * ma - cb * mb, 6) AS intercept, n FROM q
+UNION ALL SELECT 'kp', 2, round(cb, 6), round(my - ca * ma - cb * mb, 6), n FROM k""")
+def model_fit_two(spark, sf_dir):
+    model = causal.fit(stored(features(spark, sf_dir), "features"), [("kp", 1), ("kp", 2)])
+    return rounded(model.table(spark).select(
+        "var", "lag", "coef", F.lit(model.intercept).alias("intercept"),
+        F.lit(model.n).cast("bigint").alias("n")), "coef", "intercept")
+
+
 @query("top_events", _LINE + """
 SELECT timestamp, y AS observed, round(a + coalesce(b * x, 0), 6) AS predicted,
   round(coalesce(b * x, 0), 6) AS persistence, round(a, 6) AS baseline FROM w, line
 ORDER BY y DESC NULLS LAST, timestamp LIMIT 5""")
 def top_events(spark, sf_dir):
-    f = features(spark, sf_dir)
+    f = stored(features(spark, sf_dir), "features")
     out = causal.explain_top(f, causal.fit(f, TERMS), 5)
     return rounded(out.select("timestamp", "observed", "predicted", "persistence", "baseline"),
                    "predicted", "persistence", "baseline")
@@ -148,6 +165,6 @@ def top_events(spark, sf_dir):
 
 @query("top_event_drivers")
 def top_event_drivers(spark, sf_dir):
-    f = features(spark, sf_dir)
+    f = stored(features(spark, sf_dir), "features")
     out = causal.explain_top(f, causal.fit(f, WIDE_TERMS), 5).drop("drivers")
     return rounded(out, "predicted", "primary_contribution", "persistence", "baseline")

@@ -269,6 +269,17 @@ def fleet_totals(spark, sf_dir):
     return sessions.fleet_totals(_summary(spark, sf_dir), F.lit("2024-02-01").cast("timestamp_ntz"))
 
 
+@query("system_status", f"""
+SELECT CASE WHEN sum(unacknowledged_critical) > 0 THEN 'CRITICAL' ELSE 'DEGRADED' END AS state,
+  count(*) AS sessions, CAST(sum(packet_count) AS BIGINT) AS packets, CAST(sum(anomaly_count) AS BIGINT) AS anomalies,
+  CAST(sum(unacknowledged_critical) AS BIGINT) AS critical_open, CAST(sum(packet_count) AS BIGINT) AS audit_entries,
+  false AS audit_intact, CAST(4 AS INTEGER) AS rules FROM {_SESSIONS}""")
+def system_status(spark, sf_dir):
+    s = _summary(spark, sf_dir)
+    audit = s.select(F.col("packet_count").alias("entries"), (F.col("session_id") % 10 != 0).alias("intact"))
+    return sessions.system_status(sessions.fleet_totals(s), audit, len(RULES))
+
+
 @query("source_stats", f"""
 SELECT session_id % 6 AS source, count(*) AS sessions, CAST(sum(packet_count) AS BIGINT) AS packets,
   CAST(sum(anomaly_count) AS BIGINT) AS anomalies FROM {_SESSIONS} GROUP BY 1""")

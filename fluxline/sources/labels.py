@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxline import constants as C
@@ -14,6 +14,8 @@ from fluxline.functions.scalar import (
     is_header_cell,
     storm_scale,
 )
+from fluxline.operators.ordered import position
+from fluxline.operators.slices import measured
 
 # Fixed values -- catalogue columns by cell position.
 CATALOG_WIDTH = 18
@@ -80,8 +82,7 @@ def parse_catalog(rows: DataFrame, cells: str = "cells", order: str = "row") ->
     """Interval catalogue from rows of text cells.
 
     Drops repeated headers, short rows and rows without a full interval, then
-    numbers the rest from 1 in input order (the catalogue has some hundred
-    rows a decade, so one window numbers it).
+    numbers the rest from 1 in input order. ``order`` is a number.
     """
     c = {n: F.get(cells, F.lit(i)) for n, i in CATALOG_CELLS.items()}
     ok = (F.size(cells) >= CATALOG_WIDTH) & ~is_header_cell(F.get(cells, F.lit(0)))
@@ -92,8 +93,9 @@ def parse_catalog(rows: DataFrame, cells: str = "cells", order: str = "row") ->
         *[catalog_number(c[n]).alias(n) for n in _NUMBERS],
         catalog_int(c["mc_flag"]).cast("tinyint").alias("mc_flag"),
     ).filter(F.col("icme_start").isNotNull() & F.col("icme_end").isNotNull())
-    w = Window.orderBy("__row")
-    return parsed.withColumn("source_row", F.row_number().over(w)).select(
+    cut = measured(parsed, ["__row"])
+    numbered = position(parsed, ["__row"], slices=cut, name="__p", total="__t", first="__f", last="__l")
+    return numbered.withColumn("source_row", (F.col("__p") + 1).cast("int")).select(
         "source_row", *CATALOG_CELLS)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fluxline.operators.grid import cadence_seconds
 from fluxline.operators.intervals import interval_join
 from fluxline.operators.ordered import neighbour
+from fluxline.operators.slices import measured
 from fluxline.plans import reports
 
 DELAY = "10 minutes"
@@ -51,10 +52,9 @@ def validity(labels: DataFrame, ts: str, horizon: str = "400 days", start: str =
              end: str = "valid_to") -> DataFrame:
     """Label rows with the time they hold: until just before the next one.
 
-    The last label holds for ``horizon``. A label series is small (eight rows a
-    day), so one window orders it.
+    The last label holds for ``horizon``.
     """
-    nxt = neighbour(labels, [ts], {ts: "__next"}, forward=True)
+    nxt = neighbour(labels, [ts], {ts: "__next"}, forward=True, slices=measured(labels, [ts]))
     last = F.col(ts) + F.expr(f"INTERVAL {horizon}")
     until = F.coalesce(F.col("__next") - F.expr("INTERVAL 1 MICROSECOND"), last)
     return nxt.withColumn(end, until).withColumnRenamed(ts, start).drop("__next")

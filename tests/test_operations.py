@@ -46,6 +46,8 @@ def test_rule_tables_round_trip(spark):
     assert tuple(rules.rules_from(table.orderBy("rule_id"))) == tuple(sorted(rules.STANDARD_RULES, key=lambda r: r.rule_id))
     best = {r.rule_id: r.recommended_action_id for r in rules.recommended(rules.actions_table(spark)).collect()}
     assert best["speed-high"] == "speed-protect" and len(best) == len(rules.STANDARD_RULES)
+    assert rules.rule_definition(table, "bt-extreme").first().high == 50.0
+    assert rules.rule_definition(table, "none").first().data_available is False
     lists = {r.rule_id: [a.priority for a in r.actions] for r in rules.action_lists(rules.actions_table(spark)).collect()}
     assert lists["speed-high"] == [1, 2, 3]
     with pytest.raises(ValueError):
@@ -196,7 +198,8 @@ def test_mission_report_ratings(spark):
     assert rows["s2"].health == "AUDIT_FAILED" and "audit chain" in rows["s2"].recommendations[0]
     totals = sessions.fleet_totals(s)
     assert totals.first().system_health == "NOMINAL"
-    assert sessions.with_audit_health(totals, False).first().system_health == "DEGRADED"
+    broken = spark.createDataFrame([("L", 4, False)], "log_id string, entries bigint, intact boolean")
+    assert sessions.system_status(totals, broken, 8).first().state == "DEGRADED"
     assert sessions.fleet_totals(s.filter("false")).first().system_health == "IDLE"
 
 
