@@ -144,7 +144,7 @@ s AS (SELECT var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab, covar_po
   covar_pop(b, y) AS bz, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) AS n FROM c),
 q AS (SELECT *, (ay * vb - bz * ab) / (va * vb - ab * ab) AS ca, (bz * va - ay * ab) / (va * vb - ab * ab) AS cb FROM s)
 SELECT 'kp' AS var, CAST(1 AS INTEGER) AS lag, round(ca, 6) AS coef, round(my - ca * ma - cb * mb, 6) AS intercept, n FROM q
-UNION ALL SELECT 'kp', 2, round(cb, 6), round(my - ca * ma - cb * mb, 6), n FROM k""")
+UNION ALL SELECT 'kp', 2, round(cb, 6), round(my - ca * ma - cb * mb, 6), n FROM q""")
 def model_fit_two(spark, sf_dir):
     model = causal.fit(stored(features(spark, sf_dir), "features"), [("kp", 1), ("kp", 2)])
     return rounded(model.table(spark).select(
