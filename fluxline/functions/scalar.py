@@ -71,26 +71,39 @@ def is_missing_cell(cell: Column) -> Column:
     return cell.isNull() | low.isin(*MISSING_TOKENS) | low.startswith(MISSING_PREFIX)
 
 
+def _once(cell: Column, fn) -> Column:
+    """``fn`` of a cell whose own expression is worked out one time only."""
+    return F.get(F.transform(F.array(cell), fn), F.lit(0))
+
+
 def catalog_time(cell: Column) -> Column:
     """Date and HHMM found anywhere in a cell; NULL when absent or impossible."""
 
-    def part(n: int) -> Column:
-        return F.regexp_extract(cell, DATETIME_PATTERN, n)
+    def made(part: Column) -> Column:
+        def number(i: int) -> Column:
+            return F.get(part, F.lit(i)).try_cast("int")
 
-    clock = F.lpad(part(4), 4, "0")
-    text = F.concat_ws(
-        " ",
-        F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")),
-        F.concat_ws(":", clock.substr(1, 2), clock.substr(3, 2), F.lit("00")),
-    )
-    found = F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.when(is_missing_cell(cell), None).otherwise(found)
+        clock = number(3)
+        return F.try_make_timestamp(
+            number(0), number(1), number(2),
+            F.floor(clock / 100).cast("int"), F.pmod(clock, F.lit(100)), F.lit(0))
+
+    def read(c: Column) -> Column:
+        found = F.regexp_extract(c, DATETIME_PATTERN, 0)
+        parts = F.split(found, r"[/\s]+")
+        return F.when(is_missing_cell(c), None).otherwise(_once(parts, made))
+
+    return _once(cell, read)
 
 
 def catalog_number(cell: Column) -> Column:
     """First signed number in a cell, whatever follows it."""
-    found = F.regexp_extract(cell, f"({NUMBER_PATTERN})", 1)
-    return F.when(is_missing_cell(cell), None).otherwise(found.try_cast("double"))
+
+    def read(c: Column) -> Column:
+        found = F.regexp_extract(c, NUMBER_PATTERN, 0)
+        return F.when(is_missing_cell(c), None).otherwise(found.try_cast("double"))
+
+    return _once(cell, read)
 
 
 def catalog_int(cell: Column) -> Column:
@@ -98,7 +111,7 @@ def catalog_int(cell: Column) -> Column:
 
 
 def catalog_text(cell: Column) -> Column:
-    return F.when(is_missing_cell(cell), "").otherwise(F.trim(cell))
+    return _once(cell, lambda c: F.when(is_missing_cell(c), "").otherwise(F.trim(c)))
 
 
 def is_header_cell(cell: Column) -> Column:

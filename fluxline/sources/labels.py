@@ -93,7 +93,7 @@ def parse_catalog(rows: DataFrame, cells: str = "cells", order: str = "row") ->
         *[catalog_number(c[n]).alias(n) for n in _NUMBERS],
         catalog_int(c["mc_flag"]).cast("tinyint").alias("mc_flag"),
     ).filter(F.col("icme_start").isNotNull() & F.col("icme_end").isNotNull())
-    cut = measured(parsed, ["__row"])
+    cut = measured(rows, [order])
     numbered = position(parsed, ["__row"], slices=cut, name="__p", total="__t", first="__f", last="__l")
     return numbered.withColumn("source_row", (F.col("__p") + 1).cast("int")).select(
         "source_row", *CATALOG_CELLS)
