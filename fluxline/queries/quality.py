@@ -223,16 +223,17 @@ def physical_ranges(spark, sf_dir):
 @query("cadence", """
 WITH s AS (SELECT CAST(ts AS DATE) AS day, (epoch_us(ts) - lag(epoch_us(ts)) OVER
     (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)) / 1e6 AS dt_s FROM events)
-SELECT day, count(*) AS n_rows, count(dt_s) AS n_measured,
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS n_rows, count(dt_s) AS n_measured,
   count(*) FILTER (WHERE dt_s = 60) AS n_at_cadence, count(*) FILTER (WHERE dt_s > 60) AS n_gaps,
   count(*) FILTER (WHERE dt_s <= 0) AS n_duplicate_or_back,
   round(coalesce(max(dt_s), 0), 6) AS max_gap_s, round(coalesce(median(dt_s), 0), 6) AS median_dt_s,
   round(coalesce(count(*) FILTER (WHERE dt_s = 60) / nullif(count(dt_s), 0), 0), 6) AS fraction_at_cadence
-FROM s GROUP BY 1""")
+FROM s GROUP BY s.day""")
 def cadence(spark, sf_dir):
     rows = events(spark, sf_dir).select("ts", "event_id")
     cut = measured(rows, ["ts", "event_id"])
     out = validation.cadence(rows, "ts", ["event_id"], 60.0, slices=cut)
+    out = out.withColumn("day", F.col("day").cast("string"))
     return rounded(out, "max_gap_s", "median_dt_s", "fraction_at_cadence")
 
 
@@ -314,30 +315,33 @@ def _completed(spark, sf_dir):
 
 @query("days_to_do", f"""
 WITH d AS (SELECT CAST(unnest(generate_series(DATE '2023-12-20', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day)
-SELECT day FROM d WHERE day NOT IN (SELECT day FROM {_DONE})""")
+SELECT CAST(day AS VARCHAR) AS day FROM d WHERE day NOT IN (SELECT day FROM {_DONE})""")
 def days_to_do(spark, sf_dir):
     plan = backfill.days(spark, "2023-12-20", "2024-02-11")
-    return backfill.remaining(plan, _completed(spark, sf_dir)).select("day")
+    return backfill.remaining(plan, _completed(spark, sf_dir)).select(
+        F.col("day").cast("string").alias("day"))
 
 
 @query("days_to_retry", f"""
 WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS day)
-SELECT day FROM d WHERE day IN (SELECT day FROM {_DONE})""")
+SELECT CAST(day AS VARCHAR) AS day FROM d WHERE day IN (SELECT day FROM {_DONE})""")
 def days_to_retry(spark, sf_dir):
     plan = backfill.days(spark, "2024-01-05", "2024-02-11")
     failed = _completed(spark, sf_dir)
-    return backfill.remaining(plan, failed, failed, retry_failed=True).select("day")
+    return backfill.remaining(plan, failed, failed, retry_failed=True).select(
+        F.col("day").cast("string").alias("day"))
 
 
 @query("plan_summary", """
 WITH d AS (SELECT DISTINCT CAST(o_orderdate + INTERVAL 21 YEAR AS DATE) AS day FROM orders)
-SELECT count(*) AS total_days, min(day) AS first_day, max(day) AS last_day,
+SELECT count(*) AS total_days, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day,
   count(*) FILTER (WHERE day < DATE '2019-06-28') AS days_with_plasma,
   count(*) FILTER (WHERE day >= DATE '2019-06-28') AS days_mag_only FROM d""")
 def plan_summary(spark, sf_dir):
     day = F.to_date(F.col("o_orderdate") + F.expr("INTERVAL 21 YEARS"))
     plan = table(spark, sf_dir, "orders").select(day.alias("day")).distinct()
-    return backfill.plan_summary(plan.withColumn("day_start", F.col("day").cast("timestamp")))
+    out = backfill.plan_summary(plan.withColumn("day_start", F.col("day").cast("timestamp")))
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
 @query("coverage_window", """
