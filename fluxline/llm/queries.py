@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxline.llm import bpe, decontaminate, licenses, quality_rules, token_counts, token_files
+from fluxline.llm import bpe, decontaminate, licenses, near_duplicates, quality_rules, token_counts, token_files
 from fluxline.llm.common import file_bytes, table
 from fluxline.session import scratch_path
 
@@ -47,6 +47,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over(counts, 4096)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.array_sort(F.array_distinct("places.phrase"))
@@ -59,5 +63,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.score(F.size("places"), covered).alias("score"))
 
 
-for _f in (op1_decontamination, op2_byte_bpe, op4_token_files, op6_quality_rules, op7_token_counts, op9_licenses):
+for _f in (op1_decontamination, op2_byte_bpe, op4_token_files, op6_quality_rules, op7_token_counts,
+           op8_near_duplicates, op9_licenses):
     QUERIES[_f.__name__] = _f
