@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxline.llm import bpe, decontaminate, licenses, near_duplicates, quality_rules, token_counts, token_files
+from fluxline.llm import bpe, decontaminate, licenses, near_duplicates, quality_rules, repeated_spans, token_counts, token_files
 from fluxline.llm.common import file_bytes, table
 from fluxline.session import scratch_path
 
@@ -35,6 +35,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   lambda ids: (len(ids), token_files.crc32(ids)))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(
+        table(spark, sf_dir, "documents"),
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", repeated_spans.digest)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -63,6 +69,6 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.score(F.size("places"), covered).alias("score"))
 
 
-for _f in (op1_decontamination, op2_byte_bpe, op4_token_files, op6_quality_rules, op7_token_counts,
+for _f in (op1_decontamination, op2_byte_bpe, op4_token_files, op5_suffix_dedup, op6_quality_rules, op7_token_counts,
            op8_near_duplicates, op9_licenses):
     QUERIES[_f.__name__] = _f
