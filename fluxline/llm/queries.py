@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxline.llm import bpe, decontaminate, licenses, near_duplicates, quality_rules, repeated_spans, token_counts, token_files
-from fluxline.llm.common import file_bytes, table
+from fluxline.llm import (
+    bpe, decontaminate, licenses, near_duplicates, quality_model, quality_rules, repeated_spans, token_counts,
+    token_files, toxicity,
+)
+from fluxline.llm.common import file_bytes, held_out, table
 from fluxline.session import scratch_path
 
+# Score from which a document counts as good.
+QUALITY_THRESHOLD = 0.3
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +33,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_files(table(spark, sf_dir, "documents"), path,
@@ -69,6 +82,13 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         licenses.score(F.size("places"), covered).alias("score"))
 
 
-for _f in (op1_decontamination, op2_byte_bpe, op4_token_files, op5_suffix_dedup, op6_quality_rules, op7_token_counts,
-           op8_near_duplicates, op9_licenses):
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_model.score_documents(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+for _f in (op1_decontamination, op2_byte_bpe, op3_toxicity, op4_token_files, op5_suffix_dedup, op6_quality_rules, op7_token_counts,
+           op8_near_duplicates, op9_licenses, op10_quality):
     QUERIES[_f.__name__] = _f
