@@ -24,7 +24,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from fluxline.llm.common import map_rows, texts
+from fluxline.llm.common import map_rows, ranges, texts
 
 MAX_STATES = 400_000
 # Bytes of one piece between two looks for what is settled.
@@ -354,13 +354,6 @@ class IntMap:
             slots[left] = slots[left] + 1 & mask
 
 
-def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges, end to end."""
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - counts), counts) + np.arange(total)
-
-
 class Encoder:
     """Encodes texts: each distinct match of the pattern once through the transducer.
 
@@ -516,10 +509,12 @@ def decode_documents(encoded: DataFrame, vocabulary: bytes) -> DataFrame:
 
 def round_trip_digests(
     docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
     """Encodes, then decodes the ids, in one pass: ``doc_id``, ``n_tokens``,
     ``ids_sha256`` (decimal ids joined by one blank), ``decoded_sha256`` and
-    ``valid`` (the decoded characters give the decoded bytes again).
+    ``valid`` (the decoded characters give the decoded bytes again); ``ids`` too if
+    asked for.
 
     Null and empty texts: no tokens, digests of the empty string.
     """
@@ -531,8 +526,10 @@ def round_trip_digests(
         written = {t: str(t) for t in bytes_of}
 
         def work(rows):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for ids in made.encode_batch([t or "" for t in rows["text"]]):
+                if with_ids:
+                    out[4].append(ids)
                 ids = ids.tolist()
                 decoded, size = hashlib.sha256(), 0
                 for data, chars in decode_stream(ids, bytes_of):
@@ -542,10 +539,11 @@ def round_trip_digests(
                 out[1].append(hashlib.sha256(" ".join([written[t] for t in ids]).encode()).hexdigest())
                 out[2].append(decoded.hexdigest())
                 out[3].append(size == 0)
-            return out
+            return out if with_ids else out[:4]
 
         return work
 
     return map_rows(texts(docs, id_col, text_col, raw=False),
-                    "n_tokens bigint, ids_sha256 string, decoded_sha256 string, valid boolean",
+                    "n_tokens bigint, ids_sha256 string, decoded_sha256 string, valid boolean"
+                    + ", ids array<int>" * with_ids,
                     start, weigh="text", carry=("doc_id",), limit=BATCH_BYTES)

@@ -10,14 +10,13 @@ positions, and each maps back to a byte range of the original text.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import ahocorasick
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from fluxline.llm.common import alnum_words, map_rows, texts
+from fluxline.llm.common import alnum_words, column, map_rows, texts
 
 WINDOW = 10
 # Item bytes per automaton (about 160 MB once built). More items than that are
@@ -111,26 +110,14 @@ def find_items(
     no window; an item that occurs twice counts once.
     """
     base = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_col, item_text_col, block_bytes)]
+    look = _scanner(docs.sparkSession, items, window, item_col, item_text_col, block_bytes)
 
     def start():
-        built: list[ItemAutomaton] = []
+        scan = look()
 
         def work(rows):
-            if len(parts) == 1 and not built:
-                built.append(ItemAutomaton(parts[0].value, window))
-            cut = [alnum_words(t or b"") for t in rows["text"]]
-            found = [([], set()) for _ in cut]
-            for p in parts:
-                made = built[0] if built else ItemAutomaton(p.value, window)
-                for i, words in enumerate(cut):
-                    spans, names = made.scan(words)
-                    if spans:
-                        found[i] = (found[i][0] + spans, found[i][1] | names)
             out = [[], [], [], []]
-            for text, words, (spans, names) in zip(rows["text"], cut, found):
-                spans = joined(spans)
+            for text, words, spans, names in scan(rows["text"]):
                 out[0].append(len(words))
                 out[1].append(sum(b - a for a, b in spans))
                 out[2].append([
@@ -145,5 +132,45 @@ def find_items(
     return map_rows(base, fields, start, weigh="text", carry=("doc_id",))
 
 
-def ids_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()
+def _scanner(spark, items: DataFrame, window: int, item_col: str, item_text_col: str, block_bytes: int):
+    """Made once per task: texts to (text, words, joined spans, items) each."""
+    parts = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_col, item_text_col, block_bytes)]
+
+    def look():
+        # One automaton is kept; of several, one at a time is in memory.
+        only = ItemAutomaton(parts[0].value, window) if len(parts) == 1 else None
+
+        def scan(batch):
+            cut = [alnum_words(t or b"") for t in batch]
+            found = [([], set()) for _ in cut]
+            for p in parts:
+                made = only or ItemAutomaton(p.value, window)
+                for i, words in enumerate(cut):
+                    spans, names = made.scan(words)
+                    if spans:
+                        found[i] = (found[i][0] + spans, found[i][1] | names)
+            return [(t, words, joined(spans), names) for t, words, (spans, names) in zip(batch, cut, found)]
+
+        return scan
+
+    return look
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The documents in which no window of any item occurs, all columns as they
+    are. No row moves."""
+    mark = "__hit"
+    while mark in docs.columns or f"{mark}_text" in docs.columns:
+        mark += "_"
+    look = _scanner(docs.sparkSession, items, window, item_col, item_text_col, block_bytes)
+
+    def start():
+        scan = look()
+        return lambda rows: [[bool(spans) for _, _, spans, _ in scan(rows[f"{mark}_text"])]]
+
+    rows = docs.withColumn(f"{mark}_text", column(docs, text_col).cast("binary"))
+    marked = map_rows(rows, f"{mark} boolean", start, weigh=f"{mark}_text", carry=tuple(docs.columns))
+    return marked.where(~F.col(mark)).drop(mark)

@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fluxline.llm.common import column, freed_shuffles, map_rows, texts
+from fluxline.llm.common import freed_shuffles, map_rows, ranges, texts
 from fluxline.session import stored
 
 CHUNKS, WIDTH, ERRORS = 13, 6, 1
@@ -206,8 +206,7 @@ def link_sets(owners: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent
             mine = by_set[set_end[u] - sizes[u]:set_end[u]]
             begin = np.where(mine > 0, post_end[mine - 1], 0)
             count = post_end[mine] - begin
-            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            shared = np.bincount(posting[at], minlength=n)
+            shared = np.bincount(posting[ranges(begin, count)], minlength=n)
             union = sizes[u] + sizes - shared
             new = np.flatnonzero((100 * shared >= percent * union) & (label < 0))
             label[new] = seed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -89,6 +90,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
-for _f in (op1_decontamination, op2_byte_bpe, op3_toxicity, op4_token_files, op5_suffix_dedup, op6_quality_rules, op7_token_counts,
-           op8_near_duplicates, op9_licenses, op10_quality):
+for _f in (op1_decontamination, op2_byte_bpe, op3_toxicity, op4_token_files, op5_suffix_dedup, op6_quality_rules,
+           op7_token_counts, op8_near_duplicates, op9_licenses, op10_quality):
     QUERIES[_f.__name__] = _f
+QUERIES["pipeline"] = corpus_pipeline.run

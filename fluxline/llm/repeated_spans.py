@@ -28,7 +28,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fluxline.llm.common import column, freed_shuffles, map_rows
+from fluxline.llm.common import column, freed_shuffles, map_rows, ranges
 from fluxline.session import stored
 
 LENGTH = 100
@@ -191,7 +191,7 @@ def _suffixes(rows: DataFrame, length: int) -> DataFrame:
                 begin = np.array([o["at"] for o in opened]) & (1 << AT_BITS) - 1
                 size = np.array([o["size"] for o in opened])
                 digit = np.array([o["digit"] for o in opened])
-                at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                at = ranges(begin, size)
                 parts.append((np.repeat(digit, size).view(np.uint64), hashed.of(at, at + length),
                               np.full(len(at), key), (tag << AT_BITS) + at))
             if not parts:
@@ -292,3 +292,31 @@ def remove_repeats(
 def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
     return (len(text), int((spans[:, 1] - spans[:, 0]).sum()), len(spans),
             hashlib.sha256(without(text, spans)).hexdigest())
+
+
+def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans cut back to whole UTF-8 characters: one that a span covers in part
+    stays."""
+    data = np.frombuffer(text + b"\0", dtype=np.uint8)
+    out = []
+    for a, b in spans.tolist():
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """The documents without their repeated spans, in whole characters, all other
+    columns as they are. Texts may become empty; null ones become empty."""
+    def make(text: bytes, spans: np.ndarray) -> tuple[str]:
+        return (without(text, whole_characters(text, spans)).decode("utf-8", "replace"),)
+
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    cut = remove_repeats(docs, "__kept string", make, length, gram, id_col, text_col, carry=rest)
+    names = {id_col: "doc_id", text_col: "__kept"}
+    return cut.select(*[F.col("`" + names.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns])
