@@ -33,6 +33,14 @@ def column(docs: DataFrame, name: str):
     return docs["`" + name.replace("`", "``") + "`"]
 
 
+def free_name(wanted: str, taken) -> str:
+    """``wanted``, lengthened until no column is called so."""
+    low = {c.lower() for c in taken}
+    while wanted.lower() in low:
+        wanted += "_"
+    return wanted
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts add up to about ``limit`` bytes; one row at least."""
     start = total = 0

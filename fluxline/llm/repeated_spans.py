@@ -26,9 +26,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fluxline.llm.common import column, freed_shuffles, map_rows, ranges
+from fluxline.llm.common import column, free_name, freed_shuffles, map_rows, ranges
 from fluxline.session import stored
 
 LENGTH = 100
@@ -270,23 +270,26 @@ def remove_repeats(
                           "repeats")
     key = F.coalesce(column(docs, id_col).cast("long"), F.lit((1 << 63) - 1))
     text = F.coalesce(column(docs, text_col), F.lit("")).cast("binary")
-    whole = docs.select(column(docs, id_col).cast("long").alias("doc_id"),
-                        *[column(docs, c) for c in carry if c != "doc_id"], key.alias("__key"),
-                        F.xxhash64(text).bitwiseAND((1 << TAG_BITS) - 1).alias("__tag"), text.alias("__text"))
-    joined = whole.join(per_text.withColumnsRenamed({"key": "__key", "tag": "__tag", "found": "__found"}),
-                        ["__key", "__tag"], "left").drop("__key", "__tag")
+    n_key, n_tag, n_text, n_found = (free_name(f"__{x}", docs.columns) for x in ("key", "tag", "text", "found"))
+    whole = docs.select(column(docs, id_col).cast("long").alias("doc_id"), *[column(docs, c) for c in carry],
+                        key.alias(n_key), F.xxhash64(text).bitwiseAND((1 << TAG_BITS) - 1).alias(n_tag),
+                        text.alias(n_text))
+    joined = whole.join(per_text.withColumnsRenamed({"key": n_key, "tag": n_tag, "found": n_found}),
+                        [n_key, n_tag], "left").drop(n_key, n_tag)
+    width = len(T._parse_datatype_string(fields).fields)
 
     def start():
         def work(cols):
-            out = []
-            for text, found in zip(cols["__text"], cols["__found"]):
+            out = [[] for _ in range(width)]
+            for text, found in zip(cols[n_text], cols[n_found]):
                 spans = (covered(len(text), [f["begin"] for f in found], [f["size"] for f in found], length)
                          if found else np.empty((0, 2), dtype=np.int64))
-                out.append(make(text, spans))
-            return list(zip(*out)) if out else [[]] * 16
+                for o, v in zip(out, make(text, spans)):
+                    o.append(v)
+            return out
         return work
 
-    return map_rows(joined, fields, start, weigh="__text", carry=("doc_id", *carry))
+    return map_rows(joined, fields, start, weigh=n_text, carry=("doc_id", *carry))
 
 
 def digest(text: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
@@ -316,7 +319,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     def make(text: bytes, spans: np.ndarray) -> tuple[str]:
         return (without(text, whole_characters(text, spans)).decode("utf-8", "replace"),)
 
+    kept = free_name("__kept", docs.columns)
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    cut = remove_repeats(docs, "__kept string", make, length, gram, id_col, text_col, carry=rest)
-    names = {id_col: "doc_id", text_col: "__kept"}
-    return cut.select(*[F.col("`" + names.get(c, c).replace("`", "``") + "`").alias(c) for c in docs.columns])
+    cut = remove_repeats(docs, f"{kept} string", make, length, gram, id_col, text_col, carry=rest)
+    names = {id_col: "doc_id", text_col: kept}
+    return cut.select(*[column(cut, names.get(c, c)).alias(c) for c in docs.columns])
