@@ -67,7 +67,6 @@ INDEX_MISSING = -1
 CONFIDENCE_FLOOR = 0.75
 CONFIDENCE_CAP = 0.99
 EXPLANATION_CAP = 0.95
-MAX_CHAIN_LENGTH = 1_000_000
 
 # Fixed values -- source staleness in seconds and trust (3 best, 1 stale).
 STALE_AFTER = {

@@ -118,10 +118,9 @@ def is_header_cell(cell: Column) -> Column:
     return F.coalesce(any_of([cell.contains(m) for m in HEADER_MARKS]), F.lit(False))
 
 
-def tracked_id(prefix: str, name: Column, width: int | None = None) -> Column:
-    """``PREFIX_NAME`` with blanks as underscores, upper case, cut to width."""
-    body = F.upper(F.replace(name, F.lit(" "), F.lit("_")))
-    return F.concat(F.lit(prefix + "_"), body if width is None else body.substr(1, width))
+def tracked_id(prefix: str, name: Column) -> Column:
+    """``PREFIX_NAME`` with blanks as underscores, upper case."""
+    return F.concat(F.lit(prefix + "_"), F.upper(F.replace(name, F.lit(" "), F.lit("_"))))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -129,10 +128,6 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
-
-
 def key_id(*parts: Column) -> Column:
     """Stable id made from the identifying columns, equal on every run."""
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)

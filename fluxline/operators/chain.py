@@ -1,10 +1,12 @@
 """Hash-chained logs: building, verifying, sealing.
 
 Within a segment each entry hashes the entry before it, so a segment is folded
-in order by one task, streaming over sorted rows with one hash as state. A log
-rotates to a new segment after ``max_length`` entries; segments are folded in
-parallel, and their heads are chained once more into seals, so a hot log is
-spread over many tasks and dropping a whole segment still shows.
+in order by one task, streaming over sorted rows with one hash as state. A log is
+one segment unless its entries say otherwise: ``segment`` names something that
+belongs to the entry, such as its day, or ``max_length`` rotates by number. The
+layout never depends on how large a log is. Segments are folded in parallel, and
+their heads are chained once more into seals, so a hot log is spread over many
+tasks and dropping a whole segment still shows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxline import constants as C
 from fluxline.functions.scalar import iso_text, sorted_json
 
 GENESIS_TEXT = "fluxline-audit-chain-1"
@@ -55,14 +56,18 @@ def build_chain(
     log: str,
     seq: str,
     payload: Column,
-    max_length: int = C.MAX_CHAIN_LENGTH,
+    max_length: int | None = None,
+    segment: Column | None = None,
 ) -> DataFrame:
     """Entries with ``segment``, ``previous_hash`` and ``entry_hash``.
 
-    ``seq`` counts the entries of a log from 1.
+    ``seq`` counts the entries of a log from 1; ``segment`` is a whole number
+    that does not fall along it.
     """
+    if segment is None:
+        segment = F.lit(0) if max_length is None else segment_of(F.col(seq), max_length)
     prepared = (
-        entries.withColumn("segment", segment_of(F.col(seq), max_length))
+        entries.withColumn("segment", segment.cast("long"))
         .withColumn("__start", segment_genesis(F.col(log), F.col("segment")))
         .withColumn("__payload", payload)
         .repartition(log, "segment")
@@ -93,8 +98,8 @@ def build_chain(
 def verify_chain(chain: DataFrame, log: str, seq: str, payload: Column) -> DataFrame:
     """Entries with ``link_ok``, ``self_ok`` and the hash that was expected.
 
-    Both checks use stored values only, so all entries are checked in parallel;
-    a segment holds at most the rotation length of rows.
+    Both checks use stored values only, so all segments are checked in parallel.
+    ``expected_entry`` is the hash the entry's own fields give.
     """
     w = Window.partitionBy(log, "segment").orderBy(seq)
     expected = F.coalesce(
@@ -103,19 +108,28 @@ def verify_chain(chain: DataFrame, log: str, seq: str, payload: Column) -> DataF
     return (
         chain.withColumn("expected_previous", expected)
         .withColumn("link_ok", F.col("previous_hash") == F.col("expected_previous"))
-        .withColumn("self_ok", F.col("entry_hash") == entry_hash(F.col("previous_hash"), payload))
+        .withColumn("expected_entry", entry_hash(F.col("previous_hash"), payload))
+        .withColumn("self_ok", F.col("entry_hash") == F.col("expected_entry"))
     )
 
 
 def chain_status(verified: DataFrame, log: str, seq: str) -> DataFrame:
-    """Per log: entries, intact flag, and the first broken entry with its kind."""
+    """Per log: entries, intact flag, and the first broken entry with its kind
+    and the hash that was expected and found there."""
     broken = ~(F.col("link_ok") & F.col("self_ok"))
     kind = F.when(~F.col("link_ok"), "link").otherwise("self")
+
+    def at_break(link: str, own: str) -> Column:
+        value = F.when(~F.col("link_ok"), F.col(link)).otherwise(F.col(own))
+        return F.min_by(F.when(broken, value), F.when(broken, F.col(seq)))
+
     return verified.groupBy(log).agg(
         F.count(F.lit(1)).alias("entries"),
         (F.count_if(broken) == 0).alias("intact"),
         F.min(F.when(broken, F.col(seq))).alias("first_broken_seq"),
         F.min_by(F.when(broken, kind), F.when(broken, F.col(seq))).alias("first_broken_kind"),
+        at_break("expected_previous", "expected_entry").alias("first_broken_expected"),
+        at_break("previous_hash", "entry_hash").alias("first_broken_found"),
     )
 
 

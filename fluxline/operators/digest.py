@@ -1,9 +1,10 @@
 """Ordered digests of sessions.
 
 Rows are hashed one by one, hashes are folded in chunks of a fixed number of
-rows, and chunk hashes are folded again up a tree of fixed height. Any change,
+rows, and chunk hashes are folded again until a key has one left. Any change,
 loss or reordering of rows changes the root, no group ever holds more than
-``fanout`` hashes, and the result does not depend on the partitioning.
+``fanout`` hashes, and the result depends neither on the partitioning nor on
+other keys: a key is folded as often as its own rows ask for, once at least.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from fluxline.operators.ordered import position
 from fluxline.operators.slices import WHOLE, Slices
 
 FANOUT = 1024
-LEVELS = 4  # 1024**4 rows per session
 
 
 def _join_sorted(place: str, value: str) -> Column:
@@ -32,7 +32,6 @@ def tree_digest(
     text: Column,
     slices: Slices = WHOLE,
     fanout: int = FANOUT,
-    levels: int = LEVELS,
     name: str = "fingerprint",
 ) -> DataFrame:
     """One row per key with the root hash and the row count.
@@ -42,15 +41,21 @@ def tree_digest(
     rows = df.select(
         *keys, *[c for c in order if c not in keys], F.sha2(text, 256).alias("__h")
     )
-    placed = position(rows, order, keys, slices, name="__p").select(*keys, "__p", "__h")
-    counted = F.count(F.lit(1))
-    for level in range(levels):
-        up = F.floor(F.col("__p") / fanout).cast("long")
-        size = counted if level == 0 else F.sum("__n")
-        placed = placed.groupBy(*keys, up.alias("__up")).agg(
-            _join_sorted("__p", "__h").alias("__d"), size.alias("__n")
-        ).select(*keys, F.col("__up").alias("__p"), F.col("__d").alias("__h"), "__n")
-    return placed.select(*keys, F.col("__h").alias(name), F.col("__n").alias("rows"))
+    placed = position(rows, order, keys, slices, name="__p", total="__t").select(*keys, "__p", "__t", "__h")
+    # The largest key says how many levels there are; one number on the driver.
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    nodes = 1
+    while True:
+        # A key whose hashes are down to one stays as it is.
+        done = F.lit(False) if nodes == 1 else F.col("__t") <= nodes
+        up = F.when(done, F.col("__p")).otherwise(F.floor(F.col("__p") / fanout).cast("long"))
+        placed = placed.groupBy(*keys, up.alias("__up"), "__t").agg(
+            F.when(F.max(done), F.max("__h")).otherwise(_join_sorted("__p", "__h")).alias("__d")
+        ).select(*keys, F.col("__up").alias("__p"), "__t", F.col("__d").alias("__h"))
+        nodes *= fanout
+        if nodes >= most:
+            break
+    return placed.select(*keys, F.col("__h").alias(name), F.col("__t").alias("rows"))
 
 
 def mismatches(first: DataFrame, second: DataFrame, keys: Sequence[str], name: str = "fingerprint") -> DataFrame:

@@ -254,7 +254,8 @@ def anomaly_positions(spark, sf_dir):
 
 
 @query("satellites", """
-SELECT 'SAT_' || substr(upper(replace(p_name, ' ', '_')), 1, 20) AS spacecraft_id,
+SELECT 'SAT_' || upper(replace(p_name, ' ', '_')) || '_'
+    || CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '0' END AS spacecraft_id,
   CASE WHEN p_size % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '0' END AS catalog_number,
   CAST(p_size AS DOUBLE) AS period_min, 0.0::DOUBLE AS inclination_deg, p_retailprice AS apogee_km,
   0.0::DOUBLE AS perigee_km FROM part""")

@@ -125,14 +125,14 @@ def detection_summary(spark, sf_dir):
 
 @query("alert_explanations", f"""
 SELECT f.event_id, f.rule_id, round(least(f.confidence, 0.95), 6) AS stated_confidence,
-  n.packet_count < 10 AS low_volume, n.packet_count
-FROM {FLAGS_SQL} f JOIN (SELECT user_id, count(*) AS packet_count FROM events
+  coalesce(n.packet_count, 0) < 10 AS low_volume, n.packet_count
+FROM {FLAGS_SQL} f LEFT JOIN (SELECT user_id, count(*) AS packet_count FROM events
   WHERE event_type = 'error' GROUP BY 1) n ON f.user_id = n.user_id""")
 def alert_explanations(spark, sf_dir):
     state = events(spark, sf_dir, "error").groupBy(F.col("user_id").alias("spacecraft_id")).agg(
         F.count(F.lit(1)).alias("packet_count"))
     f = flags(spark, sf_dir).withColumnRenamed("user_id", "spacecraft_id")
-    out = rules.explain(f, state).filter(F.col("packet_count").isNotNull())
+    out = rules.explain(f, state)
     return rounded(out.select(
         "event_id", "rule_id", "stated_confidence",
         F.contains("operational_context", F.lit("packets back this")).alias("low_volume"),

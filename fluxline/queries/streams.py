@@ -8,7 +8,7 @@ from fluxline.operators import rules
 from fluxline.queries.catalog import EVENTS_SQL, KP_SQL, kp_rows, query, rounded, table
 from fluxline.queries.operations import _OPS, RULES
 from fluxline.streaming import state, windows
-from fluxline.streaming.run import drain, file_stream
+from fluxline.streaming.run import drain, drain_newest, file_stream
 
 
 def event_stream(spark, sf_dir):
@@ -30,19 +30,16 @@ def stream_rules(spark, sf_dir):
     return drain(found.select("event_id", "ts", "rule_id", "observed_value"), "stream-rules")
 
 
-_CLOSED = "hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-
-
 @query("stream_hourly_report", f"""
 SELECT hour, count(*) FILTER (WHERE kind = 'in') AS ingestions, count(*) FILTER (WHERE kind = 'fail') AS failures,
   CAST(coalesce(sum(k) FILTER (WHERE kind = 'in'), 0) AS BIGINT) AS packets,
   count(*) FILTER (WHERE kind = 'rule' AND triggered) AS rules_triggered,
   CASE WHEN count(*) FILTER (WHERE kind = 'bad' AND crit) > 0 THEN 'CRITICAL'
     WHEN count(*) FILTER (WHERE kind IN ('bad', 'fail')) > 0 THEN 'DEGRADED' ELSE 'NOMINAL' END AS posture
-FROM {_OPS} WHERE {_CLOSED} GROUP BY 1""")
+FROM {_OPS} GROUP BY 1""")
 def stream_hourly_report(spark, sf_dir):
-    """Hours closed by the watermark."""
-    out = drain(windows.hourly_report(_operations(spark, sf_dir)), "stream-report")
+    """Every hour, the last one still open included."""
+    out = drain_newest(windows.hourly_report(_operations(spark, sf_dir)), "stream-report", ["hour"])
     return _local(out, "hour").select(
         "hour", "ingestions", "failures", "packets", "rules_triggered", "posture")
 
@@ -75,14 +72,13 @@ def stream_objects(spark, sf_dir):
 
 @query("stream_resample", f"""
 SELECT date_trunc('hour', ts) AS hour, round(avg(value - 60), 6) AS bz_mean, max(value) AS bt_max, count(*) AS mag_n
-FROM events WHERE event_type = 'view' AND date_trunc('hour', ts) + INTERVAL 1 HOUR
-  <= (SELECT max(ts) FROM events WHERE event_type = 'view') - INTERVAL 10 MINUTE GROUP BY 1""")
+FROM events WHERE event_type = 'view' GROUP BY 1""")
 def stream_resample(spark, sf_dir):
     rows = event_stream(spark, sf_dir).filter("event_type = 'view'")
     out = windows.resample(rows, "ts", "hour", {
         "bz_mean": F.avg(F.col("value") - 60), "bt_max": F.max("value"), "mag_n": F.count(F.lit(1))},
         name="hour")
-    return rounded(_local(drain(out, "stream-resample"), "hour"), "bz_mean")
+    return rounded(_local(drain_newest(out, "stream-resample", ["hour"]), "hour"), "bz_mean")
 
 
 @query("stream_labels", f"""

@@ -74,9 +74,11 @@ class Corpus:
             if not self.has(name):
                 parts = ", ".join(f"{p} int" for p in PARTS)
                 return self.spark.createDataFrame([], f"{TABLES[name]}, {parts}")
+            # The schema is fixed; columns a file lacks are NULL, no footer is read for it.
+            parts = ", ".join(f"{p} int" for p in PARTS)
             return (
                 self.spark.read.option("basePath", self.path(name))
-                .option("mergeSchema", "true")
+                .schema(f"{TABLES[name]}, {parts}")
                 .parquet(self.path(name))
             )
         if not self.has(name):

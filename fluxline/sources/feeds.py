@@ -18,8 +18,6 @@ from fluxline.functions.scalar import key_id, number_or, tracked_id
 LIVE_PLASMA = {"proton_density_n_cc": 1, "bulk_speed_km_s": 2, "ion_temperature_k": 3}
 LIVE_MAG = {"bx_gsm_nt": 1, "by_gsm_nt": 2, "bz_gsm_nt": 3, "bt_nt": 4}
 LIVE_TIME = "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]"
-AIRCRAFT_LIMIT = 50
-SATELLITE_LIMIT = 20
 NORTH_AMERICA = (24.0, 72.0, -140.0, -52.0)  # min lat, max lat, min lon, max lon
 APID_AIRCRAFT = 0x80
 APID_SATELLITE = 0x90
@@ -95,12 +93,13 @@ def read_live(spark: SparkSession, plasma_path: str, mag_path: str, start: str,
     return plasma.unionByName(mag, allowMissingColumns=True)
 
 
-def parse_aircraft(docs: DataFrame, limit: int | None = AIRCRAFT_LIMIT,
-                   box: Sequence[float] | None = NORTH_AMERICA,
+def parse_aircraft(docs: DataFrame, limit: int | None = None,
+                   box: Sequence[float] | None = None,
                    source: str = "opensky_network") -> DataFrame:
     """Airborne aircraft with a position from state-vector documents.
 
-    The first ``limit`` states of a document count, before any filter.
+    All states count unless ``limit`` takes the first of each document, before
+    any filter, or ``box`` (such as ``NORTH_AMERICA``) those in an area.
     ``timestamp`` is the last contact; the time of reading is the reader's.
     """
     doc = F.from_json("value", "struct<time: bigint, states: array<array<string>>>")
@@ -155,7 +154,7 @@ def read_aircraft(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 
 def parse_satellites(docs: DataFrame, as_of: Column, group: str = "ISS",
-                     limit: int | None = SATELLITE_LIMIT) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """Satellites from catalogue documents; missing numbers are 0."""
     rows = docs.select(F.posexplode(F.from_json("value", SATELLITE_RECORD)).alias("at", "r"))
     if limit is not None:
@@ -174,7 +173,7 @@ def parse_satellites(docs: DataFrame, as_of: Column, group: str = "ISS",
     return rows.select(
         key_id(F.lit(group), number, as_of).alias("packet_id"),
         as_of.alias("timestamp"),
-        tracked_id("SAT", name, 20).alias("spacecraft_id"),
+        tracked_id("SAT", F.concat_ws("_", name, number)).alias("spacecraft_id"),
         F.lit("TM").alias("packet_type"),
         F.lit(APID_SATELLITE).alias("apid"),
         F.pmod("at", F.lit(C.SEQUENCE_MODULO)).cast("int").alias("sequence_count"),

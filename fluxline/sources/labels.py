@@ -39,8 +39,9 @@ _NUMBERS = ("v_icme_km_s", "v_max_km_s", "b_nt", "dst_min_nt", "v_transit_km_s")
 def parse_index(docs: DataFrame, index: str) -> DataFrame:
     """(timestamp, value) from parallel-array documents.
 
-    A missing array or unequal lengths raise; of repeated times the last in a
-    document wins.
+    A missing array or unequal lengths raise. Of repeated times the last in a
+    document wins, and of several documents the one whose name (column
+    ``document``, else its text) sorts last.
     """
     doc = F.from_json("value", f"struct<`{index}`: array<string>, datetime: array<string>>")
     v, t = F.col(f"d.{index}"), F.col("d.datetime")
@@ -50,10 +51,11 @@ def parse_index(docs: DataFrame, index: str) -> DataFrame:
         .when(F.size(v) != F.size(t), F.raise_error(F.lit(f"'{index}' and 'datetime' differ in length")))
         .otherwise(F.arrays_zip(t.alias("t"), v.alias("v")))
     )
-    rows = docs.withColumn("d", doc).select(F.posexplode(checked).alias("at", "z"))
+    named = docs if "document" in docs.columns else docs.withColumn("document", F.sha2("value", 256))
+    rows = named.withColumn("d", doc).select("document", F.posexplode(checked).alias("at", "z"))
     return rows.select(
-        F.to_timestamp("z.t").alias("timestamp"), F.col("z.v").alias("value"), "at"
-    ).groupBy("timestamp").agg(F.max_by("value", "at").alias("value"))
+        F.to_timestamp("z.t").alias("timestamp"), F.col("z.v").alias("value"), "document", "at"
+    ).groupBy("timestamp").agg(F.max_by("value", F.struct("document", "at")).alias("value"))
 
 
 def join_indices(kp: DataFrame, ap: DataFrame, status: DataFrame | None = None) -> DataFrame:
@@ -132,4 +134,5 @@ def catalog_summary(catalog: DataFrame) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str, index: str) -> DataFrame:
-    return parse_index(spark.read.text(path, wholetext=True), index)
+    docs = spark.read.text(path, wholetext=True)
+    return parse_index(docs.withColumn("document", F.col("_metadata.file_path")), index)

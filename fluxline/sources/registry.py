@@ -30,6 +30,11 @@ def read_source(spark: SparkSession, name: str, path: str, start: str, end: str)
     return _READERS[name](spark, path, start, end)
 
 
+def _inside(packets: DataFrame, start: str, end: str) -> DataFrame:
+    return packets.filter(F.col("timestamp").between(
+        F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+
+
 register_source(
     "archive_mag",
     lambda s, p, a, b: archive.in_coverage(archive.read_mag(s, p), a, b))
@@ -38,7 +43,8 @@ register_source(
     lambda s, p, a, b: archive.in_coverage(archive.read_plasma(s, p), a, b))
 register_source("live_mag", feeds.read_live_mag)
 register_source("live_plasma", feeds.read_live_plasma)
-register_source("aircraft", lambda s, p, a, b: feeds.read_aircraft(s, p))
+register_source("aircraft", lambda s, p, a, b: _inside(feeds.read_aircraft(s, p), a, b))
+# A catalogue is of the day it is read for: the end of the window.
 register_source(
     "satellites",
-    lambda s, p, a, b: feeds.read_satellites(s, p, F.lit(b).cast("timestamp")))
+    lambda s, p, a, b: _inside(feeds.read_satellites(s, p, F.lit(b).cast("timestamp")), a, b))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fluxline.session import scratch_path
 
@@ -37,6 +40,20 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return writer.foreachBatch(keep).start()
 
 
+def drain_newest(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
+    """Runs a stream of aggregates to its end and keeps the last state of every
+    key, so that windows the watermark has not closed yet are there too."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    query = to_table(stream, f"{path}/rows", f"{path}/checkpoint", "update")
+    query.awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(
+        f"{path}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last"))
+    return last.select(*keys, "__last.*").select(stream.columns)
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs a stream to its end through a table in the shared folder."""
     spark = stream.sparkSession

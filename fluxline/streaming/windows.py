@@ -1,7 +1,9 @@
 """Windowed streams: resampling, hourly reports, label attachment.
 
 They reuse the batch expressions. Tumbling windows are half-open, and rows
-later than the watermark are dropped by Spark, unlike in the batch reports.
+later than the watermark are dropped by Spark, unlike in the batch reports. In
+append mode a window comes out once closed; ``run.drain_newest`` also gives those
+still open.
 """
 
 from __future__ import annotations
@@ -48,15 +50,11 @@ def hourly_objects(stream: DataFrame, ts: str = "timestamp", delay: str = DELAY)
         ["__w", "source"]).select(F.col("__w.start").alias("hour"), "source")
 
 
-def validity(labels: DataFrame, ts: str, horizon: str = "400 days", start: str = "valid_from",
-             end: str = "valid_to") -> DataFrame:
-    """Label rows with the time they hold: until just before the next one.
-
-    The last label holds for ``horizon``.
-    """
+def validity(labels: DataFrame, ts: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Label rows with the time they hold: until just before the next one. The
+    last one holds for ever; its end is NULL."""
     nxt = neighbour(labels, [ts], {ts: "__next"}, forward=True, slices=measured(labels, [ts]))
-    last = F.col(ts) + F.expr(f"INTERVAL {horizon}")
-    until = F.coalesce(F.col("__next") - F.expr("INTERVAL 1 MICROSECOND"), last)
+    until = F.col("__next") - F.expr("INTERVAL 1 MICROSECOND")
     return nxt.withColumn(end, until).withColumnRenamed(ts, start).drop("__next")
 
 
@@ -64,5 +62,12 @@ def attach_labels(stream: DataFrame, labels: DataFrame, ts: str, label_ts: str =
                   bucket_seconds: int = 3 * 3600) -> DataFrame:
     """Stream rows with the label that holds at their time (stream-static)."""
     held = validity(labels, label_ts)
-    return interval_join(stream, held, ts, "valid_from", "valid_to", how="left",
-                         bucket_seconds=bucket_seconds)
+    joined = interval_join(stream, held.filter("valid_to IS NOT NULL"), ts, "valid_from", "valid_to", how="left",
+                           bucket_seconds=bucket_seconds)
+    # The last label has no end to cut into buckets: one row, put in as it is.
+    last = held.filter("valid_to IS NULL").orderBy(F.desc("valid_from")).first()
+    if last is None:
+        return joined
+    since = F.col(ts) >= F.lit(last["valid_from"]).cast(held.schema["valid_from"].dataType)
+    return joined.withColumns({
+        f.name: F.when(since, F.lit(last[f.name]).cast(f.dataType)).otherwise(F.col(f.name)) for f in held.schema})

@@ -230,12 +230,23 @@ def test_last_k(spark, rows):
     assert all(r["count"] == 2 for r in per)
 
 
+def test_tree_digest_has_one_root_at_any_size(spark, rows):
+    text = F.concat_ws("|", "id", "v")
+    for fanout in (2, 3, 64):
+        got = tree_digest(rows, ["key"], ["ts", "id"], text, fanout=fanout)
+        assert got.count() == rows.select("key").distinct().count()
+        assert got.agg(F.sum("rows")).first()[0] == rows.count()
+        # A key's root does not depend on what other keys are there.
+        one = tree_digest(rows.filter("key = 5"), ["key"], ["ts", "id"], text, fanout=fanout)
+        assert as_set(one, "fingerprint") == as_set(got.filter("key = 5"), "fingerprint")
+
+
 def test_tree_digest_sees_every_change(spark, rows):
     text = F.concat_ws("|", "id", "v")
     cut = measured(rows, ["ts", "id"], rows_per_slice=40)
 
     def root(df, s=cut):
-        return tree_digest(df, ["key"], ["ts", "id"], text, s, fanout=8, levels=3)
+        return tree_digest(df, ["key"], ["ts", "id"], text, s, fanout=8)
 
     base = root(rows)
     assert as_set(base, "key", "fingerprint", "rows") == as_set(root(rows.repartition(3), WHOLE), "key", "fingerprint", "rows")

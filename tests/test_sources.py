@@ -17,10 +17,10 @@ def write(path, text):
 
 PLASMA_LINES = """# a comment
 
-2018-03-15T00:00:00.000000000Z,0,-420.0,12.5,-3.2,1,1,1,37.5,1,5.2,1,85000.0,1
-2018-03-15T00:01:00.123456789Z,2,-421.0,12.5,-3.2,1,1,1,37.5,1,bad,1,,1,extra
-2018-03-15T00:02:00Z,0,-420.0
-not a time,0,-420.0,12.5,-3.2,1,1,1,37.5,1,5.2,1,85000.0,1
+2018-03-15T00:00:00.000000000Z,0,-391.0,8.25,-14.5,1,1,1,44.0,1,7.9,1,61250.0,1
+2018-03-15T00:01:00.123456789Z,2,-392.5,8.25,-14.5,1,1,1,44.0,1,bad,1,,1,extra
+2018-03-15T00:02:00Z,0,-391.0
+not a time,0,-391.0,8.25,-14.5,1,1,1,44.0,1,7.9,1,61250.0,1
 """
 
 
@@ -29,8 +29,8 @@ def test_archive_plasma(spark, tmp_path):
     rows = archive.read_plasma(spark, path).orderBy("timestamp").collect()
     assert [r.timestamp for r in rows] == [datetime(2018, 3, 15), datetime(2018, 3, 15, 0, 1, 0, 123456)]
     first, second = rows
-    assert first.bulk_speed_km_s == pytest.approx((420**2 + 12.5**2 + 3.2**2) ** 0.5)
-    assert (first.proton_density_n_cc, first.ion_temperature_k, first.apid) == (5.2, 85000.0, 100)
+    assert first.bulk_speed_km_s == pytest.approx((391**2 + 8.25**2 + 14.5**2) ** 0.5)
+    assert (first.proton_density_n_cc, first.ion_temperature_k, first.apid) == (7.9, 61250.0, 100)
     assert (second.proton_density_n_cc, second.ion_temperature_k, second.data_quality_flag) == (0.0, 0.0, 2.0)
     assert archive.read_plasma(spark, path, bad="null").filter("proton_density_n_cc IS NULL").count() == 1
     bad = {r.reject_reason for r in archive.rejects(spark.read.text(path), "plasma").collect()}
@@ -39,17 +39,17 @@ def test_archive_plasma(spark, tmp_path):
 
 def test_archive_mag_and_window(spark, tmp_path):
     mag = write(tmp_path / "m.csv", "".join(
-        f"{t},2.6,0.1,-2.1,1.3,-0.8" + ",0.1" * 9 + "\n"
+        f"{t},3.3,0.1,-1.7,2.4,-1.5" + ",0.1" * 9 + "\n"
         for t in ("2016-07-26T23:59:59Z", "2016-07-27T00:00:00Z", "2019-07-01T00:00:00.5Z")))
     plasma = write(tmp_path / "p.csv", "".join(
-        f"{t},0,-420.0,12.5,-3.2,1,1,1,37.5,1,5.2,1,85000.0,1\n"
+        f"{t},0,-391.0,8.25,-14.5,1,1,1,44.0,1,7.9,1,61250.0,1\n"
         for t in ("2019-06-27T23:59:00Z", "2019-06-28T00:00:00Z")))
     both = archive.read_archive(spark, mag, plasma, "2016-01-01 00:00:00", "2020-01-01 00:00:00")
     got = sorted((r.instrument, str(r.timestamp)) for r in both.collect())
     assert got == [("mag", "2016-07-27 00:00:00"), ("mag", "2019-07-01 00:00:00.500000"),
                    ("plasma", "2019-06-27 23:59:00")]
     one = archive.read_mag(spark, mag).first()
-    assert (one.bt_nt, one.bx_gse_nt, one.by_gse_nt, one.bz_gse_nt) == (2.6, -2.1, 1.3, -0.8)
+    assert (one.bt_nt, one.bx_gse_nt, one.by_gse_nt, one.bz_gse_nt) == (3.3, -1.7, 2.4, -1.5)
     empty = write(tmp_path / "e.csv", "")
     assert archive.read_mag(spark, empty).count() == 0
     numbered = archive.with_sequence(archive.read_mag(spark, mag))
@@ -93,24 +93,46 @@ def test_aircraft_and_satellites(spark, tmp_path):
     path = write(tmp_path / "a.json", json.dumps({"time": 1705320000, "states": [
         state("abc123", " UAL1 ", -100.12345, 40.98765), state("def456", "", -100, 41, True),
         state("aaa111", None, None, 41), state("fff000", "  ", -90, 80), state("bbb222", None, -90, 30, alt=None)]}))
-    rows = {r.icao24: r for r in feeds.read_aircraft(spark, path).collect()}
+    rows = {r.icao24: r for r in feeds.read_aircraft(spark, path, box=feeds.NORTH_AMERICA).collect()}
     assert set(rows) == {"abc123", "bbb222"}
+    everywhere = {r.icao24 for r in feeds.read_aircraft(spark, path).collect()}
+    assert everywhere == {"abc123", "bbb222", "fff000"}
     r = rows["abc123"]
     assert (r.spacecraft_id, r.callsign, r.latitude_deg, r.longitude_deg) == ("AIRCRAFT_ABC123", "UAL1", 40.9877, -100.1235)
     assert (r.baro_altitude_m, r.velocity_ms, r.vertical_rate_ms) == (800.0, 250.3, -0.13)
     assert rows["bbb222"].callsign == "bbb222" and rows["bbb222"].baro_altitude_m == 0.0
     assert feeds.read_aircraft(spark, path, limit=1).count() == 1
-    assert feeds.low_aircraft(feeds.read_aircraft(spark, path)).count() == 1
+    assert feeds.low_aircraft(feeds.read_aircraft(spark, path, box=feeds.NORTH_AMERICA)).count() == 1
 
     sats = write(tmp_path / "s.json", json.dumps([
         {"OBJECT_NAME": "ISS (ZARYA)", "NORAD_CAT_ID": 25544, "PERIOD": "92.9", "APOGEE": None},
         {"OBJECT_NAME": "A VERY LONG SATELLITE NAME", "CCSDS_OMID": "X1"}, {}]))
     got = feeds.read_satellites(spark, sats, F.lit("2024-01-01").cast("timestamp")).orderBy("sequence_count").collect()
-    assert [g.spacecraft_id for g in got] == ["SAT_ISS_(ZARYA)", "SAT_A_VERY_LONG_SATELLIT", "SAT_UNKNOWN"]
+    assert [g.spacecraft_id for g in got] == [
+        "SAT_ISS_(ZARYA)_25544", "SAT_A_VERY_LONG_SATELLITE_NAME_X1", "SAT_UNKNOWN_2"]
     assert [g.catalog_number for g in got] == ["25544", "X1", "2"]
     assert (got[0].period_min, got[0].apogee_km) == (92.9, 0.0)
 
 
+def test_inputs_are_taken_whole(spark, tmp_path):
+    states = [[f"p{i:03d}", "", "", 1, 1705320000 + i, 20.0, 10.0, 5000.0, False] for i in range(120)]
+    planes = write(tmp_path / "a.json", json.dumps({"time": 1705320000, "states": states}))
+    assert feeds.read_aircraft(spark, planes).count() == 120
+    window = ("2024-01-15 12:00:10", "2024-01-15 12:00:19")
+    assert registry.read_source(spark, "aircraft", planes, *window).count() == 10
+    sats = write(tmp_path / "s.json", json.dumps([{"OBJECT_NAME": "ONE LONG COMMON NAME FOR ALL", "NORAD_CAT_ID": i} for i in range(45)]))
+    got = registry.read_source(spark, "satellites", sats, *window)
+    assert got.select("spacecraft_id").distinct().count() == 45
+
+
+def test_index_documents_in_order_of_name(spark):
+    at = ["2024-01-01T00:00:00Z", "2024-01-01T03:00:00Z"]
+    docs = [("b.json", json.dumps({"Kp": [9.0], "datetime": at[:1]})), ("a.json", json.dumps({"Kp": [1.0, 2.0], "datetime": at}))]
+    for rows in (docs, docs[::-1]):
+        got = labels.parse_index(spark.createDataFrame(rows, "document string, value string"), "Kp").collect()
+        assert sorted(float(r.value) for r in got) == [2.0, 9.0]
+
+
 @pytest.mark.parametrize("kp,scale", [
     (0.0, 0), (3.667, 0), (4.333, 0), (4.5, 0), (4.667, 1), (5.0, 1), (5.333, 1), (5.5, 2), (5.667, 2), (6.0, 2),
     (7.0, 3), (8.0, 4), (8.333, 4), (8.667, 5), (9.0, 5), (10.0, 5)])
