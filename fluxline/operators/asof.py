@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxline.operators.slices import (
-    MAX_SLICES,
+    MAX_CUTS,
     ROWS_PER_SLICE,
     Slices,
     measured,
@@ -210,7 +210,7 @@ def _stream(left, right, left_on, right_on, by, take, tie, back, tolerance, how,
     keys = [f"__k{i}" for i in range(len(by))]
     stream = lrows.unionByName(rrows, allowMissingColumns=True)
     if slices is None:
-        slices = measured(stream, ["__t", "__spread"], rows_per_slice, MAX_SLICES)
+        slices = measured(stream, ["__t", "__spread"], rows_per_slice, MAX_CUTS)
 
     if slices.width_seconds is not None:
         number = slices.number("__t")

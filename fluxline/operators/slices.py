@@ -26,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 2_000
+# Cuts drawn from the sample. More slices than that divide the stretches between
+# cuts evenly, so their number follows the rows.
+MAX_CUTS = 2_000
 SAMPLE_PER_SLICE = 20
 
 _CELLS_PER_CUT = 4
@@ -58,6 +60,7 @@ class Slices:
     cuts: tuple[tuple, ...] = ()
     types: tuple[str, ...] = ()
     width_seconds: int | None = None
+    parts: int = 1
 
     @property
     def split(self) -> bool:
@@ -71,7 +74,17 @@ class Slices:
             return F.floor(seconds / self.width_seconds).cast("long")
         if not self.cuts:
             return F.lit(0).cast("long")
-        return F.coalesce(self._by_cell(cols), F.lit(0)).cast("long")
+        found = F.coalesce(self._by_cell(cols), F.lit(0)).cast("long")
+        return found if self.parts == 1 else found * self.parts + self._part(cols[0], found)
+
+    def _part(self, col: Column, found: Column) -> Column:
+        """Part of the stretch between two cuts, by the leading column."""
+        lead = [c[0] for c in self.cuts]
+        v, at = _whole(col, self.types[0]), found.cast("int")
+        low, high = F.get(_longs([lead[0], *lead]), at), F.get(_longs([*lead, lead[-1]]), at)
+        share = (v - low) / F.greatest(high - low, F.lit(1)).cast("double")
+        inside = F.least(F.greatest(F.floor(share * self.parts), F.lit(0)), F.lit(self.parts - 1))
+        return F.coalesce(inside, F.lit(0)).cast("long")
 
     def _by_cell(self, cols: Sequence[Column]) -> Column:
         """Cells of equal width hold a few cuts each, kept as constant arrays:
@@ -140,12 +153,12 @@ def measured(
     df: DataFrame,
     order: Sequence[str],
     rows_per_slice: int = ROWS_PER_SLICE,
-    max_slices: int = MAX_SLICES,
+    max_cuts: int = MAX_CUTS,
 ) -> Slices:
     """Cuts at the sampled quantiles of ``order``.
 
     The leading order column must be a time or a number. At most about
-    ``SAMPLE_PER_SLICE * max_slices`` sampled values come to the driver,
+    ``SAMPLE_PER_SLICE * max_cuts`` sampled values come to the driver,
     whatever the size of ``df``. Further order columns are only sampled when
     some value of the leading one is so common that cuts fall together on it.
     """
@@ -154,7 +167,8 @@ def measured(
         raise ValueError(f"cannot cut by {order[0]!r} of type {kinds[0]}")
     lead = df.select(_whole(F.col(order[0]), kinds[0]).alias("v")).dropna()
     rows = lead.count()
-    wanted = min(max_slices, rows // max(1, rows_per_slice))
+    slices = rows // max(1, rows_per_slice)
+    wanted = min(max_cuts, slices)
     if wanted < 1:
         return WHOLE
     fraction = min(1.0, SAMPLE_PER_SLICE * (wanted + 1) / rows)
@@ -171,4 +185,4 @@ def measured(
         cuts = [(c[0], *map(str, c[1:])) for c in cuts]
     else:
         kinds = kinds[:1]
-    return Slices(cuts=tuple(dict.fromkeys(cuts)), types=tuple(kinds))
+    return Slices(cuts=tuple(dict.fromkeys(cuts)), types=tuple(kinds), parts=-(-slices // wanted))

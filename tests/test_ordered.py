@@ -230,6 +230,17 @@ def test_last_k(spark, rows):
     assert all(r["count"] == 2 for r in per)
 
 
+def test_slices_follow_the_rows(spark, rows):
+    """More slices than cuts: their number still never falls along the order."""
+    cut = measured(rows, ["ts", "id"], rows_per_slice=4, max_cuts=5)
+    got = [r.s for r in rows.select("ts", "id", cut.number("ts", "id").alias("s")).orderBy("ts", "id").collect()]
+    assert got == sorted(got) and len(set(got)) > 20
+    text = F.concat_ws("|", "id", "v")
+    plain = tree_digest(rows, ["key"], ["ts", "id"], text, WHOLE, fanout=8)
+    sliced = tree_digest(rows, ["key"], ["ts", "id"], text, cut, fanout=8)
+    assert as_set(plain, "key", "fingerprint", "rows") == as_set(sliced, "key", "fingerprint", "rows")
+
+
 def test_tree_digest_has_one_root_at_any_size(spark, rows):
     text = F.concat_ws("|", "id", "v")
     for fanout in (2, 3, 64):
