@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxline.operators.grid import lagged
 from fluxline.plans import causal
-from fluxline.queries.catalog import query, rounded
+from fluxline.queries.catalog import EVENTS_SQL, events, query, rounded
 from fluxline.queries.temporal import features, features_sql
 from fluxline.session import stored
 
@@ -168,3 +168,46 @@ def top_event_drivers(spark, sf_dir):
     f = stored(features(spark, sf_dir), "features")
     out = causal.explain_top(f, causal.fit(f, WIDE_TERMS), 5).drop("drivers")
     return rounded(out, "predicted", "primary_contribution", "persistence", "baseline")
+
+
+# -- graphs --------------------------------------------------------------------
+
+_GRAPH = f"""(SELECT 'v' || (user_id % 4) AS source, 'v' || (k % 3) AS target, CAST(1 + k % 5 AS INTEGER) AS lag,
+  count(*) / 1000.0::DOUBLE AS strength FROM {EVENTS_SQL} GROUP BY 1, 2, 3)"""
+
+
+def _graph(spark, sf_dir):
+    return events(spark, sf_dir).groupBy(
+        F.concat(F.lit("v"), F.col("user_id") % 4).alias("source"),
+        F.concat(F.lit("v"), F.col("k") % 3).alias("target"), (1 + F.col("k") % 5).cast("int").alias("lag"),
+    ).agg((F.count(F.lit(1)) / 1000.0).alias("strength"))
+
+
+@query("edges_by_end", f"""
+SELECT 'into' AS part, * FROM {_GRAPH} WHERE target = 'v1' UNION ALL
+SELECT 'from', * FROM {_GRAPH} WHERE source = 'v3' UNION ALL
+SELECT 'between', * FROM {_GRAPH} WHERE source = 'v0' AND target = 'v2' UNION ALL
+SELECT 'at', * FROM {_GRAPH} WHERE source = 'v0' AND target = 'v2' AND lag = 3""")
+def edges_by_end(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    parts = {"into": causal.edges_into(g, "v1"), "from": causal.edges_from(g, "v3"),
+             "between": causal.edges_between(g, "v0", "v2"), "at": causal.edges_between(g, "v0", "v2", 3)}
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("part"), "source", "target", "lag", "strength")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("model_terms", f"""
+SELECT DISTINCT 'as found' AS form, source AS var, lag FROM {_GRAPH} WHERE target = 'v1' UNION ALL
+SELECT DISTINCT 'drivers', source, lag FROM {_GRAPH} WHERE target = 'v1' AND source <> 'v1' UNION ALL
+SELECT 'widened', source, CAST(unnest(range(1, 9)) AS INTEGER) FROM
+  (SELECT DISTINCT source FROM {_GRAPH} WHERE target = 'v1' AND source <> 'v1') UNION ALL
+SELECT DISTINCT 'widened', source, lag FROM {_GRAPH} WHERE target = 'v1' AND source = 'v1'""")
+def model_terms(spark, sf_dir):
+    """Terms of a target's model in its three forms."""
+    g = _graph(spark, sf_dir)
+    forms = {"as found": {}, "drivers": {"autoregressive": False}, "widened": {"exogenous_lags": 8}}
+    rows = [(form, v, k) for form, kw in forms.items() for v, k in causal.model_terms(g, "v1", **kw)]
+    return spark.createDataFrame(rows, "form string, var string, lag int")

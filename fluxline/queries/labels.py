@@ -234,6 +234,14 @@ def aircraft_states(spark, sf_dir):
         "latitude_deg", "baro_altitude_m", "geo_altitude_m", "true_track_deg", "vertical_rate_ms", "squawk")
 
 
+@query("aircraft_in_area", f"""
+SELECT spacecraft_id, latitude_deg FROM ({_AIRCRAFT}) WHERE latitude_deg <= 28.05""")
+def aircraft_in_area(spark, sf_dir):
+    """An area that leaves out the northern part."""
+    area = (24.0, 28.05, -140.0, -52.0)
+    return feeds.parse_aircraft(_aircraft_docs(spark, sf_dir), box=area).select("spacecraft_id", "latitude_deg")
+
+
 @query("low_aircraft", f"""
 SELECT spacecraft_id, baro_altitude_m FROM ({_AIRCRAFT}) WHERE baro_altitude_m > 0 AND baro_altitude_m < 1000""")
 def low_aircraft(spark, sf_dir):

@@ -86,6 +86,16 @@ def recommended_action(spark, sf_dir):
     return out.select("event_id", "rule_id", "recommended_action_id")
 
 
+@query("actions_in_order", f"""
+SELECT event_id, rule_id, CASE rule_id WHEN 'value-high' THEN 'protect,watch' WHEN 'value-critical' THEN 'stop,call'
+  WHEN 'value-low' THEN 'note' END AS action_ids FROM {FLAGS_SQL}""")
+def actions_in_order(spark, sf_dir):
+    """All actions of a flag's rule by priority; rules without any are shown too."""
+    lists = rules.action_lists(rules.actions_table(spark, ACTIONS))
+    return flags(spark, sf_dir).join(lists, "rule_id", "left").select(
+        "event_id", "rule_id", F.array_join(F.col("actions.action_id"), ",").alias("action_ids"))
+
+
 _DECISIONS = f"""(SELECT event_id AS decision_id, ts AS decided_at, user_id, k FROM {EVENTS_SQL}
   WHERE event_type = 'click')"""
 
@@ -112,6 +122,20 @@ def decisions_latest(spark, sf_dir):
         "event_id", "rule_id", "decided_at", "actor", "acknowledged")
 
 
+@query("acknowledged_flags", f"""
+SELECT f.event_id, f.rule_id, a.operator_id AS acknowledged_by, a.operator_id IS NOT NULL AS acknowledged
+FROM (SELECT f.*, e.k FROM {FLAGS_SQL} f JOIN {EVENTS_SQL} e USING (event_id)) f
+LEFT JOIN (SELECT user_id, k, 'op' || CAST(arg_max(decision_id, decided_at) % 7 AS VARCHAR) AS operator_id
+  FROM {_DECISIONS} GROUP BY 1, 2) a ON f.user_id = a.user_id AND f.k = a.k""")
+def acknowledged_flags(spark, sf_dir):
+    """Flags with the last operator who acknowledged them, and those nobody did."""
+    f = flags(spark, sf_dir).drop("flag_id").withColumn("flag_id", F.concat_ws("-", "user_id", "k"))
+    acks = events(spark, sf_dir, "click").select(
+        F.concat_ws("-", "user_id", "k").alias("flag_id"), F.col("ts").alias("acked_at"),
+        F.concat(F.lit("op"), (F.col("event_id") % 7).cast("string")).alias("operator_id"))
+    return rules.acknowledge(f, acks).select("event_id", "rule_id", "acknowledged_by", "acknowledged")
+
+
 @query("detection_summary", f"""
 SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'low') AS low,
   count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'high') AS high,
