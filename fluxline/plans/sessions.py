@@ -28,10 +28,13 @@ def session_summary(
     session: str = "session_id",
     ts: str = "timestamp",
     events: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row per session: extent, packets, flags by severity, events.
 
-    Each table is reduced to its session keys before the joins.
+    Each table is reduced to its session keys before the joins. A session with
+    flags alone is there too, and with ``known`` (a table of sessions) exactly
+    the sessions it names, whether or not anything came in for them.
     """
     p = packets.groupBy(session).agg(
         F.min(ts).alias("start_time"),
@@ -48,7 +51,10 @@ def session_summary(
           if "acknowledged" in flags.columns else []),
     )
     figures = [c for c in f.columns if c != session]
-    out = p.join(f, session, "left").fillna(0, figures)
+    out = p.join(f, session, "full_outer")
+    if known is not None:
+        out = known.select(session).distinct().join(out, session, "left")
+    out = out.fillna(0, ["packet_count", *figures])
     if events is not None:
         e = events.groupBy(session).agg(F.count(F.lit(1)).alias("event_count"))
         out = out.join(e, session, "left").fillna(0, ["event_count"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxline.operators import alerts, provenance, rules
+from fluxline.operators import alerts, gates, provenance, rules
 from fluxline.plans import reports, sessions
 from fluxline.queries.catalog import EVENTS_SQL, events, query, rounded, table
 
@@ -259,6 +259,44 @@ def session_summary(spark, sf_dir):
     return rounded(_summary(spark, sf_dir), "duration_seconds", "packets_per_hour")
 
 
+@query("registered_sessions", f"""
+WITH p AS (SELECT user_id, min(ts) AS start_time, max(ts) AS end_time, count(*) AS packet_count
+  FROM events WHERE event_type = 'error' GROUP BY 1),
+f AS (SELECT user_id, count(*) AS anomaly_count, count(*) FILTER (WHERE severity = 'critical') AS critical_count
+  FROM {FLAGS_SQL} WHERE event_type = 'error' GROUP BY 1)
+SELECT c_custkey AS session_id, start_time, end_time, coalesce(packet_count, 0) AS packet_count,
+  coalesce(anomaly_count, 0) AS anomaly_count, coalesce(critical_count, 0) AS critical_count
+FROM customer LEFT JOIN p ON c_custkey = p.user_id LEFT JOIN f ON c_custkey = f.user_id""")
+def registered_sessions(spark, sf_dir):
+    """Customers as registered sessions; most sent no error packet, and some flags
+    belong to none of them."""
+    errors = events(spark, sf_dir, "error").select(
+        F.col("user_id").alias("session_id"), F.col("ts").alias("timestamp"))
+    found = flags(spark, sf_dir).filter("event_type = 'error'").withColumnRenamed("user_id", "session_id")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
+    return sessions.session_summary(errors, found, known=known).select(
+        "session_id", "start_time", "end_time", "packet_count", "anomaly_count", "critical_count")
+
+
+@query("produced_events", f"""
+SELECT CASE WHEN ok > 0 THEN 'source_ingested' ELSE 'source_failed' END AS event_type, source,
+  CAST(ok AS VARCHAR) AS packets_ingested, CAST(NULL AS VARCHAR) AS rule_id
+FROM (SELECT 'u' || (user_id % 300) || event_type AS source, count(*) FILTER (WHERE k > 60) AS ok FROM {EVENTS_SQL} GROUP BY 1)
+UNION ALL SELECT 'alert_created', CAST(user_id AS VARCHAR), NULL, rule_id FROM {FLAGS_SQL}""")
+def produced_events(spark, sf_dir):
+    """Operational events made from ingestion results and from flags."""
+    packets = events(spark, sf_dir).withColumn(
+        "source", F.concat(F.lit("u"), (F.col("user_id") % 300).cast("string"), "event_type"))
+    result = gates.ingestion_result(packets, [("k", F.col("k") > 60)])
+    made = reports.ingestion_events(result, F.lit("2024-01-15").cast("timestamp"))
+    alerts_made = reports.alert_events(
+        flags(spark, sf_dir).withColumn("spacecraft_id", F.col("user_id").cast("string")).withColumn(
+            "ts", F.col("ts").cast("timestamp")), "ts")
+    both = made.unionByName(alerts_made)
+    return both.select("event_type", "source", F.col("details")["packets_ingested"].alias("packets_ingested"),
+                       F.col("details")["rule_id"].alias("rule_id"))
+
+
 @query("mission_report", f"""
 SELECT session_id, packet_count, anomaly_count, unacknowledged,
   CASE WHEN critical_count > 0 THEN 'CRITICAL' WHEN high_count > 2 THEN 'DEGRADED'
