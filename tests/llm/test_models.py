@@ -1,6 +1,7 @@
 """Learnt operators: on made-up text, and on rows no label was learnt from."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -56,6 +57,13 @@ def test_plain_text_is_left_alone(characters):
     assert toxicity.normal_words(text, characters, {})[1] == []
 
 
+def test_long_runs_take_linear_time(characters):
+    for text in ("=" * 200_000, "a" * 200_000, "a b " * 50_000, "a1" * 100_000, "ab$" * 60_000, "aaab" * 50_000):
+        begin = time.perf_counter()
+        toxicity.normal_words(text, characters, {})
+        assert time.perf_counter() - begin < 20
+
+
 def test_disguised_words_score_like_plain_ones(characters):
     model = toxicity.Model(characters, {" villain ": 0.9}, 0.05)
     scores = [model.score(f"a {w} by the river")[0] for w in ("villain", "v1llain", "VILLAIN", "viiillain", "v i l l a i n")]
