@@ -139,12 +139,12 @@ def asof_within(spark, sf_dir):
 @query("kp_label_by_row", f"""
 WITH kp AS ({KP_SQL}), m AS ({MAG_SQL})
 SELECT m.event_id, m.timestamp, m.bz AS bz_gse_nt, kp.kp, kp.g_scale
-FROM m ASOF LEFT JOIN kp ON m.timestamp >= kp.timestamp WHERE kp.g_scale >= 4""")
+FROM m ASOF LEFT JOIN kp ON m.timestamp >= kp.timestamp""")
 def kp_label_by_row(spark, sf_dir):
+    """Every row, those before the first label included."""
     rows = mag_rows(spark, sf_dir).select("event_id", F.col("timestamp"), "bz_gse_nt")
     kp = kp_rows(spark, sf_dir).withColumnRenamed("timestamp", "kp_at")
-    return asof_join(rows, kp, "timestamp", "kp_at", take=["kp", "g_scale"], tie=["kp"],
-                     how="inner").filter("g_scale >= 4")
+    return asof_join(rows, kp, "timestamp", "kp_at", take=["kp", "g_scale"], tie=["kp"])
 
 
 @query("interval_inner", f"""
