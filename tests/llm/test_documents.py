@@ -1,7 +1,6 @@
 """Operators that judge documents one by one, against plain versions of them."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
