@@ -33,7 +33,7 @@ SETTLE = 4096
 SHORT = 64
 LOCKSTEP = 1 << 16
 # Text bytes encoded together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 INF = 1 << 60
 
 
