@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tokenizers import Tokenizer
 
-from fluxline.llm.common import freed_shuffles, map_rows, slices, texts
+from fluxline.llm.common import freed_shuffles, map_rows, ranges, slices, texts
 
 END_ID = 0
 # Ids per block, about.
 BLOCK_IDS = 1 << 20
+# Parts a worker remembers, and their letters.
+MAX_PARTS, MAX_LETTERS = 600_000, 32 << 20
 
 # Length of each of the four values a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
@@ -56,12 +59,13 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class UnitTokenizer:
-    """The library's ids of whole texts, each distinct part encoded once a batch.
+    """The library's ids of whole texts, each distinct part encoded once a batch
+    and remembered up to a bound.
 
-    Byte-level tokenizers of this kind begin a new word at a single blank
-    between two characters that are not white space; texts are cut there. Texts
-    with other blanks, and all texts of a tokenizer of another kind, are given
-    to the library whole.
+    Byte-level tokenizers of this kind begin a new word at a single blank or line
+    break between two characters that are not white space; texts are cut there.
+    Texts with other white space, and all texts of a tokenizer of another kind,
+    are given to the library whole.
     """
 
     def __init__(self, data: bytes):
@@ -73,35 +77,49 @@ class UnitTokenizer:
                      and all(not t.lstrip and not t.rstrip and not t.single_word and " " not in t.content
                              for t in self.tokenizer.get_added_tokens_decoder().values()))
 
+        self._forget()
+
+    def _forget(self) -> None:
+        # Part -> its place in ``ends``. A part stands for a blank and itself, a
+        # part behind a line break for itself, and so does a text behind a NUL.
+        self.number: dict[str, int] = {}
+        self.letters = 0
+        self.tokens = np.empty(0, dtype=np.uint32)
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def _row(self, text: str) -> list[int]:
+        """Numbers of the parts of a text; parts not met before get new ones."""
+        number = self.number
+        first, *parts = text.replace("\n", " \n").split(" ")
+        row = [number.get(p, -1) for p in parts]
+        new = [p for p, n in zip(parts, row) if n < 0] if -1 in row else []
+        if not self.cuts or not first or first[-1].isspace() or "\0" in text or any(
+                not (q := p[p[:1] == "\n":]) or q[0].isspace() or q[-1].isspace() for p in new):
+            return [number.setdefault("\0" + text, len(number))]
+        for p in new:
+            number.setdefault(p, len(number))
+        return [number.setdefault("\0" + first, len(number)), *([number[p] for p in parts] if new else row)]
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        number: dict[str, int] = {}
-        rows: list[list[int]] = []
-        for text in batch:
-            first, *parts = text.split(" ")
-            if not self.cuts or not first or first[-1].isspace() or any(
-                    not p or p[0].isspace() or p[-1].isspace() for p in parts):
-                rows.append([number.setdefault(text, len(number))])
-            else:
-                parts = [" " + p for p in parts]
-                row = [number.get(p, -1) for p in parts]
-                if -1 in row:
-                    row = [number.setdefault(p, len(number)) for p in parts]
-                rows.append([number.setdefault(first, len(number)), *row])
-        units = list(number)
-        flat, counts = [], np.zeros(len(units), dtype=np.int64)
-        for i in range(0, len(units), 50_000):
-            for j, e in enumerate(self.tokenizer.encode_batch_fast(units[i:i + 50_000], add_special_tokens=False)):
+        if len(self.number) > MAX_PARTS or self.letters > MAX_LETTERS:
+            self._forget()
+        known = len(self.number)
+        rows = [self._row(text) for text in batch]
+        new = [p[1:] if p[0] == "\0" else p if p[0] == "\n" else " " + p
+               for p in islice(self.number, known, None)]
+        self.letters += sum(map(len, new))
+        counts, flat = [], []
+        for i in range(0, len(new), 50_000):
+            for e in self.tokenizer.encode_batch_fast(new[i:i + 50_000], add_special_tokens=False):
                 ids = e.ids
-                counts[i + j] = len(ids)
+                counts.append(len(ids))
                 flat += ids
-        tokens = np.array(flat, dtype=np.uint32)
-        begins = np.cumsum(counts) - counts
+        self.tokens = np.concatenate([self.tokens, np.array(flat, dtype=np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(counts, dtype=np.int64))])
         out = []
         for row in rows:
             r = np.array(row, dtype=np.int64)
-            n = counts[r]
-            at = np.repeat(begins[r] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append(tokens[at])
+            out.append(self.tokens[ranges(self.ends[r], self.ends[r + 1] - self.ends[r])])
         return out
 
 
