@@ -32,7 +32,7 @@ END_ID = 0
 # Ids per block, about.
 BLOCK_IDS = 1 << 20
 # Parts a worker remembers, and their letters.
-MAX_PARTS, MAX_LETTERS = 600_000, 32 << 20
+MAX_PARTS, MAX_LETTERS = 900_000, 32 << 20
 
 # Length of each of the four values a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
