@@ -39,9 +39,11 @@ from fluxline.session import stored
 CHUNKS, WIDTH, ERRORS = 13, 6, 1
 # Percent of the union two sets must share.
 THRESHOLD = 80
-# Signatures of a pair of a family agree in this share of places at least: far
-# enough below the threshold (over five standard deviations) to lose no link.
-AGREE = 0.55
+# Signatures of a hub and a member of its family agree in this share of places at
+# least. Far below the threshold: distance obeys the triangle inequality, so what
+# is linked to a member at 0.56 or more is itself in the hub's reach, and few
+# entries are left whose members are of several families.
+AGREE = 0.36
 # Shingles a block of a family holds, about.
 BLOCK_SHINGLES = 1 << 19
 # Word hashes a worker remembers.
@@ -261,9 +263,13 @@ def near_duplicates(
         named = (met.join(family, met["rep"] == family["node"], "left")
                  .select("entry", "hub", "rep", F.coalesce("component", "rep").alias("family")))
         named = stored(named, "entries")
-        mixed = (named.groupBy("entry").agg(F.min("family").alias("lo"), F.max("family").alias("hi"),
-                                            F.min(F.when(F.col("rep") == F.col("hub"), F.col("family"))).alias("main"))
-                 .where("lo <> hi").select("entry", "main"))
+        mixed = (named.groupBy("entry").agg(
+            F.min("family").alias("lo"), F.max("family").alias("hi"),
+            F.min(F.when(F.col("rep") == F.col("hub"), F.col("family"))).alias("main"),
+            F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+            .where("lo <> hi"))
+        # Entries with the same members give the same pairs; one of them is enough.
+        mixed = mixed.groupBy("who", "n", "main").agg(F.min("entry").alias("entry")).select("entry", "main")
         inside = named.join(mixed, "entry").select("entry", "rep", "family", "main")
         others = inside.where("family <> main").select("entry", F.col("rep").alias("a"), F.col("family").alias("fa"))
         crossed = (others.join(inside.select("entry", F.col("rep").alias("b"), F.col("family").alias("fb")), "entry")
