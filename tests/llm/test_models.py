@@ -64,6 +64,20 @@ def test_long_runs_take_linear_time(characters):
         assert time.perf_counter() - begin < 20
 
 
+@pytest.mark.parametrize("written, words", [
+    ("a v i l l a i n", ["villain"]), ("a f o o l v i l l a i n", ["fool", "villain"]),
+    ("a*f*o*o*l*v*i*l*l*a*i*n", ["fool", "villain"]), ("v  i  l  l  a  i  n", ["villain"]),
+    ("v i l l a i n " * 40, ["villain"] * 40), ("vi" + "l" * 90 + "ain", ["villain"]),
+    ("v1" + "l" * 9000 + "a1n", ["villain"]), ("villaiin", ["villain"]), ("o a k", ["oak"])])
+def test_restores_words_run_together_and_long_ones(written, words):
+    counts = {}
+    for word in ["villain", "oak"] * 50 + ["stone", "river", "table", "winter", "fool", "a"] * 40:
+        for i in range(len(word) + 1):
+            gram = f"  {word} "[i:i + 3]
+            counts[gram] = counts.get(gram, 0) + 1
+    assert toxicity.normal_words(f"the {written}, of", toxicity.CharModel(counts), {})[1] == words
+
+
 def test_disguised_words_score_like_plain_ones(characters):
     model = toxicity.Model(characters, {" villain ": 0.9}, 0.05)
     scores = [model.score(f"a {w} by the river")[0] for w in ("villain", "v1llain", "VILLAIN", "viiillain", "v i l l a i n")]
