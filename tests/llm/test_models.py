@@ -78,6 +78,19 @@ def test_restores_words_run_together_and_long_ones(written, words):
     assert toxicity.normal_words(f"the {written}, of", toxicity.CharModel(counts), {})[1] == words
 
 
+def test_all_letters_of_all_scripts_are_counted(spark):
+    letters = [chr(c) for c in range(0x3b1, 0x3c9)] + [chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnop")
+    rows = [(i, f"{c}{d}{c} {d}{c}{c}") for i, (c, d) in enumerate(zip(letters, letters[1:]))]
+    counts = toxicity.count_trigrams(spark.createDataFrame([*rows, (-1, "дурак " * 9)], "doc_id bigint, text string"))
+    assert {g[2] for g in counts} == {*letters, " "} and len(letters) > 60
+    assert toxicity.normal_words("д у р а к", toxicity.CharModel(counts), {})[1] == ["дурак"]
+    # Over the bound, rare letters share a place and nothing is left out.
+    grams = spark.createDataFrame(list(counts.items()), "gram string, n bigint")
+    folded = toxicity.bounded(grams, 60)
+    assert len(folded) <= 60 and sum(folded.values()) == sum(counts.values())
+    assert any(toxicity.OTHER in g for g in folded)
+
+
 def test_disguised_words_score_like_plain_ones(characters):
     model = toxicity.Model(characters, {" villain ": 0.9}, 0.05)
     scores = [model.score(f"a {w} by the river")[0] for w in ("villain", "v1llain", "VILLAIN", "viiillain", "v i l l a i n")]
