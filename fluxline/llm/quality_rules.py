@@ -11,8 +11,9 @@ rejected.
 Each step is two aggregates over the statistics table with map-side combine: a
 histogram of distances by group, which gives the distance that ``support`` of
 the rows do not exceed, and sums of products. Only one small row per group is
-joined back. Groups with fewer rows than ``min_rows`` are pooled by language,
-and pools with fewer into one.
+joined back. The same is done for every language and for all rows; a group's
+centre and scatter are drawn towards those of its language, and these towards
+those of all rows, by ``n / (n + prior_rows)`` at every size n.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ REPEAT_PERCENT = 30
 
 SUPPORT = 0.75
 STEPS = 4
-MIN_ROWS = 200
+# Rows of its own with which a group's estimate weighs as much as its pool's.
+PRIOR_ROWS = 200
 # Buckets of the distance histogram per unit of log2(1 + squared distance).
 FINE = 32
 # Squared distance beyond which a row is an outlier: five parameters, a chance
@@ -145,7 +147,7 @@ def _estimates(scale: float):
 
     def run(frames):
         for frame in frames:
-            means, inverses = [], []
+            means, inverses, scatters = [], [], []
             for row in frame.itertuples(index=False):
                 values = np.array(row[1:], dtype=float)
                 mean = values[1:1 + DIMS] / values[0]
@@ -155,12 +157,14 @@ def _estimates(scale: float):
                 scatter = scale * (second - np.outer(mean, mean)) + np.diag(FLOOR)
                 means.append(mean.round(6).tolist())
                 inverses.append(np.linalg.inv(scatter).round(6).ravel().tolist())
-            yield pd.DataFrame({"g": frame["g"], "mean": means, "inverse": inverses})
+                scatters.append(scatter.round(6).ravel().tolist())
+            yield pd.DataFrame({"g": frame["g"], "mean": means, "inverse": inverses, "n": frame["n"],
+                                "scatter": scatters})
 
     return run
 
 
-PARAMETERS = "g string, mean array<double>, inverse array<double>"
+PARAMETERS = "g string, mean array<double>, inverse array<double>, n bigint, scatter array<double>"
 
 
 def _chi2_quantile(p: float, k: int) -> float:
@@ -205,18 +209,43 @@ def _quantile(rows: DataFrame, keys: list[str], value: str, share: float) -> Dat
             .groupBy(*keys).agg(F.min(value).alias(value)))
 
 
-def pooled(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Adds ``g``: the group a row's estimate is made for."""
+def grouped(rows: DataFrame) -> DataFrame:
+    """Adds ``g``, the row's language and source, and ``gl``, its language."""
     lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
-    keyed = rows.withColumn("gl", lang).withColumn("gs", source)
-    sizes = keyed.groupBy("gl", "gs").agg(F.count("*").alias("n"))
-    left = F.sum(F.when(F.col("n") < min_rows, F.col("n"))).over(Window.partitionBy("gl"))
-    names = (sizes.withColumn("left", left)
-             .withColumn("g", F.when(F.col("n") >= min_rows, F.concat_ws("\x01", "gl", "gs"))
-                         .when(F.col("left") >= min_rows, F.col("gl")).otherwise(F.lit("*")))
-             .select("gl", "gs", "g"))
-    return keyed.join(names, ["gl", "gs"]).drop("gl", "gs")
+    return (rows.withColumn("gl", F.concat(F.lit("1"), lang))
+            .withColumn("g", F.concat(F.lit("2"), F.length(lang), F.lit(":"), lang, source)))
+
+
+def _shrink(prior_rows: int):
+    """A group's estimate from its own, its language's and that of all rows."""
+
+    def run(frames):
+        for frame in frames:
+            means, inverses = [], []
+            for row in frame.itertuples(index=False):
+                mean, scatter = np.array(row.mean0), np.array(row.scatter0)
+                for n, m, s in ((row.n1, row.mean1, row.scatter1), (row.n2, row.mean2, row.scatter2)):
+                    own = n / (n + prior_rows)
+                    mean = own * np.array(m) + (1 - own) * mean
+                    scatter = own * np.array(s) + (1 - own) * scatter
+                means.append(mean.round(6).tolist())
+                inverses.append(np.linalg.inv(scatter.reshape(DIMS, DIMS)).round(6).ravel().tolist())
+            yield pd.DataFrame({"g": frame["g"], "mean": means, "inverse": inverses})
+
+    return run
+
+
+def shrunk(rows: DataFrame, support: float, steps: int, prior_rows: int) -> DataFrame:
+    """Centre and inverse scatter of every language and source of ``rows`` (g, gl, v)."""
+    levels = F.array(F.lit("0"), F.col("gl"), F.col("g"))
+    found = estimate(rows.select(F.explode(levels).alias("g"), "v"), support, steps)
+    every, langs, own = [found.where(F.col("g").startswith(str(i))).select(
+        F.col("g").alias(f"g{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("n", "mean", "scatter")]) for i in range(3)]
+    names = rows.select(F.col("g").alias("g2"), F.col("gl").alias("g1")).distinct()
+    joined = (names.join(own, "g2").join(langs, "g1").crossJoin(every)
+              .select(F.col("g2").alias("g"), *[f"{c}{i}" for i in range(3) for c in ("n", "mean", "scatter")]))
+    return joined.mapInPandas(_shrink(prior_rows), "g string, mean array<double>, inverse array<double>")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -237,7 +266,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _measured(rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    return (rows.join(parameters, "g").withColumn("distance", _distance("v", "mean", "inverse"))
+    return (rows.join(parameters.select("g", "mean", "inverse"), "g").withColumn("distance", _distance("v", "mean", "inverse"))
             .drop("mean", "inverse"))
 
 
@@ -258,7 +287,7 @@ def estimate(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> D
 
 
 def judge_quality(
-    docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_rows: int = MIN_ROWS, cut: float = CUT,
+    docs: DataFrame, support: float = SUPPORT, steps: int = STEPS, prior_rows: int = PRIOR_ROWS, cut: float = CUT,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
 ) -> DataFrame:
     """``doc_id``, the base statistics, ``base_failed``, ``distance`` (null if the
@@ -270,8 +299,8 @@ def judge_quality(
     """
     stats = stored(base_statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
     stats = stats.withColumn("base_failed", base_failed()).withColumn("v", F.array(*vector()))
-    passed = stored(pooled(stats.where(~F.col("base_failed")), min_rows), "statistics")
-    judged = _measured(passed, estimate(passed, support, steps)).withColumn("kept", F.col("distance") <= cut)
+    passed = stored(grouped(stats.where(~F.col("base_failed"))), "statistics")
+    judged = _measured(passed, shrunk(passed, support, steps, prior_rows)).withColumn("kept", F.col("distance") <= cut)
     columns = ["doc_id", *[f.split()[0] for f in BASE.split(", ")], "base_failed", "distance", "kept"]
     failed = (stats.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
               .withColumn("kept", F.lit(False)))

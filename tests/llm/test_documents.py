@@ -162,6 +162,27 @@ def test_quality_rules_reject_what_is_far_off(spark):
     assert not any(got[1000 + i].kept for i in range(20))
 
 
+def test_quality_rules_estimate_small_sources_too(spark):
+    """Two small sources of one language, far apart: each counts its own rows,
+    and more so the more it has, without a jump."""
+    def rows(key, n, low, high, source):
+        r = random.Random(key)
+        return [(key + i, " ".join(r.choice(["sand", "sea", "harbour"]) + r.choice("xyz") for _ in range(r.randint(low, high))),
+                 "en", source) for i in range(n)]
+
+    def distances(n):
+        got = quality_rules.judge_quality(spark.createDataFrame(
+            rows(0, 60, 200, 260, "long") + rows(1000, n, 25, 40, "short"),
+            "doc_id bigint, text string, lang string, source string")).collect()
+        return sum(x.distance for x in got if x.doc_id >= 1000 and x.distance is not None) / n
+    few, more = distances(8), distances(24)
+    same = quality_rules.judge_quality(spark.createDataFrame(
+        rows(0, 60, 200, 260, "s") + rows(1000, 24, 25, 40, "s"),
+        "doc_id bigint, text string, lang string, source string")).collect()
+    pooled = sum(x.distance for x in same if x.doc_id >= 1000 and x.distance is not None) / 24
+    assert more < few and more < pooled
+
+
 def test_token_counts(spark):
     got = result(spark, "op7_token_counts")
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
