@@ -12,6 +12,7 @@ Base labels come from fixed phrases; a template adds its own label.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from functools import lru_cache
 
@@ -26,6 +27,37 @@ PHRASES = (
     ("general public license", "gpl"),
 )
 
+# Licenses whose texts lie in license_texts as they are published.
+WHOLE = ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0")
+
+
+def _whole(name: str) -> str:
+    """Template of a text: its terms to their end, addresses replaceable. What
+    tells how to apply it to a work of one's own comes after the terms."""
+    text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+    terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+    terms = re.sub(r"51 Franklin\s+Street, Fifth\s+Floor, Boston, MA\s+02110-1301,?\s+USA", " {{12}} ", terms)
+    return re.sub(r"<?https?://[^\s>]+>?", " {{8}} ", terms) + (f"[[{end}]]" if end else "")
+
+
+_BSD = """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided
+    that the following conditions are met: [[1.]] Redistributions of source code must retain the above
+    copyright notice, this list of conditions and the following disclaimer. [[2.]] Redistributions in binary
+    form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+    the documentation and/or other materials provided with the distribution. """
+_BSD_NAMES = """
+    Neither the name of {{12}} nor the names of [[its]] [[{{4}}]] contributors may be used to endorse or promote
+    products derived from this software without specific prior written permission. """
+_BSD_END = """
+    THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+    TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+    SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+    (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+    BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+    TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+    THE POSSIBILITY OF SUCH DAMAGE."""
+
 # Wording of public licenses and of the usual notices. Several templates may
 # carry one label.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -37,21 +69,47 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         following conditions: The above copyright notice and this permission notice [[(including the next
         paragraph)]] shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
         PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL {{12}} BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("mit-notice", "[[is]] released under the [[terms of the]] MIT License"),
     ("mit-notice", "licensed under the [[terms of the]] MIT License"),
     ("isc-text", """
         Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all
-        copies."""),
-    ("bsd-text", """
-        Redistribution and use in source and binary forms, with or without modification, are permitted provided
-        that the following conditions are met: [[1.]] Redistributions of source code must retain the above
-        copyright notice, this list of conditions and the following disclaimer. [[2.]] Redistributions in binary
-        form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
-        the documentation and/or other materials provided with the distribution. [[[[3.]] Neither the name of
-        {{12}} nor the names of its contributors may be used to endorse or promote products derived from this
-        software without specific prior written permission.]]"""),
+        copies. THE SOFTWARE IS PROVIDED "AS IS" AND {{12}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{12}} BE LIABLE FOR
+        ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT
+        OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd-2-text", _BSD + _BSD_END),
+    ("bsd-3-text", _BSD + "[[3.]]" + _BSD_NAMES + _BSD_END),
+    ("bsd-4-text", _BSD + """[[3.]] All advertising materials mentioning features or use of this software must
+        display the following [[acknowledgement]] [[acknowledgment]]: This product includes software developed by
+        {{12}} [[4.]]""" + _BSD_NAMES + _BSD_END),
+    ("unlicense-text", """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+        binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize
+        copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+        software to the public domain. We make this dedication for the benefit of the public at large and to the
+        detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+        perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+        THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+        SOFTWARE."""),
+    ("zlib-text", """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors
+        be held liable for any damages arising from the use of this software. Permission is granted to anyone to
+        use this software for any purpose, including commercial applications, and to alter it and redistribute it
+        freely, subject to the following restrictions: [[1.]] The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. [[2.]]
+        Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. [[3.]] This notice may not be removed or altered from any source distribution."""),
+    *((f"{name.lower()}-text", _whole(name)) for name in WHOLE),
     ("apache-notice", "Licensed under the Apache License, Version {{2}}"),
     ("apache-header", """
         Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in

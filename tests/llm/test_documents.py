@@ -1,6 +1,7 @@
 """Operators that judge documents one by one, against plain versions of them."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -223,3 +224,24 @@ def test_license_templates():
     assert found("keep it") == [("u", 0, 2)]
     with pytest.raises(ValueError):
         licenses.Automaton((("v", "{{2}} any"),))
+
+
+def test_license_texts_to_their_end():
+    auto = licenses.Automaton(licenses.TEMPLATES)
+
+    def labels(text):
+        return {m[0] for m in auto.matches(licenses.alnum_words(text.encode()))}
+
+    plain = {label: re.sub(r"\[\[.*?\]\]", " ", text).replace("{{12}}", "the holders").replace("{{8}}", "")
+             for label, text in licenses.TEMPLATES if label.endswith("-text")}
+    assert len(plain) == 14
+    for label, text in plain.items():
+        words = text.split()
+        assert label in labels(text)
+        assert label not in labels(" ".join(words[:-4]))
+        assert label not in labels(" ".join([*words[:-9], "perhaps", *words[-9:]]))
+    for n in "234":
+        assert {x for x in labels(plain[f"bsd-{n}-text"]) if x.startswith("bsd")} == {f"bsd-{n}-text"}
+    for name in licenses.WHOLE:
+        with open(os.path.join(os.path.dirname(licenses.__file__), "license_texts", f"{name}.txt")) as f:
+            assert f"{name.lower()}-text" in labels(f.read())
