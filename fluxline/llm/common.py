@@ -9,7 +9,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 # A task turns about this many text bytes into Python objects at a time.
@@ -91,10 +91,33 @@ def map_rows(
                 arrays += [pa.array(values, type=arrow.field(f.name).type)
                            for f, values in zip(added.fields, out)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        # What the pool keeps for later would count beside the next task's.
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
 
+def text_marks(text: Column, start: Callable[[], Callable], limit: int = SLICE_BYTES) -> Column:
+    """A boolean per text, for filters: only the text goes to Python, as it is
+    stored, and one boolean comes back.
+
+    ``start()`` runs once per task and gives ``work(texts) -> booleans`` for
+    lists of UTF-8 bytes (None for a null text).
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for batch in batches:
+            raw = batch.cast(pa.binary())
+            marks: list[bool] = []
+            for a, b in slices(pa.compute.binary_length(raw).fill_null(0).to_pylist(), limit):
+                marks += work(raw.slice(a, b - a).to_pylist())
+            yield pa.array(marks, type=pa.bool_())
+        pa.default_memory_pool().release_unused()
+
+    return F.arrow_udf(run, T.BooleanType())(text.cast("string"))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", raw: bool = True) -> DataFrame:
     """Only the key and the text, as ``doc_id`` and ``text``; UTF-8 bytes when ``raw``."""
     text = column(docs, text_col)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import ahocorasick
 from pyspark.sql import DataFrame, functions as F
 
-from fluxline.llm.common import alnum_words, column, free_name, map_rows, texts
+from fluxline.llm.common import alnum_words, column, map_rows, text_marks, texts
 
 WINDOW = 10
 # Item bytes per automaton (about 160 MB once built). More items than that are
@@ -162,14 +162,10 @@ def drop_contaminated(
 ) -> DataFrame:
     """The documents in which no window of any item occurs, all columns as they
     are. No row moves."""
-    mark = free_name("__hit", docs.columns)
-    bare = free_name("__text", docs.columns)
     look = _scanner(docs.sparkSession, items, window, item_col, item_text_col, block_bytes)
 
     def start():
         scan = look()
-        return lambda rows: [[bool(spans) for _, _, spans, _ in scan(rows[bare])]]
+        return lambda texts: [not spans for _, _, spans, _ in scan(texts)]
 
-    rows = docs.withColumn(bare, column(docs, text_col).cast("binary"))
-    marked = map_rows(rows, f"{mark} boolean", start, weigh=bare, carry=tuple(docs.columns))
-    return marked.where(~F.col(mark)).drop(mark)
+    return docs.where(text_marks(column(docs, text_col), start))

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from fluxline.llm.common import column, free_name, held_out, map_rows
+from fluxline.llm.common import column, held_out, map_rows, text_marks
 
 # Rows the model is fitted on, at most: the bound on what the driver sees.
 MAX_POSITIVES = 10_000
@@ -206,10 +206,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", carry
 
 def keep_good(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The documents whose score reaches ``threshold``, with all their columns."""
-    mark = free_name("__good", docs.columns)
-    bare = free_name("__text", docs.columns)
-    rows = docs.withColumn(bare, column(docs, text_col).cast("binary"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_rows(rows, f"{mark} double", lambda: lambda cols: [sent.value.score(cols[bare])],
-                      weigh=bare, carry=tuple(docs.columns))
-    return scored.where(F.col(mark) >= threshold).drop(mark)
+    good = text_marks(column(docs, text_col), lambda: lambda texts: (sent.value.score(texts) >= threshold).tolist())
+    return docs.where(good)
