@@ -183,16 +183,20 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i) & (F.get(a, i) == F.get(b, i)), n + 1).otherwise(n))
 
 
-def burst(paths: DataFrame, limit: int = CONTAINER_TURNS) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows in their last containers (``head``, ``parent``, ``depth`` of the top
-    node), and the heads of every round.
+def rooted(paths: DataFrame) -> DataFrame:
+    """Rows in the one container under the root."""
+    return paths.select(F.lit("").alias("head"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"),
+                        "ids", "sizes", "n", "low", "ends_sha256")
+
+
+def burst(rows: DataFrame, limit: int = CONTAINER_TURNS) -> tuple[DataFrame, list[DataFrame]]:
+    """Stored rows of :func:`rooted` in their last containers (``head``, ``parent``,
+    ``depth`` of the top node), and the heads of every round.
 
     A round's heads are one row per burst container: ``head``, ``parent``, the
     depths ``first`` (its top) to ``last`` (the end of what its rows share),
     ``sizes`` along it, and weight, smallest id and ends of the row that ends there.
     """
-    rows = paths.select(F.lit("").alias("head"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"),
-                        "ids", "sizes", "n", "low", "ends_sha256")
     final, rounds = [], []
     while True:
         left = F.sum(F.size("ids") - F.col("depth")).alias("left")
@@ -269,7 +273,7 @@ def nodes(convs: DataFrame, limit: int = CONTAINER_TURNS) -> DataFrame:
         # The smallest member stands for the path; its row alone carries the turns.
         paths = (convs.withColumnRenamed("conv_id", "low").join(single, ["path", "low"])
                  .join(_ends(convs), "path"))
-        rows, rounds = burst(stored(paths.select("ids", "sizes", "n", "low", "ends_sha256"), "paths"), limit)
+        rows, rounds = burst(stored(rooted(paths), "paths"), limit)
         swept = stored(rows.repartition("head").sortWithinPartitions("head", "ids").mapInArrow(sweep, SWEPT), "nodes")
         tops = swept.where("parent IS NOT NULL")
         lows, above = [], []
