@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fluxline import constants as C
 from fluxline.operators.gates import INSTRUMENTS, instrument_rows, strictly_inside
 from fluxline.schemas import CATALOG, KP, TABLES
-from fluxline.session import scratch_path
+from fluxline.session import stored
+from fluxline.sources.versions import Manifest, day_folder, day_key, replaced
 
 PARTS = ("year", "month", "day")
 ROW_KEY = ("packet_id", "timestamp")
@@ -30,7 +31,7 @@ def with_parts(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def write_days(df: DataFrame, path: str) -> None:
-    """Replaces the day partitions present in ``df``.
+    """Writes rows as day partitions below ``path``, a new folder.
 
     Rows are range-partitioned by time, so a heavy day is shared by several
     tasks and every file covers its own stretch of time in order.
@@ -39,9 +40,7 @@ def write_days(df: DataFrame, path: str) -> None:
         with_parts(df)
         .repartitionByRange("timestamp", "packet_id")
         .sortWithinPartitions(*PARTS, "timestamp")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
+        .write.option("compression", "zstd")
         .partitionBy(*PARTS)
         .parquet(path)
     )
@@ -60,8 +59,18 @@ class Corpus:
         return f"{self.root}/{LABELS[table]}"
 
     def has(self, table: str) -> bool:
+        if table in TABLES:
+            return self.manifest(table).exists()
         return _exists(self.spark, self.path(table))
 
+    def manifest(self, table: str) -> Manifest:
+        """Which version each day of a telemetry table is read from."""
+        return Manifest(self.spark, self.path(table))
+
+    def days(self, table: str) -> dict[str, str]:
+        """Days of a telemetry table and the version of each."""
+        return self.manifest(table).load()[1]
+
     def has_labels(self) -> bool:
         return self.has("kp")
 
@@ -71,20 +80,24 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         """A table; telemetry without files is empty, absent labels raise."""
         if name in TABLES:
-            if not self.has(name):
-                parts = ", ".join(f"{p} int" for p in PARTS)
-                return self.spark.createDataFrame([], f"{TABLES[name]}, {parts}")
-            # The schema is fixed; columns a file lacks are NULL, no footer is read for it.
-            parts = ", ".join(f"{p} int" for p in PARTS)
-            return (
-                self.spark.read.option("basePath", self.path(name))
-                .schema(f"{TABLES[name]}, {parts}")
-                .parquet(self.path(name))
-            )
+            return self.read_days(name, self.days(name))
         if not self.has(name):
             raise RuntimeError(f"label table '{name}' not found under {self.root}")
         return self.spark.read.schema(KP if name == "kp" else CATALOG).parquet(self.path(name))
 
+    def read_days(self, name: str, days: dict[str, str]) -> DataFrame:
+        """The given days of a telemetry table, each from its version."""
+        parts = ", ".join(f"{p} int" for p in PARTS)
+        if not days:
+            return self.spark.createDataFrame([], f"{TABLES[name]}, {parts}")
+        manifest = self.manifest(name)
+        # The schema is fixed; columns a file lacks are NULL, no footer is read for it.
+        return (
+            self.spark.read.option("basePath", manifest.root)
+            .schema(f"{TABLES[name]}, {parts}")
+            .parquet(*[f"{manifest.folder(v)}/{day_folder(d)}" for d, v in sorted(days.items())])
+        )
+
     def between(self, name: str, start: str, end: str) -> DataFrame:
         """Rows of [start, end], with the day partitions pruned to match."""
         lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
@@ -130,21 +143,29 @@ class Corpus:
 
         Packet ids of the readers come from the content, so writing the same or
         overlapping packets again changes nothing; a packet that comes again
-        with the same id and time replaces the old one.
+        with the same id and time replaces the old one. A write that dies leaves
+        the table as it was, and repeating it finishes the work.
         """
+        wanted = F.col("instrument").isin(*INSTRUMENTS) & F.col("drop_reason").isNull()
+        # Worked out once; both instruments, their days and the range sampling read this.
+        judged = stored(judged.filter(wanted), "judged")
         for kind in INSTRUMENTS:
             fresh = instrument_rows(judged, kind).dropDuplicates(list(ROW_KEY))
-            path = self.path(kind)
-            if self.has(kind):
-                days = with_parts(fresh).select(*PARTS).distinct()
-                kept = (
-                    self.table(kind)
-                    .join(days, list(PARTS), "left_semi")
-                    .drop(*PARTS)
-                    .join(fresh, list(ROW_KEY), "left_anti")
-                )
-                fresh = kept.unionByName(fresh, allowMissingColumns=True)
-            write_days(fresh, path)
+            days = [str(r.day) for r in fresh.select(F.to_date("timestamp").alias("day")).distinct().collect()]
+            if days:
+                self._replace(kind, days, lambda kept, fresh=fresh: kept.join(
+                    fresh, list(ROW_KEY), "left_anti").unionByName(fresh, allowMissingColumns=True))
+
+    def _replace(self, name: str, days: list[str], make) -> None:
+        """Makes days anew from their old rows: ``make(old)`` gives the new ones.
+        The manifest is read first, so a writer that came in between is noticed."""
+        manifest = self.manifest(name)
+        base, parts = manifest.load()
+        old = self.read_days(name, {d: parts[d] for d in days if d in parts}).drop(*PARTS)
+        version = manifest.new_version()
+        write_days(make(old), manifest.folder(version))
+        written = [day_key(f) for f in manifest.subfolders(version, len(PARTS))]
+        manifest.commit(base, replaced(parts, days, version, written))
 
     def write_labels(self, name: str, rows: DataFrame) -> None:
         """Writes a label table, also when it has no rows."""
@@ -173,32 +194,18 @@ class Corpus:
         )
 
     def clean(self, name: str, dry_run: bool = True) -> DataFrame:
-        """Counts per file; without ``dry_run`` also rewrites the days that hold
-        rows outside the bounds. Cleaned days are staged before they replace
-        the old ones.
+        """Counts per file; without ``dry_run`` also makes the days anew that hold
+        rows outside the bounds. A day with nothing left is gone.
         """
         if not self.has(name):
             return self.spark.createDataFrame([], "file string, rows bigint, out_of_bounds bigint")
         counts = self.implausible_rows(name)
         if dry_run:
             return counts.select("file", "rows", "out_of_bounds")
-        done = scratch_path(self.spark, "clean-report")
-        counts.write.parquet(done)
-        report = self.spark.read.parquet(done)
-        days = report.groupBy(*PARTS).agg(
-            F.sum("rows").alias("n"), F.sum("out_of_bounds").alias("bad")).filter("bad > 0")
-        rows = self.table(name)
-        bounds = {c: C.GATE_BOUNDS[c] for c in rows.columns if c in C.GATE_BOUNDS}
-        staged = scratch_path(self.spark, "clean-rows")
-        rows.join(days.select(*PARTS), list(PARTS), "left_semi").filter(
-            strictly_inside(bounds)).drop(*PARTS).write.parquet(staged)
-        write_days(self.spark.read.schema(rows.drop(*PARTS).schema).parquet(staged), self.path(name))
-        # A day with nothing left has no rows to overwrite it; drop its folder.
-        for r in days.filter("n = bad").select(*PARTS).toLocalIterator():
-            self._drop_day(name, r.year, r.month, r.day)
+        report = stored(counts, "clean-report")
+        bad = report.filter("out_of_bounds > 0").select(F.make_date(*PARTS).alias("day")).distinct().collect()
+        if bad:
+            rows = self.table(name)
+            bounds = {c: C.GATE_BOUNDS[c] for c in rows.columns if c in C.GATE_BOUNDS}
+            self._replace(name, [str(r.day) for r in bad], lambda old: old.filter(strictly_inside(bounds)))
         return report.select("file", "rows", "out_of_bounds")
-
-    def _drop_day(self, name: str, year: int, month: int, day: int) -> None:
-        path = f"{self.path(name)}/year={year}/month={month}/day={day}"
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
