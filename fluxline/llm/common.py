@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -41,6 +42,15 @@ def free_name(wanted: str, taken) -> str:
     return wanted
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the system at the end of a task. A worker lives
+    on between tasks, and what its allocators keep would count beside others'."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts add up to about ``limit`` bytes; one row at least."""
     start = total = 0
@@ -91,8 +101,7 @@ def map_rows(
                 arrays += [pa.array(values, type=arrow.field(f.name).type)
                            for f, values in zip(added.fields, out)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
-        # What the pool keeps for later would count beside the next task's.
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -113,7 +122,7 @@ def text_marks(text: Column, start: Callable[[], Callable], limit: int = SLICE_B
             for a, b in slices(pa.compute.binary_length(raw).fill_null(0).to_pylist(), limit):
                 marks += work(raw.slice(a, b - a).to_pylist())
             yield pa.array(marks, type=pa.bool_())
-        pa.default_memory_pool().release_unused()
+        hand_back()
 
     return F.arrow_udf(run, T.BooleanType())(text.cast("string"))
 
