@@ -166,6 +166,30 @@ def position(
     )
 
 
+def running(
+    df: DataFrame,
+    order: Sequence[str],
+    value: str,
+    keys: Sequence[str] = (),
+    slices: Slices = WHOLE,
+    name: str = "running",
+    how=F.max,
+    backward: bool = False,
+) -> DataFrame:
+    """Adds ``how`` (max, min or sum) of ``value`` over the rows of the key that
+    come before in ``order`` (after it with ``backward``), the row itself left
+    out; NULL where there is none. ``order`` should be unique within a key."""
+    if not slices.split:
+        w = Window.partitionBy(*keys).orderBy(*_asc(order, backward)).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, how(value).over(w))
+    before = gathered(keys, backward).rowsBetween(Window.unboundedPreceding, -1)
+    marked = with_heads(
+        df, keys, slices.number(*order), gather={"v": how(value)}, carry={"v": how("v").over(before)})
+    w = within(keys, order, backward).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col(_HEAD), F.col(f"{_CARRY}.v")).otherwise(F.col(f"{_BODY}.{value}"))
+    return marked.withColumn(name, how(seen).over(w)).filter(~F.col(_HEAD)).select(f"{_BODY}.*", name)
+
+
 def last_k(
     df: DataFrame, order: Sequence[Column], k: int, keys: Sequence[str]
 ) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxline.operators import chain, digest
+from fluxline.operators import align, chain, digest
 from fluxline.operators.ordered import position
 from fluxline.operators.slices import measured
 from fluxline.queries.catalog import EVENTS_SQL, events, query
+from fluxline.session import scratch_path
 
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -61,6 +62,29 @@ def determinism_check(spark, sf_dir):
         digest.tree_digest(rows, *args), digest.tree_digest(changed, *args), ["user_id"]).select("user_id")
 
 
+@query("first_difference", f"""
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p, sha256({_TEXT}) AS h
+  FROM {EVENTS_SQL}),
+b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p, sha256({_TEXT}) AS h
+  FROM (SELECT * REPLACE (CASE WHEN event_id % 500 = 7 THEN k + 1 ELSE k END AS k) FROM {EVENTS_SQL}
+    WHERE event_id % 731 <> 3)),
+d AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.p, b.p) AS p, a.h AS expected, b.h AS actual
+  FROM a FULL JOIN b ON a.user_id = b.user_id AND a.p = b.p WHERE a.h IS DISTINCT FROM b.h)
+SELECT user_id, p AS position, expected, actual FROM d
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY p) = 1""")
+def first_difference(spark, sf_dir):
+    """Where sessions first differ after rows were changed and lost, found by
+    walking down two stored hash trees."""
+    rows = events(spark, sf_dir)
+    hit = rows.filter(F.col("event_id") % 731 != 3).withColumn(
+        "k", F.when(F.col("event_id") % 500 == 7, F.col("k") + 1).otherwise(F.col("k")))
+    cut = measured(rows, ["ts", "event_id"])
+    trees = [digest.store_tree(df, ["user_id"], ["ts", "event_id"], _row_text(), scratch_path(spark, "tree"), cut,
+                               fanout=16, parts=8)
+             for df in (rows, hit)]
+    return digest.first_difference(*trees)
+
+
 # -- chains ----------------------------------------------------------------------
 
 
@@ -119,6 +143,91 @@ def chain_tampered(spark, sf_dir):
     return status.drop("first_broken_expected", "first_broken_found")
 
 
+_BY_DAY = f"""log AS (SELECT user_id, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS segment,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth,
+  event_id, ts, event_type, k, sha256({_TEXT}) AS payload FROM {EVENTS_SQL}),
+origin AS (SELECT *, sha256('{chain.GENESIS}|' || user_id || '|' || segment) AS start FROM log),
+chain AS (SELECT user_id, segment, seq, nth, event_id, start AS previous_hash, sha256(start || payload) AS entry_hash
+    FROM origin WHERE nth = 1
+  UNION ALL SELECT l.user_id, l.segment, l.seq, l.nth, l.event_id, c.entry_hash, sha256(c.entry_hash || l.payload)
+    FROM chain c JOIN origin l ON l.user_id = c.user_id AND l.segment = c.segment AND l.nth = c.nth + 1)"""
+
+
+def _day_chain(spark, sf_dir):
+    """The chain of every user's log, a segment a day."""
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long")
+    return chain.build_chain(_entries(spark, sf_dir), "user_id", "seq", _payload(), segment=day)
+
+
+@query("chain_by_day", f"""
+WITH RECURSIVE {_BY_DAY}
+SELECT user_id, segment, seq, event_id, previous_hash, entry_hash FROM chain""")
+def chain_by_day(spark, sf_dir):
+    return _day_chain(spark, sf_dir).select(
+        "user_id", "segment", "seq", "event_id", "previous_hash", "entry_hash")
+
+
+@query("chain_first_break", f"""
+WITH RECURSIVE {_BY_DAY},
+kept AS (SELECT c.*, o.start, sha256(concat_ws('|', o.event_id, strftime(o.ts, '%Y-%m-%dT%H:%M:%S.%f'), o.user_id, o.event_type,
+    CASE WHEN o.event_id % 89 = 3 THEN o.k + 1 ELSE o.k END)) AS payload
+  FROM chain c JOIN origin o USING (user_id, seq) WHERE c.event_id % 97 <> 5),
+v AS (SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY user_id, segment ORDER BY seq), start) AS expected_previous,
+  sha256(previous_hash || payload) AS expected_entry FROM kept),
+b AS (SELECT *, previous_hash <> expected_previous AS unlinked, entry_hash <> expected_entry AS changed FROM v)
+SELECT user_id, count(*) AS entries, count(*) FILTER (WHERE changed OR unlinked) = 0 AS intact,
+  min(seq) FILTER (WHERE changed OR unlinked) AS first_broken_seq,
+  arg_min(CASE WHEN unlinked THEN 'link' ELSE 'self' END, seq) FILTER (WHERE changed OR unlinked) AS first_broken_kind,
+  arg_min(CASE WHEN unlinked THEN expected_previous ELSE expected_entry END, seq) FILTER (WHERE changed OR unlinked)
+    AS first_broken_expected,
+  arg_min(CASE WHEN unlinked THEN previous_hash ELSE entry_hash END, seq) FILTER (WHERE changed OR unlinked)
+    AS first_broken_found
+FROM b GROUP BY 1""")
+def chain_first_break(spark, sf_dir):
+    """Daily segments with entries taken out and entries changed: where each log
+    first breaks, with the hash expected there and the one found."""
+    hit = _day_chain(spark, sf_dir).filter(F.col("event_id") % 97 != 5).withColumn(
+        "k", F.when(F.col("event_id") % 89 == 3, F.col("k") + 1).otherwise(F.col("k")))
+    return chain.chain_status(chain.verify_chain(hit, "user_id", "seq", _payload()), "user_id", "seq")
+
+
+@query("tampered_entries", f"""
+WITH o AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq
+  FROM events),
+kinds AS (SELECT event_type, event_id, seq, CASE WHEN event_id % 97 = 5 THEN 'removed' WHEN event_id % 89 = 3 THEN 'changed'
+  WHEN event_id % 1009 = 11 THEN 'moved' END AS kind FROM o),
+found AS (SELECT event_type, event_id, CASE WHEN event_id % 1009 = 11 AND event_id % 89 <> 3
+    THEN ts + INTERVAL 3 DAY ELSE ts END AS place FROM events WHERE event_id % 97 <> 5
+  UNION ALL SELECT event_type, event_id + 1000000000000, ts + INTERVAL 1 MILLISECOND FROM events WHERE event_id % 113 = 7),
+a AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY place, event_id) AS seq FROM found)
+SELECT k.event_type, k.kind, k.seq AS expected_seq, CASE WHEN kind <> 'removed' THEN a.seq END AS actual_seq,
+  CAST(k.event_id AS VARCHAR) AS entry_id
+FROM kinds k LEFT JOIN a USING (event_type, event_id) WHERE k.kind IS NOT NULL
+UNION ALL SELECT event_type, 'inserted', NULL, seq, CAST(event_id AS VARCHAR) FROM a WHERE event_id >= 1000000000000""")
+def tampered_entries(spark, sf_dir):
+    """Two copies of five long logs aligned: entries removed, changed, moved by
+    three days, and slipped in."""
+    rows = events(spark, sf_dir)
+    i = F.col("event_id")
+    cut = measured(rows, ["ts", "event_id"])
+
+    def numbered(df):
+        placed = position(df, ["ts", "event_id"], ["event_type"], cut, name="seq")
+        digest_of = F.sha2(F.concat_ws("|", "event_id", "user_id", "k"), 256)
+        return placed.select("event_type", (F.col("seq") + 1).alias("seq"), i.cast("string").alias("entry_id"),
+                             digest_of.alias("content"))
+
+    moved = (i % 1009 == 11) & (i % 89 != 3)
+    hit = rows.filter(i % 97 != 5).withColumns({
+        "ts": F.when(moved, F.col("ts") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts")),
+        "k": F.when(i % 89 == 3, F.col("k") + 1).otherwise(F.col("k"))})
+    new = rows.filter(i % 113 == 7).withColumns({
+        "event_id": i + F.lit(1_000_000_000_000), "ts": F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")})
+    found = align.differences(numbered(rows), numbered(hit.unionByName(new)), ["event_type"], "seq", "entry_id", "content")
+    return found.select("event_type", "kind", "expected_seq", "actual_seq", "entry_id")
+
+
 @query("chain_seals", f"""
 WITH RECURSIVE log AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq,
   sha256({_TEXT}) AS payload FROM {EVENTS_SQL}),

@@ -50,11 +50,17 @@ _PAIRS = [(s, t, k) for s, t in (("bz_min", "kp"), ("bt_max", "kp"), ("kp", "bz_
                                  ("kp", "bt_max"), ("sw_speed_mean", "kp")) for k in (1, 2, 3)]
 
 
+PAIR_NAMES = ("bz_min", "bt_max", "kp", "sw_speed_mean")
+
+
 def _pair_edges(spark, sf_dir) -> DataFrame:
+    return pair_edges(features(spark, sf_dir))
+
+
+def pair_edges(matrix: DataFrame) -> DataFrame:
     """Lagged correlations of at least 0.02 as edges."""
-    names = ["bz_min", "bt_max", "kp", "sw_speed_mean"]
-    grid = features(spark, sf_dir).select("timestamp", *names)
-    wide = lagged(grid, "timestamp", names, [0, 1, 2, 3], 3600)
+    grid = matrix.select("timestamp", *PAIR_NAMES)
+    wide = lagged(grid, "timestamp", PAIR_NAMES, [0, 1, 2, 3], 3600)
     one = wide.agg(*[F.corr(f"{s}__{k}", f"{t}__0").alias(f"{s}__{t}__{k}") for s, t, k in _PAIRS])
     rows = F.array(*[F.struct(
         F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(k).alias("lag"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxline.operators import rules
-from fluxline.queries.catalog import EVENTS_SQL, KP_SQL, kp_rows, query, rounded, table
+from fluxline.operators.chain import GENESIS
+from fluxline.queries.catalog import EVENTS_SQL, KP_SQL, events, kp_rows, query, rounded, table
 from fluxline.queries.operations import _OPS, RULES
+from fluxline.session import scratch_path, stored
 from fluxline.streaming import state, windows
-from fluxline.streaming.run import drain, drain_newest, file_stream
+from fluxline.streaming.run import drain, drain_closing, drain_newest, file_stream
 
 
 def event_stream(spark, sf_dir):
@@ -102,33 +104,109 @@ def stream_last_seen(spark, sf_dir):
     return _local(last.select("source", "r.*"), "last_seen")
 
 
+# A stream in several triggers: rows land file by file, each a little out of order.
+_FILES = 4
+_JITTER_US = 6 * 3_600_000_000
+
+
+def _landing(rows, ts: str, key: str, label: str):
+    """Writes rows to a new folder in time order with up to six hours of jitter;
+    the folder, and what opens it as a stream of one file per trigger."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    at = F.unix_micros(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(key), F.lit(_JITTER_US))
+    jittered = stored(rows.withColumn("__at", at), label)
+    cuts = jittered.approxQuantile("__at", [i / _FILES for i in range(1, _FILES)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = jittered
+        if low is not None:
+            part = part.filter(F.col("__at") >= low)
+        if high is not None:
+            part = part.filter(F.col("__at") < high)
+        part.drop("__at").coalesce(1).write.mode("append").parquet(path)
+    return path, lambda: file_stream(spark, path, rows.schema, files_per_trigger=1)
+
+
+def _chained(spark, sf_dir, payload):
+    """The entries of every user's log chained by day as they arrive."""
+    state.use_state_store(spark)
+    entries = events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("log_id"), F.col("event_id").cast("string").alias("entry_id"),
+        F.col("ts").cast("timestamp").alias("at"), payload.alias("payload"))
+    path, stream = _landing(entries, "at", "entry_id", "audit-landing")
+
+    def close():
+        # One entry far in the future moves the watermark past every open day.
+        last = spark.createDataFrame([("", "", "")], "log_id string, entry_id string, payload string")
+        last.withColumn("at", F.lit("2200-01-01").cast("timestamp")).select(entries.columns).coalesce(1).write.mode(
+            "append").parquet(path)
+
+    return drain_closing(lambda: state.append_chain(stream(), "6 hours"), close, "stream-audit")
+
+
 @query("stream_audit", f"""
 SELECT CAST(user_id AS VARCHAR) AS log_id, count(*) AS entries, true AS intact FROM {EVENTS_SQL} GROUP BY 1""")
 def stream_audit(spark, sf_dir):
     """Entries chained as they arrive, then verified in batch."""
     from fluxline.operators import chain
 
-    state.use_state_store(spark)
-    entries = event_stream(spark, sf_dir).select(
-        F.col("user_id").cast("string").alias("log_id"), F.col("event_id").cast("string").alias("entry_id"),
-        F.col("ts").alias("at"), F.sha2(F.concat_ws("|", "event_id", "event_type", "k"), 256).alias("payload"))
-    built = drain(state.append_chain(entries), "stream-audit").withColumn("segment", F.lit(0).cast("bigint"))
+    built = _chained(spark, sf_dir, F.sha2(F.concat_ws("|", "event_id", "event_type", "k"), 256))
     verified = chain.verify_chain(built, "log_id", "seq", F.col("payload"))
     return chain.chain_status(verified, "log_id", "seq").select("log_id", "entries", "intact")
 
 
-@query("stream_alerts", f"""
+@query("stream_chain", f"""
+WITH RECURSIVE log AS (SELECT CAST(user_id AS VARCHAR) AS log_id, CAST(event_id AS VARCHAR) AS entry_id,
+  CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS segment,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, CAST(event_id AS VARCHAR)) AS seq,
+  sha256(concat_ws('|', event_id, event_type, k)) AS payload FROM {EVENTS_SQL}),
+c AS (SELECT log_id, segment, seq, entry_id, sha256('{GENESIS}|' || log_id || '|' || segment) AS previous_hash,
+    sha256(sha256('{GENESIS}|' || log_id || '|' || segment) || payload) AS entry_hash FROM log WHERE seq = 1
+  UNION ALL SELECT l.log_id, l.segment, l.seq, l.entry_id, c.entry_hash, sha256(c.entry_hash || l.payload)
+  FROM c JOIN log l ON l.log_id = c.log_id AND l.segment = c.segment AND l.seq = c.seq + 1)
+SELECT log_id, segment, seq, entry_id, previous_hash, entry_hash FROM c""")
+def stream_chain(spark, sf_dir):
+    """Hashes of the days sealed by the stream, in several triggers and out of order."""
+    built = _chained(spark, sf_dir, F.sha2(F.concat_ws("|", "event_id", "event_type", "k"), 256))
+    return built.select("log_id", "segment", "seq", "entry_id", "previous_hash", "entry_hash")
+
+
+_ALERT_SQL = f"""
 WITH e AS (SELECT (user_id % 40) || '-' || (k % 20) AS alert_id, event_type, ts FROM {EVENTS_SQL}
   WHERE event_type IN ('signup', 'error')),
 o AS (SELECT alert_id, min(ts) AS changed_at FROM e WHERE event_type = 'signup' GROUP BY 1),
 c AS (SELECT e.alert_id, min(e.ts) AS changed_at FROM e JOIN o ON e.alert_id = o.alert_id AND e.ts >= o.changed_at
   WHERE event_type = 'error' GROUP BY 1)
-SELECT alert_id, 'active' AS state, changed_at FROM o UNION ALL SELECT alert_id, 'resolved', changed_at FROM c""")
-def stream_alerts(spark, sf_dir):
-    state.use_state_store(spark)
+SELECT alert_id, 'active' AS state, changed_at FROM o UNION ALL SELECT alert_id, 'resolved', changed_at FROM c"""
+
+
+def _alert_history(rows):
     kind = F.col("event_type")
-    history = event_stream(spark, sf_dir).filter(kind.isin("signup", "error")).select(
+    return rows.filter(kind.isin("signup", "error")).select(
         F.concat_ws("-", F.col("user_id") % 40, F.col("k") % 20).alias("alert_id"),
         F.when(kind == "signup", "created").otherwise("resolved").alias("event_type"), "ts", "event_id")
-    changes = drain(state.alert_changes(history), "stream-alerts")
-    return _local(changes.withColumnRenamed("at", "changed_at"), "changed_at")
+
+
+def _alert_states(changes, seed=None):
+    return _local(state.newest_states(changes, seed).withColumnRenamed("at", "changed_at"), "changed_at")
+
+
+@query("stream_alerts", _ALERT_SQL)
+def stream_alerts(spark, sf_dir):
+    state.use_state_store(spark)
+    changes = drain(state.alert_changes(_alert_history(event_stream(spark, sf_dir))), "stream-alerts", "update")
+    return _alert_states(changes)
+
+
+@query("stream_alerts_resumed", _ALERT_SQL)
+def stream_alerts_resumed(spark, sf_dir):
+    """Every other event is history in a batch table, the rest a shuffled stream of
+    several triggers that starts from it."""
+    state.use_state_store(spark)
+    history = _alert_history(events(spark, sf_dir))
+    old = F.col("event_id") % 2 == 0
+    seed = stored(state.alert_seed(history.filter(old)), "alert-seed")
+    # By hash, not by time: closings come before openings and the other way round.
+    _, stream = _landing(history.filter(~old).withColumn("at", F.timestamp_seconds(
+        F.pmod(F.xxhash64("event_id"), F.lit(10_000_000)))), "at", "event_id", "alert-landing")
+    return _alert_states(drain(state.alert_changes(stream(), seed), "stream-alerts", "update"), seed)

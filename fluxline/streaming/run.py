@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +61,16 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     query = to_table(stream, f"{path}/rows", f"{path}/checkpoint", mode)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def drain_closing(make: Callable[[], DataFrame], close: Callable[[], None], label: str) -> DataFrame:
+    """Runs the stream ``make()`` gives to its end, calls ``close`` (which adds rows
+    that move the watermark on), and runs it on from its checkpoint, so that what
+    the watermark had held back comes out too."""
+    stream = make()
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    to_table(stream, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    close()
+    to_table(make(), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")

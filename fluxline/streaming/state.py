@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from fluxline.operators.chain import GENESIS
+from fluxline.operators.chain import segment_genesis
 
 # The processors travel to the workers with their code, so the package need not
 # be installed there.
@@ -84,78 +84,219 @@ def last_seen(stream: DataFrame, source: str, ts: str, silence_ms: int | None =
 
 # -- audit chains ----------------------------------------------------------------
 
+_DAY_US = 86_400_000_000
+# Rows of one emitted frame.
+_FRAME = 10_000
+
+
+class _DayChain(StatefulProcessor):
+    """Entries of one log and day, kept in the state store until the day is over.
+
+    The store's keys are the time in fixed width and the entry's id, so that it
+    reads back in order; a row goes straight into it and a sealed day comes out
+    in frames, so no trigger and no day is ever held in memory.
+    """
 
-class _Chain(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "hash string, seq bigint")
+        self.handle = handle
+        self.held = handle.getMapState("held", "place string", "entry_id string, at timestamp, payload string")
+        self.known = handle.getValueState("known", "start string")
 
     def handleInputRows(self, key, rows, timerValues):
-        head, seq = self.head.get() if self.head.exists() else (GENESIS, 0)
-        # Rows of one trigger come in no order; the log's order is by time.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "entry_id"])
-        before, after, number = [], [], []
-        for payload in batch["payload"]:
-            before.append(head)
+        start = None
+        for frame in rows:
+            for entry_id, at, payload, begin in zip(frame["entry_id"], frame["at"], frame["payload"], frame["start"]):
+                us = at.value // 1000
+                self.held.updateValue((f"{us + (1 << 62):020d}{hashlib.sha256(entry_id.encode()).hexdigest()}",),
+                                      (entry_id, at.to_pydatetime(), payload))
+                start = begin
+        if start is not None and not self.known.exists():
+            self.known.update((start,))
+            self.handle.registerTimer((int(key[1]) + 1) * _DAY_US // 1000)
+        return iter(())
+
+    def _in_order(self) -> Iterator[tuple]:
+        """(place, entry) by time and id. Entries of one microsecond are few and
+        sorted here; should the store not keep the order of its keys, the keys
+        alone are sorted."""
+        last = ""
+        for place, _ in self.held.iterator():
+            if place[0] < last:
+                places = sorted(p[0] for p in self.held.keys())
+                pairs = ((p, self.held.getValue((p,))) for p in places)
+                break
+            last = place[0]
+        else:
+            pairs = ((p[0], v) for p, v in self.held.iterator())
+        tied: list[tuple] = []
+        for place, entry in pairs:
+            if tied and place[:20] != tied[0][0]:
+                yield from sorted(tied, key=lambda x: x[1][0])
+                tied = []
+            tied.append((place[:20], entry))
+        yield from sorted(tied, key=lambda x: x[1][0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.known.exists():
+            return
+        head, seq = self.known.get()[0], 0
+        out: list[tuple] = []
+        for _, (entry_id, at, payload) in self._in_order():
+            before, seq = head, seq + 1
             head = hashlib.sha256((head + payload).encode()).hexdigest()
-            seq += 1
-            after.append(head)
-            number.append(seq)
-        self.head.update((head, seq))
-        batch["seq"], batch["previous_hash"], batch["entry_hash"] = number, before, after
-        yield batch[["log_id", "seq", "entry_id", "at", "payload", "previous_hash", "entry_hash"]]
+            out.append((key[0], int(key[1]), seq, entry_id, pd.Timestamp(at), payload, before, head))
+            if len(out) == _FRAME:
+                yield pd.DataFrame(out, columns=_CHAINED)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=_CHAINED)
+        self.held.clear()
+        self.known.clear()
 
     def close(self) -> None:
         pass
 
 
-def append_chain(stream: DataFrame, shards: int = 1) -> DataFrame:
-    """Chains arriving entries (log_id, entry_id, at, payload) per log.
+_CHAINED = ["log_id", "segment", "seq", "entry_id", "at", "payload", "previous_hash", "entry_hash"]
+
+
+def append_chain(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Chains arriving entries (log_id, entry_id, at, payload), a segment per log
+    and day.
 
-    A chain is sequential, so a busy log is dealt out to ``shards`` chains of
-    its own, named ``<log>#<shard>``; every entry still sits in exactly one.
+    Entries may come in any order: a day is sealed, and its entries come out, when
+    the watermark (the newest time less ``delay``) has passed its end, so late
+    ones land where their time says. Entries later than that are dropped, and one
+    that comes twice with the same time and id counts once. ``segment`` is the
+    day since 1970, ``seq`` counts within it; hashes are those of
+    ``build_chain`` with the day as its segment.
     """
-    log = F.col("log_id")
-    if shards > 1:
-        shard = F.pmod(F.xxhash64("entry_id"), F.lit(shards)).cast("string")
-        log = F.concat(log, F.lit("#"), shard)
-    rows = stream.select(
-        log.alias("log_id"), "entry_id", F.col("at").cast("timestamp").alias("at"), "payload")
-    return rows.groupBy("log_id").transformWithStateInPandas(
-        _Chain(),
-        "log_id string, seq bigint, entry_id string, at timestamp, payload string, "
+    at = F.col("at").cast("timestamp")
+    rows = stream.select("log_id", "entry_id", at.alias("at"), "payload").withWatermark("at", delay)
+    day = F.floor(F.unix_micros("at") / _DAY_US).cast("long")
+    rows = rows.withColumn("segment", day).withColumn("start", segment_genesis(F.col("log_id"), day))
+    return rows.groupBy("log_id", "segment").transformWithStateInPandas(
+        _DayChain(),
+        "log_id string, segment bigint, seq bigint, entry_id string, at timestamp, payload string, "
         "previous_hash string, entry_hash string",
-        "append", "None")
+        "append", "EventTime")
 
 
 # -- alert lifecycle ---------------------------------------------------------------
 
 
 class _Alert(StatefulProcessor):
+    """Least opening, least closing at or after it, and the closings before it.
+
+    An alert only ever opens earlier, so closings behind the least valid one can
+    never count; those before the opening may, if an earlier opening arrives.
+    What is kept is the same for any order of arrival.
+    """
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "opened timestamp, closed timestamp")
+        self.opened = handle.getValueState("opened", "at timestamp, event_id bigint")
+        self.closed = handle.getValueState("closed", "at timestamp, event_id bigint")
+        self.early = handle.getMapState("early", "at timestamp", "event_id bigint")
+        self.changes = handle.getValueState("changes", "n bigint")
+
+    def _take(self, frame: pd.DataFrame) -> tuple[bool, bool]:
+        """Merges one frame; whether the opening and the closing have changed."""
+        events = sorted(zip(frame["ts"], frame["event_id"], frame["event_type"]))
+        first = next(((t.to_pydatetime(), int(i)) for t, i, kind in events if kind == "created"), None)
+        opened = self.opened.get() if self.opened.exists() else None
+        closed = self.closed.get() if self.closed.exists() else None
+        before = opened, closed
+        if first is not None and (opened is None or first < tuple(opened)):
+            opened = first
+            self.opened.update(opened)
+        for t, i, kind in events:
+            if kind != "resolved":
+                continue
+            found = (t.to_pydatetime(), int(i))
+            if opened is None or found[0] < opened[0]:
+                held = self.early.getValue((found[0],)) if self.early.containsKey((found[0],)) else None
+                if held is None or found[1] < held[0]:
+                    self.early.updateValue((found[0],), (found[1],))
+            elif closed is None or found < tuple(closed):
+                closed = found
+        if opened is not None and opened != before[0]:
+            # An earlier opening makes closings valid that came before the old one.
+            valid = [(t[0], i[0]) for t, i in self.early.iterator() if t[0] >= opened[0]]
+            for t, _ in valid:
+                self.early.removeKey((t,))
+            closed = min([*valid, *([tuple(closed)] if closed is not None else [])], default=None)
+        if closed is not None and closed != before[1]:
+            self.closed.update(tuple(closed))
+        return opened != before[0], closed != before[1]
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._take(initialState)
 
     def handleInputRows(self, key, rows, timerValues):
-        opened, closed = self.state.get() if self.state.exists() else (None, None)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+        marks = [self._take(frame) for frame in rows]
+        n = self.changes.get()[0] if self.changes.exists() else 0
         out = []
-        for kind, ts in zip(batch["event_type"], batch["ts"]):
-            if kind == "created" and opened is None:
-                opened = ts.to_pydatetime()
-                out.append((key[0], "active", opened))
-            elif kind == "resolved" and opened is not None and closed is None:
-                closed = ts.to_pydatetime()
-                out.append((key[0], "resolved", closed))
-        if opened is not None:
-            self.state.update((opened, closed))
-        yield pd.DataFrame(out, columns=["alert_id", "state", "at"])
+        for state, held, changed in (("active", self.opened, any(m[0] for m in marks)),
+                                     ("resolved", self.closed, any(m[1] for m in marks))):
+            if changed:
+                n += 1
+                out.append((key[0], state, pd.Timestamp(held.get()[0]), n))
+        if out:
+            self.changes.update((n,))
+            yield pd.DataFrame(out, columns=["alert_id", "state", "at", "change"])
 
     def close(self) -> None:
         pass
 
 
-def alert_changes(stream: DataFrame) -> DataFrame:
-    """State changes of alerts from (alert_id, event_type, ts, event_id): opened
-    once, resolved once, everything else ignored."""
-    rows = stream.select("alert_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    return rows.groupBy("alert_id").transformWithStateInPandas(
-        _Alert(), "alert_id string, state string, at timestamp", "append", "None")
+_HISTORY = ("alert_id", "event_type", "ts", "event_id")
+
+
+def _history(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type").isin("created", "resolved")).select(
+        F.col("alert_id").cast("string").alias("alert_id"), "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").cast("bigint").alias("event_id"))
+
+
+def alert_seed(events: DataFrame) -> DataFrame:
+    """The events of a batch history that can still matter: each alert's first
+    opening, its first closing from then on, and the closings before it."""
+    rows = _history(events)
+    opens = rows.filter("event_type = 'created'").groupBy("alert_id").agg(
+        F.min(F.struct("ts", "event_id")).alias("o"))
+    both = rows.filter("event_type = 'resolved'").join(opens, "alert_id", "left")
+    valid = F.col("ts") >= F.col("o.ts")
+    first = both.filter(valid).groupBy("alert_id").agg(F.min(F.struct("ts", "event_id")).alias("c")).select(
+        "alert_id", F.lit("resolved").alias("event_type"), "c.ts", "c.event_id")
+    early = both.filter(~F.coalesce(valid, F.lit(False))).groupBy("alert_id", "event_type", "ts").agg(
+        F.min("event_id").alias("event_id"))
+    opened = opens.select("alert_id", F.lit("created").alias("event_type"), "o.ts", "o.event_id")
+    return opened.unionByName(first).unionByName(early)
+
+
+def alert_changes(stream: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+    """Changes of alerts from (alert_id, event_type, ts, event_id): ``state``
+    (active or resolved), the time ``at`` it holds from, and ``change``, which
+    counts the changes of an alert. The newest row of each state stands.
+
+    Events may come in any order and more than once; the state after all of them
+    is the one that ``alerts.fold`` gives. ``seed`` (from :func:`alert_seed`) is a
+    history from before the stream.
+    """
+    history = None if seed is None else seed.select(*_HISTORY).groupBy("alert_id")
+    return _history(stream).groupBy("alert_id").transformWithStateInPandas(
+        _Alert(), "alert_id string, state string, at timestamp, change bigint", "update", "None",
+        initialState=history)
+
+
+def newest_states(changes: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+    """``alert_id``, ``state``, ``at`` as they stand after all changes; with the
+    ``seed`` the stream began from, also those no event of the stream has touched."""
+    rows = changes.select("alert_id", "state", "at", "change")
+    if seed is not None:
+        opened = seed.filter("event_type = 'created'").select("alert_id", F.col("ts").alias("o"))
+        known = seed.join(opened, "alert_id").filter(F.col("ts") >= F.col("o"))
+        state = F.when(F.col("event_type") == "created", "active").otherwise("resolved")
+        rows = rows.unionByName(known.select(
+            "alert_id", state.alias("state"), F.col("ts").alias("at"), F.lit(0).cast("bigint").alias("change")))
+    return rows.groupBy("alert_id", "state").agg(F.max_by("at", "change").alias("at"))
