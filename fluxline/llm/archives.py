@@ -115,7 +115,8 @@ class ArchiveWriter:
     def _begin(self) -> None:
         where, name = _open(self.path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
-        self.out = where.open_output_stream(name)
+        # By its name the stream would be compressed once more.
+        self.out = where.open_output_stream(name, compression=None)
         made, rows, self.waiting = self._train(), self.waiting, None
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=made, write_checksum=True)
         if made is not None:
@@ -240,7 +241,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
     def rows_of(path: str) -> Iterator[tuple]:
         where, name = _open(path)
-        with where.open_input_stream(name) as stream:
+        with where.open_input_stream(name, compression=None) as stream:
             for raw in records_of(stream):
                 head, stated, payload = parse(raw)
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
