@@ -285,6 +285,8 @@ def nodes(convs: DataFrame, limit: int = CONTAINER_TURNS) -> DataFrame:
             above.append(chain)
             lows.append(made.select(F.col("head").alias("parent"), F.col("low").alias("up")))
             below = chain.where("parent IS NOT NULL")
+    if not rounds:
+        return swept.drop("parent")
     joined = reduce(DataFrame.unionByName, [swept, *above])
     known = reduce(DataFrame.unionByName, lows)
     inner = joined.where("parent IS NULL").drop("parent")
