@@ -162,14 +162,13 @@ def first_difference(expected: Tree, actual: Tree) -> DataFrame:
     if (expected.keys, expected.fanout, expected.parts) != (actual.keys, actual.fanout, actual.parts):
         raise ValueError("the trees were built with different keys, fanout or parts")
     keys, fanout = list(expected.keys), expected.fanout
-    below = None
+    below, opened = None, []
     for number in range(min(expected.levels, actual.levels), -1, -1):
         sides = []
         for tree, name in ((expected, "expected"), (actual, "actual")):
             level = tree.level(number)
             if below is not None:
-                # At most one row per key; its folders prune the level's.
-                level = level.withColumn("parent", F.floor(F.col("node") / fanout).cast("long")).join(
+                level = level.filter(F.col("part").isin(opened)).withColumn("parent", F.floor(F.col("node") / fanout).cast("long")).join(
                     below, ["part", *keys, "parent"], "left_semi")
             sides.append(level.select(*keys, "node", F.col("hash").alias(name)))
         both = sides[0].join(sides[1], [*keys, "node"], "full_outer").filter(
@@ -179,3 +178,5 @@ def first_difference(expected: Tree, actual: Tree) -> DataFrame:
             return first.withColumnRenamed("node", "position")
         below = stored(first.select(*keys, F.col("node").alias("parent"),
                                     expected.part_of(F.col("node")).alias("part")), "differing")
+        # No more numbers than folders of a level.
+        opened = [r.part for r in below.select("part").distinct().collect()]

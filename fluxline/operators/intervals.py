@@ -9,11 +9,20 @@ points that fail the re-check.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fluxline.operators.asof import asof_join
+from fluxline.operators.ordered import position
+from fluxline.operators.slices import Slices, measured
+from fluxline.session import stored
+
 BUCKET_SECONDS = 6 * 3600
 
 
@@ -76,35 +85,167 @@ def interval_flag(
     return joined.withColumn(flag, F.col(marker).isNotNull())
 
 
-# Bucket widths in microseconds, each a divisor of the one before.
-LADDER = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 10_000, 100, 1)
+# -- the best covering interval -----------------------------------------------------
+
+BOUNDS_PER_SLICE = 1_000_000
+# At most so many slices, and a few numbers for each, are seen by the driver.
+MAX_SLICES = 20_000
+# Runs of slices, in slices; each width divides the one before.
+_RUNS = tuple(4 ** i for i in reversed(range(8)))
 
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def _nodes(first: Column, past: Column, level: int, widths: Sequence[int]) -> Column:
-    """Buckets of a level inside [first, past) that no wider bucket covers."""
-    w = widths[level]
+def _runs(first: Column, past: Column, level: int) -> Column:
+    """Runs of a width inside the slices [first, past) that no wider run covers."""
 
     def up(c: Column, width: int) -> Column:
         return -F.floor(-c / width)
 
-    def run(lo: Column, hi: Column) -> Column:
+    def span(lo: Column, hi: Column) -> Column:
         none = F.array().cast("array<bigint>")
         return F.when(lo < hi, F.sequence(lo, F.greatest(lo, hi - 1))).otherwise(none)
 
+    w = _RUNS[level]
     lo, hi = up(first, w), F.floor(past / w)
     if level == 0:
-        return run(lo, hi)
-    wide = widths[level - 1]
+        return span(lo, hi)
+    wide = _RUNS[level - 1]
     ratio = wide // w
     wlo, whi = up(first, wide), F.floor(past / wide)
-    covered = wlo < whi
-    return F.when(
-        covered, F.concat(run(lo, wlo * ratio), run(whi * ratio, hi))
-    ).otherwise(run(lo, hi))
+    return F.when(wlo < whi, F.concat(span(lo, wlo * ratio), span(whi * ratio, hi))).otherwise(span(lo, hi))
+
+
+def _covers(spans: DataFrame, slices: int) -> np.ndarray:
+    """Per slice the best rank among intervals that cover it whole; -1 if none.
+
+    Each interval is laid out as the few runs of slices that make up its inside,
+    and each run keeps its best rank before anything is shuffled.
+    """
+    def at(level: int) -> Column:
+        return F.transform(_runs(F.col("a") + 1, F.col("b"), level),
+                           lambda n: F.struct(F.lit(level).alias("level"), n.alias("run")))
+
+    pieces = F.concat(*[at(level) for level in range(len(_RUNS))])
+    best = spans.filter(F.col("b") > F.col("a") + 1).select("rank", F.explode(pieces).alias("p")).groupBy(
+        "p.level", "p.run").agg(F.min("rank").alias("rank"))
+    found = np.full(slices, np.iinfo(np.int64).max)
+    # No more rows than runs of slices.
+    for r in best.collect():
+        w = _RUNS[r.level]
+        part = found[r.run * w:(r.run + 1) * w]
+        np.minimum(part, r["rank"], out=part)
+    return np.where(found == np.iinfo(np.int64).max, -1, found)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Steps of each slice from its intervals in order of their starts.
+
+    Open intervals stand in a heap by rank; those that ended are dropped when
+    they come to its top. The best changes when a better one starts or when it
+    ends, and nowhere else.
+    """
+    out: list[tuple] = []
+    open_: list[tuple] = []
+    current, edge = None, 0
+    step: tuple | None = None
+
+    def put(at: int, rank: int) -> None:
+        """The value from ``at`` on; a later one at the same time replaces it."""
+        nonlocal step
+        if step is not None and step[0] != at and (not out or out[-1][1] != step[1]):
+            out.append(step)
+        step = (at, rank)
+
+    def until(at: int) -> None:
+        """Lets the best one end, again and again, up to ``at``."""
+        while open_ and open_[0][1] <= at:
+            end = open_[0][1]
+            while open_ and open_[0][1] <= end:
+                heapq.heappop(open_)
+            if end < edge:
+                put(end, open_[0][0] if open_ else -1)
+
+    def finish() -> None:
+        nonlocal step
+        if current is not None:
+            until(edge)
+            if step is not None and (not out or out[-1][1] != step[1]):
+                out.append(step)
+        open_.clear()
+        step = None
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("slice", "start", "past", "rank", "edge")]
+        for slice_no, start, past, rank, high in zip(*columns):
+            if slice_no != current:
+                finish()
+                if out:
+                    yield _steps(out)
+                    out = []
+                current, edge = slice_no, high
+            until(start)
+            if rank >= 0:
+                heapq.heappush(open_, (rank, past))
+            put(start, open_[0][0] if open_ else -1)
+        if len(out) > 50_000:
+            # The last step stays, to be compared with the next.
+            yield _steps(out[:-1])
+            out = out[-1:]
+    finish()
+    yield _steps(out)
+
+
+def _steps(rows: list[tuple]) -> pa.RecordBatch:
+    at, rank = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(rank, pa.int64())], names=["at", "rank"])
+
+
+def best_steps(
+    intervals: DataFrame, start: str, end: str, rank: Sequence[str], bounds_per_slice: int = BOUNDS_PER_SLICE,
+) -> DataFrame:
+    """The best interval as a function of time: ``at`` (microseconds; the value
+    holds up to the next ``at``) and ``row``, the interval lowest in ``rank``
+    (NULL last) among those open, or NULL.
+
+    Time is cut into slices of about equally many interval bounds. What a slice
+    must know of intervals that run right through it is one number; the others
+    begin or end in it and are swept with a heap. Each interval is sorted into
+    two slices at most, however long it is and however many overlap.
+    """
+    order = [c for i in range(len(rank)) for c in (f"__n{i}", f"__r{i}")] + ["start", "past", "__tie"]
+    row = F.struct(*intervals.columns)
+    keyed = intervals.filter(F.col(start) <= F.col(end)).select(
+        row.alias("row"), _micros(F.col(start)).alias("start"), (_micros(F.col(end)) + 1).alias("past"),
+        F.xxhash64(row).alias("__tie"),
+        *[x for i, c in enumerate(rank)
+          for x in (F.col(c).isNull().cast("int").alias(f"__n{i}"), F.col(c).alias(f"__r{i}"))])
+    cuts: list[int] = []
+    if 2 * keyed.count() > bounds_per_slice:
+        ranked = position(keyed, order, (), measured(keyed, order, bounds_per_slice), name="rank")
+        ranked = stored(ranked.select("rank", "row", "start", "past"), "ranked")
+        bounds = ranked.select(F.explode(F.array("start", "past")).alias("at"))
+        cuts = sorted({c[0] for c in measured(bounds, ["at"], bounds_per_slice, MAX_SLICES).cuts})
+    else:
+        ranked = position(keyed, order, (), name="rank").select("rank", "row", "start", "past")
+    slices = Slices(cuts=tuple((c,) for c in cuts), types=("bigint",))
+    spans = ranked.select("rank", "start", "past", slices.number("start").alias("a"),
+                          slices.number(F.col("past") - 1).alias("b"))
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    covers = _covers(spans, len(cuts) + 1) if cuts else np.array([-1])
+    edges = pd.DataFrame({"slice": np.arange(len(cuts) + 1), "start": [low, *cuts], "edge": [*cuts, high], "rank": covers})
+    edges = intervals.sparkSession.createDataFrame(edges, "slice bigint, start bigint, edge bigint, rank bigint")
+    # One row per slice, two at most per interval.
+    parts = spans.select("rank", "start", "past", F.explode(F.array_distinct(F.array("a", "b"))).alias("slice"))
+    parts = parts.join(edges.select("slice", F.col("start").alias("low"), "edge"), "slice").select(
+        "slice", F.greatest("start", "low").alias("start"), "past", "rank", "edge")
+    whole = edges.select("slice", "start", F.col("edge").alias("past"), "rank", "edge")
+    swept = parts.unionByName(whole).repartition("slice").sortWithinPartitions("slice", "start").mapInArrow(
+        _sweep, "at bigint, rank bigint")
+    # Before the first bound there is nothing to say.
+    return swept.filter(F.col("at") > low).join(ranked.select("rank", "row"), "rank", "left").select("at", "row")
 
 
 def interval_best(
@@ -114,45 +255,18 @@ def interval_best(
     start: str,
     end: str,
     rank: Sequence[str],
-    grid_seconds: int | None = None,
+    bounds_per_slice: int = BOUNDS_PER_SLICE,
 ) -> DataFrame:
     """Each point once, with the covering interval lowest in ``rank`` (NULL
-    last), or NULLs.
-
-    Each interval is laid out as the fewest buckets of a ladder of widths that
-    exactly tile it, and each bucket keeps only its best interval. A point then
-    finds at most one row per rung, so the work is linear however many
-    intervals overlap, and points are neither multiplied nor regrouped.
-    ``grid_seconds`` says that points lie on multiples of it, which needs only
-    the rungs that are at least as wide.
+    last), or NULLs. Equal ranks are decided either way, the same for all points.
+
+    The intervals alone are swept, into a function of time with at most two steps
+    an interval; points then look up the step they lie on by an as-of join, so
+    they are neither multiplied nor put into buckets of time.
     """
     take = intervals.columns
-    first = _micros(F.col(start))
-    past = _micros(F.col(end)) + 1
-    widths = LADDER
-    if grid_seconds is not None:
-        step = grid_seconds * 1_000_000
-        if step not in LADDER:
-            raise ValueError("grid_seconds must be a rung of the ladder")
-        widths = LADDER[: LADDER.index(step) + 1]
-        # Tighten to the grid points the interval covers.
-        first = -F.floor(-first / step) * step
-        past = (F.floor((past - 1) / step) + 1) * step
-    place = F.struct(
-        *[x for c in rank for x in (F.col(c).isNull().alias(f"n_{c}"), F.col(c).alias(c))]
-    )
-    spans = intervals.filter(F.col(start) <= F.col(end)).select(
-        first.cast("bigint").alias("__first"), past.cast("bigint").alias("__past"),
-        F.struct(place.alias("place"), F.struct(*take).alias("row")).alias("__row"))
-    out = points.withColumn("__at", _micros(F.col(ts)))
-    found = []
-    for level, w in enumerate(widths):
-        node = F.explode(_nodes(F.col("__first"), F.col("__past"), level, widths))
-        best = spans.select(node.alias(f"__n{level}"), "__row").groupBy(f"__n{level}").agg(
-            F.min("__row").alias(f"__b{level}"))
-        out = out.withColumn(f"__n{level}", F.floor(F.col("__at") / w).cast("bigint")).join(
-            best, f"__n{level}", "left")
-        found.append(F.col(f"__b{level}"))
-    top = found[0] if len(found) == 1 else F.least(*found)
-    return out.withColumn("__best", top).select(
-        *points.columns, *[F.col(f"__best.row.{c}").alias(c) for c in take])
+    steps = best_steps(intervals, start, end, rank, bounds_per_slice)
+    flat = steps.select(F.timestamp_micros("at").alias("__from"), *[F.col(f"row.{c}").alias(f"__i_{c}") for c in take])
+    found = asof_join(points.withColumn("__at", F.col(ts).cast("timestamp")), stored(flat, "steps"), "__at", "__from",
+                      take=[f"__i_{c}" for c in take])
+    return found.select(*points.columns, *[F.col(f"__i_{c}").alias(c) for c in take])

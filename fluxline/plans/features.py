@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxline.operators.asof import asof_join
+from fluxline.operators.extremes import extremes_in_windows
 from fluxline.operators.grid import cadence_seconds, resample, spine
 from fluxline.operators.intervals import interval_best
 from fluxline.operators.slices import every
@@ -63,7 +64,7 @@ def feature_matrix(
     labelled = interval_best(
         labelled,
         intervals.select("source_row", "icme_start", "icme_end", "mc_flag", "dst_min_nt"),
-        "__ts", "icme_start", "icme_end", rank=["dst_min_nt", "source_row"], grid_seconds=step,
+        "__ts", "icme_start", "icme_end", rank=["dst_min_nt", "source_row"],
     )
     m = resample(mag, ts, cadence, mag_features(F.col("bz_gse_nt"), F.col("bt_nt")), "__ts")
     p = resample(
@@ -113,15 +114,22 @@ def feature_summary(features: DataFrame) -> DataFrame:
 
 
 def interval_label_check(kp: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Greatest Kp whose interval start falls inside each catalogue interval."""
-    from fluxline.operators.intervals import interval_join
-
-    hits = interval_join(
-        kp.select(F.col("timestamp").alias("kp_at"), "kp"),
-        intervals.select("source_row", "icme_start", "icme_end", "dst_min_nt"),
-        "kp_at", "icme_start", "icme_end",
-    )
-    return hits.groupBy("source_row", "icme_start", "dst_min_nt").agg(F.max("kp").alias("kp_max"))
+    """Greatest Kp whose interval start falls inside each catalogue interval;
+    intervals without one are left out."""
+    found = extremes_in_windows(
+        kp.select("timestamp", "kp"), intervals.select("source_row", "icme_start", "icme_end", "dst_min_nt"),
+        "timestamp", "icme_start", "icme_end", {"kp_max": ("kp", "max")})
+    return found.filter(F.col("kp_max").isNotNull()).select("source_row", "icme_start", "dst_min_nt", "kp_max")
+
+
+def interval_extremes(mag: DataFrame, plasma: DataFrame, intervals: DataFrame, ts: str = "timestamp",
+                      start: str = "icme_start", end: str = "icme_end") -> DataFrame:
+    """Every interval with the extremes of both instruments inside it."""
+    inside = extremes_in_windows(mag, intervals, ts, start, end, {
+        "bz_min": ("bz_gse_nt", "min"), "bt_max": ("bt_nt", "max")})
+    return extremes_in_windows(plasma, inside, ts, start, end, {
+        "speed_max": ("bulk_speed_km_s", "max"), "density_max": ("proton_density_n_cc", "max"),
+        "temp_max": ("ion_temperature_k", "max")})
 
 
 def strongest_intervals(intervals: DataFrame, since: Column, k: int = 1) -> DataFrame:

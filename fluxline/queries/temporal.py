@@ -13,6 +13,7 @@ from fluxline.operators.slices import measured
 from fluxline.plans.features import (
     feature_matrix,
     feature_summary,
+    interval_extremes,
     interval_label_check,
     strongest_intervals,
     window_extremes,
@@ -188,6 +189,20 @@ def label_check(spark, sf_dir):
     return interval_label_check(kp_rows(spark, sf_dir), interval_rows(spark, sf_dir))
 
 
+@query("interval_extremes", f"""
+WITH icme AS ({INTERVAL_SQL}), mag AS ({MAG_SQL}), plasma AS ({PLASMA_SQL}),
+m AS (SELECT source_row, min(bz) AS bz_min, max(bt) AS bt_max FROM icme JOIN mag
+  ON mag.timestamp BETWEEN icme_start AND icme_end GROUP BY 1),
+p AS (SELECT source_row, max(speed) AS speed_max, max(density) AS density_max, max(temp) AS temp_max FROM icme
+  JOIN plasma ON plasma.timestamp BETWEEN icme_start AND icme_end GROUP BY 1)
+SELECT source_row, icme_start, icme_end, bz_min, bt_max, speed_max, density_max, temp_max
+FROM icme LEFT JOIN m USING (source_row) LEFT JOIN p USING (source_row)""")
+def extremes_by_interval(spark, sf_dir):
+    """Extremes of both instruments inside every catalogue interval."""
+    found = interval_extremes(mag_rows(spark, sf_dir), plasma_rows(spark, sf_dir), interval_rows(spark, sf_dir))
+    return found.select("source_row", "icme_start", "icme_end", "bz_min", "bt_max", "speed_max", "density_max", "temp_max")
+
+
 @query("strongest_intervals", f"""
 WITH icme AS ({INTERVAL_SQL})
 SELECT source_row, icme_start, icme_end, dst_min_nt, mc_flag FROM icme

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxline.operators import gates, setdigest
+from fluxline.plans import validation
 from fluxline.plans.graphs import GraphStore
 from fluxline.queries.audit import _TEXT, _row_text
 from fluxline.queries.catalog import EVENTS_SQL, events, query, rounded
@@ -116,3 +117,30 @@ def corpus_interrupted(spark, sf_dir):
         corpus.manifest(kind).vacuum(keep=1)
     phases.append(stored(counted(4), "phase"))
     return reduce(DataFrame.unionByName, phases)
+
+
+@query("validation_refresh", f"""
+WITH g AS (SELECT instrument, CAST(ts AS DATE) AS day, ts FROM {_JUDGED} WHERE instrument IS NOT NULL AND drop_reason IS NULL),
+d AS (SELECT instrument, day, count(*) FILTER (WHERE day(ts) <> 12) AS early, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT 'first' AS run, instrument, count(*) FILTER (WHERE early > 0) AS days_read, CAST(sum(early) AS BIGINT) AS rows_known
+  FROM d GROUP BY 2
+UNION ALL SELECT 'unchanged', instrument, 0, CAST(sum(early) AS BIGINT) FROM d GROUP BY 2
+UNION ALL SELECT 'a day more', instrument, count(*) FILTER (WHERE early = 0), CAST(sum(n) AS BIGINT) FROM d GROUP BY 2""")
+def validation_refresh(spark, sf_dir):
+    """Days read by a first validation, by one without changes, and by one after
+    the twelfth of each month has come in; and the rows each knows of."""
+    corpus = Corpus(spark, scratch_path(spark, "corpus"))
+    judged = stored(gates.judge(typed_packets(spark, sf_dir)), "judged")
+    late = F.dayofmonth("timestamp") == 12
+    parts = []
+    for run, rows in (("first", judged.filter(~late)), ("unchanged", None), ("a day more", judged.filter(late))):
+        if rows is not None:
+            corpus.write(rows)
+        report, read = validation.refresh(corpus)
+        days = {k: sum(kind == k for kind, _ in read) for k in ("mag", "plasma")}
+        known = F.get_json_object("details", "$.total_rows").cast("bigint")
+        n = F.when(F.col("subject") == "mag", days["mag"]).otherwise(days["plasma"]).cast("bigint")
+        parts.append(stored(report.filter(F.col("check") == "coverage").select(
+            F.lit(run).alias("run"), F.col("subject").alias("instrument"), n.alias("days_read"), known.alias("rows_known")),
+            "refresh"))
+    return reduce(DataFrame.unionByName, parts)

@@ -1,15 +1,18 @@
 """Rules, alerts, provenance, audit chains, reports, streams."""
 
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fluxline.operators import alerts, chain, provenance, rules
 from fluxline.plans import reports, sessions
 from fluxline.sources.corpus import Corpus
 from fluxline.streaming import ingest, state, windows
-from fluxline.streaming.run import drain, file_stream
+from fluxline.streaming.run import drain, drain_closing, file_stream
 
 T = datetime(2024, 1, 15, 12)
 
@@ -250,17 +253,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, out.select(*batch.columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_stream_chain_continues_and_shards(spark, tmp_path):
+LOG = "log_id string, entry_id string, at timestamp, payload string"
+
+
+def chained(spark, tmp_path, batches, delay):
+    """Entries of each batch in one file and trigger; then one far in the future."""
+    src = str(tmp_path / "in")
+    schema = spark.createDataFrame([], LOG).schema
+    for rows in batches:
+        folder(spark.createDataFrame(rows, LOG), src)
+        time.sleep(1.1)  # files are taken in order of their times
+    make = lambda: state.append_chain(file_stream(spark, src, schema, files_per_trigger=1), delay)
+    return drain_closing(make, lambda: folder(spark.createDataFrame([("", "end", datetime(2200, 1, 1), "")], LOG), src), "t-chain")
+
+
+def test_stream_chain_seals_days_in_order(spark, tmp_path):
+    """Late entries land where their time says, ties by id; hashes are those of the batch."""
     state.use_state_store(spark)
-    rows = [("L", f"e{i}", T + timedelta(seconds=i), f"{i:064d}") for i in range(20)]
-    df = spark.createDataFrame(rows, "log_id string, entry_id string, at timestamp, payload string")
-    src = folder(df, str(tmp_path / "in"), 1)
-    built = drain(state.append_chain(file_stream(spark, src, df.schema)), "t-chain").withColumn("segment", F.lit(0))
-    ok = chain.chain_status(chain.verify_chain(built, "log_id", "seq", F.col("payload")), "log_id", "seq").first()
-    assert (ok.entries, ok.intact) == (20, True)
-    dealt = drain(state.append_chain(file_stream(spark, src, df.schema), shards=4), "t-chain").withColumn("segment", F.lit(0))
-    each = chain.chain_status(chain.verify_chain(dealt, "log_id", "seq", F.col("payload")), "log_id", "seq").collect()
-    assert sum(r.entries for r in each) == 20 and all(r.intact for r in each) and len(each) > 1
+    rows = [(log, f"e{i}", T + timedelta(hours=5 * i), f"{log}{i:064d}") for i in range(20) for log in "LM"]
+    rows += [("L", f"tie{i}", T + timedelta(hours=5), f"t{i}") for i in range(3)]
+    late = [r for i, r in enumerate(rows) if i % 4 == 1 and r[2] >= T + timedelta(hours=40)]
+    early = [r for r in rows if r not in late]
+    random.Random(1).shuffle(early)
+    out = chained(spark, tmp_path, [early, late, early[:3]], "60 hours").collect()
+    day = F.floor(F.unix_micros("at") / 86_400_000_000).cast("long")
+    df = spark.createDataFrame(rows, LOG)
+    w = Window.partitionBy("log_id", day).orderBy("at", "entry_id")
+    batch = chain.build_chain(df.withColumn("seq", F.row_number().over(w)), "log_id", "seq", F.col("payload"), segment=day)
+    want = {(r.log_id, r.segment, r.seq): (r.entry_id, r.previous_hash, r.entry_hash) for r in batch.collect()}
+    got = {(r.log_id, r.segment, r.seq): (r.entry_id, r.previous_hash, r.entry_hash) for r in out}
+    assert got == want and len(out) == len(rows)
+    built = spark.createDataFrame(out)
+    ok = chain.chain_status(chain.verify_chain(built, "log_id", "seq", F.col("payload")), "log_id", "seq").collect()
+    assert {(r.log_id, r.entries, r.intact) for r in ok} == {("L", 23, True), ("M", 20, True)}
+
+
+def test_stream_chain_drops_what_is_too_late(spark, tmp_path):
+    state.use_state_store(spark)
+    day = timedelta(days=1)
+    batches = [[("L", "a", T, "1")], [("L", "b", T + 3 * day, "2")], [("L", "c", T + 4 * day, "3")], [("L", "late", T, "4")]]
+    out = chained(spark, tmp_path, batches, "1 hour").collect()
+    assert sorted(r.entry_id for r in out) == ["a", "b", "c"]
 
 
 def test_stream_alerts_over_triggers(spark, tmp_path):
@@ -270,10 +303,34 @@ def test_stream_alerts_over_triggers(spark, tmp_path):
     for kind in ("created", "resolved"):
         folder(df.filter(F.col("event_type") == kind), src)
     stream = file_stream(spark, src, df.schema, files_per_trigger=1)
-    got = sorted((r.alert_id, r.state) for r in drain(state.alert_changes(stream), "t-alerts").collect())
+    got = sorted((r.alert_id, r.state) for r in drain(state.alert_changes(stream), "t-alerts", "update").collect())
     assert got[:2] == [("a", "active"), ("a", "resolved")] and ("c", "resolved") not in got
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_alerts_in_any_order_equal_the_batch(spark, tmp_path, seed):
+    """Shuffled over triggers, with repeats, from scratch and from a batch history."""
+    state.use_state_store(spark)
+    rng = random.Random(seed)
+    rows = [(f"a{rng.randrange(12)}", rng.choice(["created", "resolved", "resolved", "noted"]),
+             T + timedelta(minutes=rng.randrange(60)), i) for i in range(150)]
+    schema = "alert_id string, event_type string, ts timestamp, event_id bigint"
+    df = spark.createDataFrame(rows, schema)
+    folded = alerts.fold(df, "alert_id", "event_type", "ts", "event_id", "created", "resolved")
+    want = {(r.alert_id, "active", r.opened_at) for r in folded.collect()}
+    want |= {(r.alert_id, "resolved", r.closed_at) for r in folded.collect() if r.resolved}
+    rng.shuffle(rows)
+    for name, old, new in (("all", [], rows + rows[:20]), ("seeded", rows[:90], rows[90:] + rows[:5])):
+        src = str(tmp_path / name)
+        for k in range(3):
+            folder(spark.createDataFrame(new[k::3], schema), src)
+        seed_rows = state.alert_seed(spark.createDataFrame(old, schema)) if old else None
+        stream = file_stream(spark, src, df.schema, files_per_trigger=1)
+        changes = drain(state.alert_changes(stream, seed_rows), "t-alerts", "update")
+        got = {(r.alert_id, r.state, r["at"]) for r in state.newest_states(changes, seed_rows).collect()}
+        assert got == want
+
+
 def test_labels_hold_until_the_next(spark):
     first = datetime(2024, 1, 1)
     labels = spark.createDataFrame([(first, 4.0), (first + timedelta(days=3), 5.0)], "timestamp timestamp, kp double")

@@ -196,7 +196,7 @@ def test_interval_best_on_a_grid(spark):
              (2, T0 + timedelta(minutes=2), T0 + timedelta(minutes=90, seconds=1), -9.0),
              (3, T0 + timedelta(minutes=100, seconds=1), T0 + timedelta(minutes=100, seconds=59), -1.0)]
     s = spark.createDataFrame(spans, "row int, a timestamp, b timestamp, dst double")
-    got = interval_best(grid, s, "ts", "a", "b", ["dst"], grid_seconds=60)
+    got = interval_best(grid, s, "ts", "a", "b", ["dst"])
     rows = {int((r.ts - T0).total_seconds() // 60): r.row for r in got.collect()}
     assert len(rows) == 120
     assert [rows[i] for i in (0, 1, 2, 3, 90, 91, 100)] == [None, 1, 2, 2, 2, None, None]
