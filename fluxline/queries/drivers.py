@@ -136,13 +136,54 @@ def attribution(spark, sf_dir):
     return rounded(out, "predicted", "contribution")
 
 
-@query("model_fit_wide")
+def _solved_sql(terms) -> str:
+    """Least squares by elimination over moment sums: ``coefs`` with one row, the
+    coefficients b1.., the intercept and r2."""
+    k = len(terms)
+    columns = ", ".join(f"lag({v}, {lag}) OVER o AS x{i}" for i, (v, lag) in enumerate(terms, 1))
+    known = " AND ".join(f"x{i} IS NOT NULL" for i in range(k + 1))
+    pairs = [(i, j) for i in range(1, k + 1) for j in [*range(i, k + 1), 0]]
+    first = ", ".join(f"covar_pop(x{i}, x{j}) AS c{i}_{j}" for i, j in pairs)
+    means = ", ".join(f"avg(x{i}) AS m{i}" for i in range(k + 1))
+    sql = f""", wide AS (SELECT timestamp, kp AS x0, {columns} FROM f WINDOW o AS (ORDER BY timestamp)),
+whole AS (SELECT * FROM wide WHERE {known}),
+e1 AS (SELECT {first}, {means}, var_pop(x0) AS c0_0 FROM whole)"""
+    for p in range(1, k):
+        rest = ", ".join(f"c{i}_{j} - c{p}_{i} * c{p}_{j} / c{p}_{p} AS c{i}_{j}" for i, j in pairs if i > p)
+        sql += f",\ne{p + 1} AS (SELECT * REPLACE ({rest}) FROM e{p})"
+    sql += f",\ns{k + 1} AS (SELECT * FROM e{k})"
+    for i in range(k, 0, -1):
+        above = "".join(f" - c{i}_{j} * b{j}" for j in range(i + 1, k + 1))
+        sql += f",\ns{i} AS (SELECT *, (c{i}_0{above}) / c{i}_{i} AS b{i} FROM s{i + 1})"
+    fitted = " - ".join(["m0", *[f"b{i} * m{i}" for i in range(1, k + 1)]])
+    products = " + ".join(f"b{i} * o.c{i}_0" for i in range(1, k + 1))
+    names = ", ".join(f"s1.b{i}" for i in range(1, k + 1))
+    return sql + f""",
+coefs AS (SELECT {names}, {fitted} AS a, ({products}) / o.c0_0 AS r2 FROM s1, (SELECT {", ".join(
+    f"c{i}_0" for i in range(k + 1))} FROM e1) o)"""
+
+
+@query("model_fit_wide", features_sql() + _solved_sql(WIDE_TERMS) + " UNION ALL ".join(
+    f"\nSELECT '{v}' AS var, CAST({k} AS INTEGER) AS lag, round(b{i}, 6) AS coef, round(r2, 6) AS r2 FROM coefs"
+    for i, (v, k) in enumerate(WIDE_TERMS, 1)))
 def model_fit_wide(spark, sf_dir):
     model = causal.fit(stored(features(spark, sf_dir), "features"), WIDE_TERMS)
     return rounded(model.table(spark).select(
         "var", "lag", "coef", F.lit(model.r2).alias("r2")), "coef", "r2")
 
 
+@query("moving_fit", features_sql() + """
+, w AS (SELECT CAST(timestamp AS DATE) AS day, kp AS y, lag(kp, 1) OVER (ORDER BY timestamp) AS x FROM f),
+c AS (SELECT * FROM w WHERE x IS NOT NULL AND y IS NOT NULL), d AS (SELECT DISTINCT day FROM c)
+SELECT CAST(d.day AS VARCHAR) AS day, 'kp' AS var, CAST(1 AS INTEGER) AS lag, round(regr_slope(y, x), 6) AS coef,
+  round(regr_intercept(y, x), 6) AS intercept, round(regr_r2(y, x), 6) AS r2, count(*) AS n
+FROM d JOIN c ON c.day BETWEEN d.day - 6 AND d.day GROUP BY d.day HAVING count(*) >= 3""")
+def moving_fit(spark, sf_dir):
+    """Persistence fitted anew for every day from the week up to it."""
+    out = causal.moving_fits(features(spark, sf_dir), TERMS, 7)
+    return rounded(out.withColumn("day", F.col("day").cast("string")), "coef", "intercept", "r2")
+
+
 @query("model_fit_two", features_sql() + """
 , w AS (SELECT kp AS y, lag(kp, 1) OVER o AS a, lag(kp, 2) OVER o AS b FROM f WINDOW o AS (ORDER BY timestamp)),
 c AS (SELECT * FROM w WHERE y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL),
@@ -169,7 +210,24 @@ def top_events(spark, sf_dir):
                    "predicted", "persistence", "baseline")
 
 
-@query("top_event_drivers")
+def _drivers_sql() -> str:
+    terms = list(enumerate(WIDE_TERMS, 1))
+    predicted = " + ".join(["a", *[f"coalesce(b{i} * x{i}, 0)" for i, _ in terms]])
+    own = " + ".join(["0", *[f"coalesce(b{i} * x{i}, 0)" for i, (v, _) in terms if v == "kp"]])
+    others = ", ".join(f"{{'var': '{v}', 'lag': CAST({k} AS INTEGER), 'value': x{i}, 'part': b{i} * x{i}, 'at': {i}}}"
+                       for i, (v, k) in terms if v != "kp")
+    return f"""
+, top AS (SELECT timestamp, x0 AS observed, {predicted} AS predicted, {own} AS persistence, a AS baseline,
+  list_filter([{others}], lambda c: c.part IS NOT NULL) AS parts FROM wide, coefs
+  ORDER BY x0 DESC NULLS LAST, timestamp LIMIT 5),
+best AS (SELECT *, list_reduce(parts, lambda m, c: CASE WHEN abs(c.part) > abs(m.part) THEN c ELSE m END) AS p
+  FROM top WHERE len(parts) > 0 UNION ALL SELECT *, NULL FROM top WHERE len(parts) = 0)
+SELECT timestamp, observed, round(predicted, 6) AS predicted, p.var AS primary_cause, p.lag AS primary_lag,
+  p.value AS primary_value, round(p.part, 6) AS primary_contribution, round(persistence, 6) AS persistence,
+  round(baseline, 6) AS baseline FROM best"""
+
+
+@query("top_event_drivers", features_sql() + _solved_sql(WIDE_TERMS) + _drivers_sql())
 def top_event_drivers(spark, sf_dir):
     f = stored(features(spark, sf_dir), "features")
     out = causal.explain_top(f, causal.fit(f, WIDE_TERMS), 5).drop("drivers")
