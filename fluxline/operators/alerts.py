@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxline.operators.skew import skew_join
+
 
 def fold(
     events: DataFrame,
@@ -80,8 +82,6 @@ def subscriptions_to_fire(alerts: DataFrame, subscriptions: DataFrame) -> DataFr
     narrow = wanted.filter(F.col("wanted") != "anomaly.any").join(
         takes_any, "subscription_id", "left_anti")
     names = F.array(F.lit("anomaly.any"), F.concat(F.lit("anomaly."), F.col("severity")))
-    return (
-        alerts.withColumn("wanted", F.explode(names))
-        .join(narrow.unionByName(takes_any.withColumn("wanted", F.lit("anomaly.any"))), "wanted")
-        .drop("wanted")
-    )
+    taken = narrow.unionByName(takes_any.withColumn("wanted", F.lit("anomaly.any")))
+    # Every alert has the name for any severity, and there are few others.
+    return skew_join(alerts.withColumn("wanted", F.explode(names)), taken, ["wanted"]).drop("wanted")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxline.operators.ordered import last_k
 from fluxline.operators.rules import SEVERITIES
+from fluxline.operators.skew import skew_join
 
 
 def duration_seconds(start: Column, end: Column) -> Column:
@@ -224,8 +225,7 @@ def object_state(sessions: DataFrame, objects: DataFrame) -> DataFrame:
 
 def object_alerts(state: DataFrame, flags: DataFrame, session: str = "session_id") -> DataFrame:
     """Flags of each object's latest session."""
-    return flags.join(
-        state.select(session, F.col("spacecraft_id").alias("object")), session)
+    return skew_join(flags, state.select(session, F.col("spacecraft_id").alias("object")), [session])
 
 
 def newest(df: DataFrame, ts: str, k: int, tie: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxline.operators import alerts, gates, provenance, rules
+from fluxline.operators.skew import skew_join
 from fluxline.plans import reports, sessions
 from fluxline.queries.catalog import EVENTS_SQL, events, query, rounded, table
 
@@ -219,6 +220,24 @@ def alert_subscriptions(spark, sf_dir):
         "event_id", "rule_id", "subscription_id")
 
 
+_HOT = "CASE WHEN event_id % 3 = 0 THEN 'hot' WHEN event_id % 50 = 1 THEN NULL ELSE 'u' || user_id END"
+
+
+@query("hot_key_join", f"""
+SELECT e.event_id, e.name, n.n_nationkey, n.n_name FROM (SELECT event_id, {_HOT} AS name FROM events) e
+LEFT JOIN (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'hot' ELSE 'u' || n_nationkey END AS name
+  FROM nation) n ON e.name = n.name""")
+def hot_key_join(spark, sf_dir):
+    """A third of the rows under one name, joined without a broadcast."""
+    i = F.col("event_id")
+    name = F.when(i % 3 == 0, "hot").when(i % 50 == 1, None).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    left = events(spark, sf_dir).select("event_id", name.alias("name"))
+    key = F.col("n_nationkey")
+    right = table(spark, sf_dir, "nation").select(
+        "n_nationkey", "n_name", F.when(key % 4 == 0, "hot").otherwise(F.concat(F.lit("u"), key.cast("string"))).alias("name"))
+    return skew_join(left, right, ["name"], "left", broadcast_rows=0).select("event_id", "name", "n_nationkey", "n_name")
+
+
 # -- sessions ------------------------------------------------------------------
 
 
