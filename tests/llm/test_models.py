@@ -117,3 +117,88 @@ def test_positive_unlabelled_finds_the_prior_and_the_bad():
 def test_nothing_to_learn_from():
     empty = np.empty((0, quality_model.FEATURES))
     assert quality_model.train(empty, empty).score([b"any", None, b""]).tolist() == [0.5] * 3
+
+
+# -- the quality classifier over all documents ---------------------------------------
+
+
+def labelled_texts(n, seed):
+    rng = random.Random(seed)
+    words = [f"{a}{b}" for a in "bdfglmnprst" for b in ("a", "en", "ir", "os", "une")]
+    out = []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        text = (" ".join(rng.choices(["###", "$$$", "buy", "x1"], k=rng.randrange(5, 40))) if bad else
+                ". ".join(" ".join(rng.choices(words, k=rng.randrange(6, 14))) for _ in range(rng.randrange(2, 8))) + ".")
+        out.append((i, text, 0 if bad else 1))
+    return out
+
+
+def test_histogram_cuts_and_risk_over_all_rows(spark):
+    """Against the same figures in memory."""
+    rows = labelled_texts(700, 3)
+    x = np.array([quality_model.features(t.encode()) for _, t, _ in rows])
+    x = quality_model._rounded(x)
+    df = spark.createDataFrame([(bool(y), i % 2, i, r.tobytes()) for (i, _, y), r in zip(rows, x)],
+                               "good boolean, half int, k bigint, x binary").repartition(7)
+    seen = quality_model.histogram(df)
+    for j in range(quality_model.FEATURES):
+        values, counts = np.unique(x[:, j].astype(float), return_counts=True)
+        assert seen[j][0].tolist() == values.tolist() and seen[j][1].tolist() == counts.tolist()
+    cuts = [quality_model.quantile_cuts(*seen[j], 8) for j in range(quality_model.FEATURES)]
+    binned = quality_model.Binned.of(df, cuts)
+    b = quality_model._binned(x.astype(float), cuts)
+    half = np.arange(700) % 2
+    rng = np.random.default_rng(1)
+    models = [rng.normal(size=binned.width + 1) for _ in range(2)]
+    scores = quality_model._crossed(models, b, half)
+    levels = np.quantile(scores, [0.1, 0.5, 0.9])
+    np.testing.assert_allclose(binned.masses(models, levels), [(scores >= t).mean() for t in levels])
+    w = models[0]
+    g = w[b].sum(axis=1) + w[-1]
+    mean, slopes = binned.unlabelled(w)
+    sigmoid = 1 / (1 + np.exp(-g))
+    assert mean == pytest.approx(sigmoid.mean())
+    # By finite differences of the mean loss of the unlabelled.
+    for i in (0, 5, binned.width):
+        step = np.zeros_like(w)
+        step[i] = 1e-5
+        up, down = (1 / (1 + np.exp(-((w + s)[b].sum(axis=1) + (w + s)[-1]))) for s in (step, -step))
+        assert slopes[i] == pytest.approx((up - down).mean() / 2e-5, abs=1e-7)
+
+
+def test_quality_learns_when_every_document_has_a_label(spark):
+    rows = labelled_texts(900, 4)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, quality int")
+    model = quality_model.fit(docs, labels)
+    assert 0.6 < model.prior < 0.8
+    got = {r.doc_id: r.score for r in quality_model.score_documents(docs, model).collect()}
+    good, bad = ([got[i] >= 0.3 for i, _, y in rows if y == k] for k in (1, 0))
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.02
+    # Rows of one document that disagree are trusted in neither sense; null labels say nothing.
+    odd = labels.unionByName(labels.selectExpr("doc_id", "1 - quality AS quality")).unionByName(
+        labels.selectExpr("doc_id", "CAST(NULL AS int) AS quality"))
+    assert quality_model.fit(docs, odd).prior == 0.5
+    again = labels.unionByName(labels.selectExpr("doc_id", "CAST(NULL AS int) AS quality")).unionByName(labels)
+    assert quality_model.trusted(again).count() == quality_model.trusted(labels).count()
+
+
+def test_last_steps_lower_the_risk_of_all_rows(spark):
+    rows = labelled_texts(600, 5)
+    x = quality_model._rounded([quality_model.features(t.encode()) for _, t, _ in rows])
+    df = spark.createDataFrame([(bool(y), i % 2, i, r.tobytes()) for (i, _, y), r in zip(rows, x)],
+                               "good boolean, half int, k bigint, x binary")
+    seen = quality_model.histogram(df)
+    cuts = [quality_model.quantile_cuts(*seen[j], 8) for j in range(quality_model.FEATURES)]
+    binned = quality_model.Binned.of(df, cuts)
+    b = quality_model._binned(x.astype(float), cuts)
+    p = b[[y == 1 for _, _, y in rows]][:100]
+
+    def risk(w):
+        g, gp = (r @ np.ones(r.shape[1]) + w[-1] for r in (w[b], w[p]))
+        loss = lambda z: (1 / (1 + np.exp(z))).mean()
+        return 0.7 * loss(gp) + max(0.0, loss(-g) - 0.7 * loss(-gp))
+
+    start = np.zeros(binned.width + 1)
+    assert risk(quality_model.descend(start, p, binned, 0.7, 12)) < risk(start) - 0.05
