@@ -178,12 +178,17 @@ def flag_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def ingestion_result(packets: DataFrame, rules: Sequence[tuple[str, Column]], by: str = "source") -> DataFrame:
-    """Accepted and failed counts with the success rate, per source."""
+def ingestion_result(packets: DataFrame, rules: Sequence[tuple[str, Column]], by: str = "source",
+                     received: str | None = None) -> DataFrame:
+    """Accepted and failed counts with the success rate, per source; with
+    ``received``, a time each packet came in, also how long the ingestion took
+    from the first to the last packet."""
     ok = all_of([F.coalesce(cond, F.lit(False)) for _, cond in rules])
-    return packets.groupBy(by).agg(
-        F.count_if(ok).alias("packets_ingested"), F.count_if(~ok).alias("packets_failed")
-    ).withColumn(
+    aggs = [F.count_if(ok).alias("packets_ingested"), F.count_if(~ok).alias("packets_failed")]
+    if received is not None:
+        at = F.unix_micros(F.col(received).cast("timestamp"))
+        aggs.append(((F.max(at) - F.min(at)) / F.lit(1e6)).alias("duration_seconds"))
+    return packets.groupBy(by).agg(*aggs).withColumn(
         "success_rate",
         ratio(F.col("packets_ingested"), F.col("packets_ingested") + F.col("packets_failed")),
     ).withColumn("success", F.col("packets_ingested") > 0)

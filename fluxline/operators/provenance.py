@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxline import constants as C
 from fluxline.functions.scalar import key_id
 from fluxline.operators.alerts import fold
+from fluxline.operators.asof import asof_join
 
 
 def _lookup(table: dict[str, int], source: Column, default: int) -> Column:
@@ -88,6 +91,42 @@ def raise_conditions(df: DataFrame, condition_type: str, source: str, ts: str, d
     )
 
 
+def unavailable(results: DataFrame, source: str = "source", ts: str = "ts") -> DataFrame:
+    """A condition for each ingestion that brought nothing (``success`` false)."""
+    return raise_conditions(results.filter(~F.col("success")), "source_unavailable", source, ts, F.lit("no rows came in"))
+
+
+def missing_inputs(rows: DataFrame, required: Sequence[str], source: str = "source", ts: str = "ts") -> DataFrame:
+    """A condition for each row that lacks one of the ``required`` values; the
+    description names them."""
+    absent = F.filter(F.array(*[
+        F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), F.lit(c)) for c in required]), lambda x: x.isNotNull())
+    found = rows.withColumn("__absent", absent).filter(F.size("__absent") > 0)
+    return raise_conditions(found, "missing_inputs", source, ts,
+                            F.concat(F.lit("missing: "), F.array_join("__absent", ", ")))
+
+
+def invalid_propagations(positions: DataFrame, low_km: float, high_km: float, altitude: str = "altitude_km",
+                         source: str = "source", ts: str = "ts") -> DataFrame:
+    """A condition for each propagated position whose altitude is missing or not
+    between the bounds."""
+    inside = F.col(altitude).between(low_km, high_km) & ~F.isnan(F.col(altitude))
+    bad = positions.filter(~F.coalesce(inside, F.lit(False)))
+    return raise_conditions(bad, "invalid_propagation", source, ts, F.format_string(
+        "altitude %s km", F.coalesce(F.col(altitude).cast("string"), F.lit("unknown"))))
+
+
+def resolutions(raised: DataFrame, evidence: DataFrame, source: str = "source", ts: str = "ts") -> DataFrame:
+    """Resolving events: each condition is closed by the first evidence about its
+    source (source, ts of ``evidence``) at or after it was raised.
+
+    An as-of join forward, so no condition meets more than one row of evidence.
+    """
+    good = evidence.select(F.col(source).alias("source"), F.col(ts).alias("__ok"))
+    found = asof_join(raised, good, "ts", "__ok", by=["source"], take=["__ok"], direction="forward", how="inner")
+    return found.withColumns({"event_type": F.lit("resolved"), "ts": F.col("__ok")}).select(raised.columns)
+
+
 def condition_state(events: DataFrame) -> DataFrame:
     """Current state per condition; resolving works once."""
     return fold(

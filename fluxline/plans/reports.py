@@ -6,6 +6,8 @@ hour (and source, rule or object) with conditional counts.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,42 @@ def alert_events(flags: DataFrame, ts: str = "timestamp") -> DataFrame:
     )
 
 
+def _produced(rows: DataFrame, kind: str, ts: Column, source: Column, key: Sequence[Column],
+              details: dict[str, Column]) -> DataFrame:
+    from fluxline.functions.scalar import key_id
+
+    pairs = [x for n, c in details.items() for x in (F.lit(n), c.cast("string"))]
+    return rows.select(
+        key_id(*key, F.lit(kind)).alias("event_id"), F.lit(kind).alias("event_type"), ts.alias("timestamp"),
+        source.alias("source"), F.create_map(*pairs).alias("details"))
+
+
+def rule_events(evaluated: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Events of kind rule from evaluations (packet_id, rule_id, triggered,
+    observed_value, spacecraft_id)."""
+    return _produced(evaluated, RULE, F.col(ts), F.col("spacecraft_id"), [F.col("packet_id"), F.col("rule_id")], {
+        "rule_id": F.col("rule_id"), "triggered": F.col("triggered"), "observed_value": F.col("observed_value")})
+
+
+def resolution_events(state: DataFrame) -> DataFrame:
+    """Events of resolved alerts from alert states (see ``alerts.alert_state``)."""
+    return _produced(state.filter("resolved"), RESOLVED, F.col("closed_at"), F.col("spacecraft_id"), [F.col("alert_id")], {
+        "alert_id": F.col("alert_id"), "resolved_by": F.col("resolved_by"), "severity": F.col("severity")})
+
+
+def degraded_events(conditions: DataFrame) -> DataFrame:
+    """Events of degraded service from raised conditions."""
+    raised = conditions.filter("event_type = 'raised'")
+    return _produced(raised, DEGRADED, F.col("ts"), F.col("source"), [F.col("condition_id")], {
+        "condition_type": F.col("condition_type"), "severity": F.col("severity"), "description": F.col("description")})
+
+
+def propagation_events(positions: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Events of completed propagations, one per object and time."""
+    return _produced(positions, PROPAGATED, F.col(ts), F.col("object_id"), [F.col("object_id"), F.col(ts)], {
+        "altitude_km": F.col("altitude_km")})
+
+
 def export_json(df: DataFrame, path: str, parts: list[str]) -> None:
     """Rows as JSON lines in one folder per key, e.g. per session or hour."""
     df.repartitionByRange(*parts, *[c for c in df.columns if c not in parts and c.endswith("_id")][:1]) \

@@ -192,12 +192,52 @@ def system_status(totals: DataFrame, audit: DataFrame, rule_count: int) -> DataF
     )
 
 
-def source_stats(summary: DataFrame, source: str = "source") -> DataFrame:
-    return summary.groupBy(source).agg(
+def source_stats(summary: DataFrame, source: str = "source", staleness: DataFrame | None = None) -> DataFrame:
+    """Sessions, packets and flags per source; with ``staleness`` (source, stale,
+    last_seen, as ``provenance.source_staleness`` gives it) also its ``status``:
+    live, stale, or silent for a source nothing was ever seen of."""
+    out = summary.groupBy(source).agg(
         F.count(F.lit(1)).alias("sessions"),
         F.sum("packet_count").alias("packets"),
         F.sum("anomaly_count").alias("anomalies"),
     )
+    if staleness is None:
+        return out
+    known = staleness.select(source, "stale", "last_seen")
+    status = F.when(F.col("stale").isNull(), "silent").when(F.col("stale"), "stale").otherwise("live")
+    return out.join(known, source, "left").withColumn("status", status).drop("stale")
+
+
+def status_rows(system: DataFrame, audit: DataFrame, sources: DataFrame, log: str, source: str = "source") -> DataFrame:
+    """Status of every part as rows (component, name, status, figure): the system,
+    each audit log (chain status) and each source (see :func:`source_stats`)."""
+    audit_state = F.when(F.col("intact"), "intact").otherwise("broken")
+    return system.select(
+        F.lit("system").alias("component"), F.lit("all").alias("name"), F.col("state").alias("status"),
+        F.col("sessions").alias("figure"),
+    ).unionByName(audit.select(
+        F.lit("audit").alias("component"), F.col(log).cast("string").alias("name"), audit_state.alias("status"),
+        F.col("entries").alias("figure"),
+    )).unionByName(sources.select(
+        F.lit("source").alias("component"), F.col(source).cast("string").alias("name"), "status",
+        F.col("packets").alias("figure")))
+
+
+def critical_flags(flags: DataFrame, session: str = "session_id") -> DataFrame:
+    """The critical flags behind the mission reports, as rows keyed by session:
+    one session may hold any number of them."""
+    return flags.filter(F.col("severity") == "critical")
+
+
+def write_documents(report: DataFrame, flags: DataFrame, path: str, session: str = "session_id") -> None:
+    """A JSON document per session under ``session=...`` folders: its report, and
+    beside it its critical flags."""
+    from fluxline.plans.reports import export_json
+
+    named = report.withColumn("session", F.col(session).cast("string"))
+    export_json(named, f"{path}/reports", ["session"])
+    export_json(critical_flags(flags, session).withColumn("session", F.col(session).cast("string")),
+                f"{path}/critical", ["session"])
 
 
 def object_state(sessions: DataFrame, objects: DataFrame) -> DataFrame:

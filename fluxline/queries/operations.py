@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxline.operators import alerts, gates, provenance, rules
+from fluxline.operators import alerts, chain, digest, gates, provenance, rules
 from fluxline.operators.skew import skew_join
+from fluxline.operators.slices import measured
 from fluxline.plans import reports, sessions
+from fluxline.queries.audit import _tree_sql
 from fluxline.queries.catalog import EVENTS_SQL, events, query, rounded, table
+from fluxline.session import scratch_path, stored
 
 RULES = (
     rules.Rule("value-high", "value", None, 100.0, "high", 2.0, "High value"),
@@ -164,6 +170,23 @@ def alert_explanations(spark, sf_dir):
         "packet_count"), "stated_confidence")
 
 
+_SOURCES = ("noaa_dscovr", "ace_spacecraft", "opensky_network", "celestrak_iss", "authoritative", "other")
+_AS_OF = "2024-01-30 12:00:00"
+
+
+def _sourced(spark, sf_dir):
+    names = F.array(*[F.lit(s) for s in _SOURCES])
+    return events(spark, sf_dir).withColumn(
+        "source", F.get(names, (F.col("user_id") % 6).cast("int")))
+
+
+_PROV = f"""(SELECT *, (epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(ts)) / 1e6 AS age_seconds,
+  (epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(ts)) / 1e6 > lim AS stale FROM (
+  SELECT *, [{', '.join(repr(s) for s in _SOURCES)}][user_id % 6 + 1] AS source,
+  [7200, 7200, 600, 86400, 300, 3600][user_id % 6 + 1] AS lim,
+  CASE WHEN user_id % 6 = 4 THEN 3 ELSE 2 END AS trust0 FROM {EVENTS_SQL}))"""
+
+
 # -- alerts ------------------------------------------------------------------
 
 
@@ -338,6 +361,100 @@ def mission_report(spark, sf_dir):
         "audit_intact", "audit_entries", F.size("anomalies_by_severity").alias("severities"))
 
 
+# -- a mission report with a real chain behind it ---------------------------------
+
+
+_TAMPERED = f"""kept AS (SELECT user_id, event_id, k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq
+  FROM {EVENTS_SQL}),
+broken AS (SELECT user_id, count(*) AS audit_entries, count(*) FILTER (WHERE changed OR unlinked) = 0 AS audit_intact FROM (
+  SELECT user_id, event_id % 899 = 3 AS changed,
+    coalesce(lag(seq) OVER (PARTITION BY user_id ORDER BY seq), 0) <> seq - 1 AS unlinked FROM kept WHERE event_id % 997 <> 5)
+  GROUP BY 1)"""
+
+
+def _audited(spark, sf_dir):
+    """Chain status per session after some entries were taken out or changed."""
+    from fluxline.queries.audit import _entries, _payload
+
+    built = chain.build_chain(_entries(spark, sf_dir), "user_id", "seq", _payload())
+    hit = built.filter(F.col("event_id") % 997 != 5).withColumn(
+        "k", F.when(F.col("event_id") % 899 == 3, F.col("k") + 1).otherwise(F.col("k")))
+    return chain.chain_status(chain.verify_chain(hit, "user_id", "seq", _payload()), "user_id", "seq")
+
+
+@query("mission_dossier", f"""
+WITH {_TAMPERED},
+prints AS ({_tree_sql("user_id", EVENTS_SQL, digest.FANOUT, 5)})
+SELECT s.session_id, s.packet_count, s.anomaly_count, array_to_string(list_filter([
+    CASE WHEN critical_count > 0 THEN 'critical=' || critical_count END, CASE WHEN high_count > 0 THEN 'high=' || high_count END,
+    CASE WHEN low_count > 0 THEN 'low=' || low_count END, CASE WHEN medium_count > 0 THEN 'medium=' || medium_count END],
+    lambda x: x IS NOT NULL), ',') AS severities,
+  coalesce(b.audit_entries, 0) AS audit_entries, coalesce(b.audit_intact, true) AS audit_intact, p.fingerprint,
+  NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = s.session_id AND e.event_id % 500 = 7) AS determinism_verified,
+  CASE WHEN critical_count > 0 THEN 'CRITICAL' WHEN high_count > 2 THEN 'DEGRADED' WHEN anomaly_count > 10 THEN 'CAUTION'
+    WHEN NOT coalesce(b.audit_intact, true) THEN 'AUDIT_FAILED' ELSE 'NOMINAL' END AS health,
+  coalesce(nullif(array_to_string(list_filter([
+    CASE WHEN critical_count > 0 THEN critical_count || ' critical flags: review before going on' END,
+    CASE WHEN high_count > 0 THEN high_count || ' high flags: confirm the readings' END,
+    CASE WHEN unacknowledged_minor > 0 THEN unacknowledged_minor || ' lesser flags wait for an operator' END,
+    CASE WHEN NOT coalesce(b.audit_intact, true) THEN 'audit chain is broken: look into tampering' END],
+    lambda x: x IS NOT NULL), '; '), ''), 'nothing to do') AS recommendations
+FROM {_SESSIONS} s LEFT JOIN broken b ON b.user_id = s.session_id LEFT JOIN prints p ON p.user_id = s.session_id""")
+def mission_dossier(spark, sf_dir):
+    """The whole report of every session: audit state of a verified chain that was
+    tampered with, fingerprint, determinism against a second replay, advice."""
+    from fluxline.queries.audit import _row_text
+
+    s = stored(_summary(spark, sf_dir), "summary")
+    audit = _audited(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("entries").alias("audit_entries"),
+                                           F.col("intact").alias("audit_intact"))
+    rows = events(spark, sf_dir)
+    again = rows.withColumn("k", F.when(F.col("event_id") % 500 == 7, F.col("k") + 1).otherwise(F.col("k")))
+    cut = measured(rows, ["ts", "event_id"])
+    prints = [digest.tree_digest(df, ["user_id"], ["ts", "event_id"], _row_text(), cut).withColumnRenamed(
+        "user_id", "session_id") for df in (rows, again)]
+    out = sessions.mission_report(s, audit=audit, fingerprints=prints[0], expected_fingerprints=prints[1])
+    listed = F.transform(F.array_sort(F.map_entries("anomalies_by_severity")),
+                         lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select(
+        "session_id", "packet_count", "anomaly_count", F.array_join(listed, ",").alias("severities"), "audit_entries",
+        "audit_intact", "fingerprint", "determinism_verified", "health",
+        F.array_join("recommendations", "; ").alias("recommendations"))
+
+
+@query("mission_critical", f"""
+SELECT user_id AS session_id, event_id, rule_id FROM {FLAGS_SQL} WHERE severity = 'critical'""")
+def mission_critical(spark, sf_dir):
+    """The critical flags of all reports, written as documents per session and read back."""
+    f = flags(spark, sf_dir).withColumnRenamed("user_id", "session_id")
+    path = scratch_path(spark, "documents")
+    sessions.write_documents(_summary(spark, sf_dir), f.withColumn("at", F.col("ts").cast("string")).drop("ts"), path)
+    return spark.read.schema("session_id bigint, event_id bigint, rule_id string").json(f"{path}/critical").select(
+        "session_id", "event_id", "rule_id")
+
+
+@query("status_rows", f"""
+WITH {_TAMPERED},
+logs AS (SELECT user_id % 8 AS log, sum(audit_entries) AS n, bool_and(audit_intact) AS intact FROM broken GROUP BY 1),
+t AS (SELECT sum(unacknowledged_critical) AS crit, count(*) AS n FROM {_SESSIONS})
+SELECT 'system' AS component, 'all' AS name, CASE WHEN crit > 0 THEN 'CRITICAL'
+  WHEN NOT (SELECT bool_and(intact) FROM logs) THEN 'DEGRADED' ELSE 'NOMINAL' END AS status, CAST(n AS BIGINT) AS figure FROM t
+UNION ALL SELECT 'audit', CAST(log AS VARCHAR), CASE WHEN intact THEN 'intact' ELSE 'broken' END, CAST(n AS BIGINT) FROM logs
+UNION ALL SELECT 'source', p.source, CASE WHEN p.stale THEN 'stale' ELSE 'live' END, p.packets FROM (
+  SELECT source, bool_and(stale) AS stale, count(*) AS packets FROM {_PROV} GROUP BY 1) p""")
+def status_rows(spark, sf_dir):
+    """Status of the system, of eight audit logs and of every source, as rows."""
+    s = stored(_summary(spark, sf_dir), "summary")
+    names = F.array(*[F.lit(x) for x in _SOURCES])
+    stale = provenance.source_staleness(_sourced(spark, sf_dir), F.lit(_AS_OF).cast("timestamp"))
+    by_source = sessions.source_stats(
+        s.withColumn("source", F.get(names, (F.col("session_id") % 6).cast("int"))), staleness=stale)
+    logs = stored(_audited(spark, sf_dir), "audit").groupBy((F.col("user_id") % 8).alias("log")).agg(
+        F.sum("entries").alias("entries"), F.every("intact").alias("intact"))
+    system = sessions.system_status(sessions.fleet_totals(s), logs, len(RULES))
+    return sessions.status_rows(system, logs, by_source, "log")
+
+
 @query("fleet_totals", f"""
 SELECT count(*) AS sessions, CAST(sum(packet_count) AS BIGINT) AS packets,
   CAST(sum(anomaly_count) AS BIGINT) AS anomalies, CAST(sum(unacknowledged_critical) AS BIGINT) AS critical_open,
@@ -497,23 +614,6 @@ def retention(spark, sf_dir):
 
 # -- provenance ----------------------------------------------------------------
 
-_SOURCES = ("noaa_dscovr", "ace_spacecraft", "opensky_network", "celestrak_iss", "authoritative", "other")
-_AS_OF = "2024-01-30 12:00:00"
-
-
-def _sourced(spark, sf_dir):
-    names = F.array(*[F.lit(s) for s in _SOURCES])
-    return events(spark, sf_dir).withColumn(
-        "source", F.get(names, (F.col("user_id") % 6).cast("int")))
-
-
-_PROV = f"""(SELECT *, (epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(ts)) / 1e6 AS age_seconds,
-  (epoch_us(TIMESTAMP '{_AS_OF}') - epoch_us(ts)) / 1e6 > lim AS stale FROM (
-  SELECT *, [{', '.join(repr(s) for s in _SOURCES)}][user_id % 6 + 1] AS source,
-  [7200, 7200, 600, 86400, 300, 3600][user_id % 6 + 1] AS lim,
-  CASE WHEN user_id % 6 = 4 THEN 3 ELSE 2 END AS trust0 FROM {EVENTS_SQL}))"""
-
-
 @query("provenance", f"""
 SELECT event_id, source, age_seconds, stale, CAST(CASE WHEN stale THEN 1 ELSE trust0 END AS INTEGER) AS trust,
   round(least(CASE WHEN stale THEN value / 50 * 0.5 ELSE value / 50 END, 1.0), 6) AS confidence FROM {_PROV}""")
@@ -563,3 +663,83 @@ def best_source(spark, sf_dir):
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")
     per = rounded(rows, "confidence").groupBy(hour, "source", "trust").agg(F.max("confidence").alias("confidence"))
     return provenance.best_source(per, ["hour"])
+
+
+_KINDS = f"""(SELECT 'source_unavailable' AS kind, source, ts FROM {_PROV} WHERE event_type = 'error' AND k <= 60
+  UNION ALL SELECT 'missing_inputs', source, ts FROM {_PROV} WHERE event_type = 'view' AND k % 25 = 3
+  UNION ALL SELECT 'invalid_propagation', source, ts FROM {_PROV} WHERE event_type = 'purchase' AND value > 180)"""
+
+
+def _conditions(spark, sf_dir):
+    """Conditions of all four kinds, and the resolutions of three of them."""
+    s = _sourced(spark, sf_dir)
+    v, k = F.col("value"), F.col("k")
+    failed = s.filter("event_type = 'error'").withColumn("success", k > 60)
+    inputs = s.filter("event_type = 'view'").withColumn("bz", F.when(k % 25 != 3, v))
+    moved = s.filter("event_type = 'purchase'").withColumn("altitude_km", v * 10)
+    raised = provenance.unavailable(failed).unionByName(
+        provenance.missing_inputs(inputs, ["bz", "k"])).unionByName(
+        provenance.invalid_propagations(moved, -1e6, 1800.0)).distinct()
+    good = s.filter("event_type = 'signup' AND value > 200").select("source", "ts")
+    stale = provenance.stale_conditions(
+        provenance.source_staleness(s, F.lit(_AS_OF).cast("timestamp")), F.lit(_AS_OF).cast("timestamp_ntz"))
+    return raised.unionByName(provenance.resolutions(raised, good)).unionByName(stale)
+
+
+@query("conditions_by_kind", f"""
+WITH c AS (SELECT DISTINCT kind, source, ts FROM {_KINDS}),
+good AS (SELECT source, max(ts) AS last FROM {_PROV} WHERE event_type = 'signup' AND value > 200 GROUP BY 1),
+r AS (SELECT c.kind, c.source, coalesce(good.last >= c.ts, false) AS resolved FROM c LEFT JOIN good USING (source)
+  UNION ALL SELECT 'stale_source', source, false FROM (SELECT source FROM {_PROV} GROUP BY 1 HAVING bool_and(stale)))
+SELECT kind AS condition_type, source, count(*) FILTER (WHERE NOT resolved) AS active,
+  count(*) FILTER (WHERE resolved) AS resolved FROM r GROUP BY 1, 2""")
+def conditions_by_kind(spark, sf_dir):
+    """Active and resolved conditions of every kind and source."""
+    state = provenance.condition_state(_conditions(spark, sf_dir))
+    return state.groupBy("condition_type", "source").agg(
+        F.count_if(~F.col("resolved")).alias("active"), F.count_if("resolved").alias("resolved"))
+
+
+@query("event_producers", f"""
+WITH c AS (SELECT DISTINCT kind, source, ts FROM {_KINDS}),
+e AS (SELECT 'rule_evaluated' AS event_type, count(*) * 3 + count(*) FILTER (WHERE k IS NOT NULL) AS n,
+    count(*) FILTER (WHERE value > 100) + count(*) FILTER (WHERE value > 250)
+    + count(*) FILTER (WHERE value < 0.5 AND event_type = 'view') + (SELECT count(*) FROM {FLAGS_SQL} WHERE rule_id = 'k-weak') AS marked
+  FROM {EVENTS_SQL}
+  UNION ALL SELECT 'alert_created', count(*), count(*) FILTER (WHERE severity = 'critical') FROM {FLAGS_SQL}
+  UNION ALL SELECT 'alert_resolved', count(*), count(*) FILTER (WHERE severity = 'high') FROM {_STATE} WHERE resolved
+  UNION ALL SELECT 'system_degraded', (SELECT count(*) FROM c) + (SELECT count(*) FROM (
+    SELECT source FROM {_PROV} GROUP BY 1 HAVING bool_and(stale))), (SELECT count(*) FROM c WHERE kind <> 'missing_inputs')
+  UNION ALL SELECT 'propagation_completed', count(*), count(*) FILTER (WHERE value > 100) FROM events WHERE event_type = 'purchase')
+SELECT event_type, n, marked FROM e""")
+def event_producers(spark, sf_dir):
+    """Operational events made from evaluations, flags, alert states, conditions
+    and positions: how many of each type, and how many that stand out."""
+    rows = events(spark, sf_dir)
+    craft = F.col("user_id").cast("string")
+    evaluated = rules.evaluations(rows.withColumn("craft", craft), RULES, "ts", "event_id", "craft")
+    flagged = flags(spark, sf_dir).withColumn("spacecraft_id", craft)
+    positions = rows.filter("event_type = 'purchase'").select(
+        craft.alias("object_id"), F.col("ts").alias("timestamp"), (F.col("value") * 10).alias("altitude_km"))
+    made = [reports.rule_events(evaluated), reports.alert_events(flagged, "ts"),
+            reports.resolution_events(alerts.alert_state(_alert_history(spark, sf_dir))),
+            reports.degraded_events(_conditions(spark, sf_dir)), reports.propagation_events(positions)]
+    d = F.col("details")
+    marked = (F.coalesce(d["triggered"] == "true", F.lit(False))
+              | (F.col("event_type") == reports.ALERT) & (d["severity"] == "critical")
+              | (F.col("event_type") == reports.RESOLVED) & (d["severity"] == "high")
+              | (F.col("event_type") == reports.DEGRADED) & (d["severity"] == "error")
+              | (d["altitude_km"].try_cast("double") > 1000))
+    every = reduce(DataFrame.unionByName, [m.withColumn("timestamp", F.col("timestamp").cast("timestamp")) for m in made])
+    return every.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(marked, F.lit(False))).alias("marked"))
+
+
+@query("ingestion_durations", f"""
+SELECT source, count(*) FILTER (WHERE k > 60) AS packets_ingested, count(*) FILTER (WHERE k <= 60) AS packets_failed,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds,
+  round(count(*) FILTER (WHERE k > 60) / count(*), 6) AS success_rate, count(*) FILTER (WHERE k > 60) > 0 AS success
+FROM {_PROV} GROUP BY 1""")
+def ingestion_durations(spark, sf_dir):
+    out = gates.ingestion_result(_sourced(spark, sf_dir), [("k", F.col("k") > 60)], received="ts")
+    return rounded(out, "success_rate")
