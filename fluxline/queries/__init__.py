@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ("temporal", "quality", "labels", "operations", "audit", "drivers", "streams", "upkeep")
+SUBJECTS = ("temporal", "quality", "labels", "operations", "audit", "drivers", "streams", "upkeep", "reading")
 
 
 def load():

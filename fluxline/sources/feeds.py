@@ -82,15 +82,19 @@ def read_live_mag(spark: SparkSession, path: str, start: str, end: str,
     return parse_live(documents(spark, path), LIVE_MAG, "magnetic", apid, start, end, **kw)
 
 
+def live_packets(plasma: DataFrame, mag: DataFrame, start: str, end: str, second: bool = False) -> DataFrame:
+    """Plasma then magnetic packets of two tables of documents; ``second`` says
+    they are the other craft's."""
+    kw = {"spacecraft": "ACE", "source": "ace_spacecraft"} if second else {}
+    first = parse_live(plasma, LIVE_PLASMA, "plasma", C.APID_PLASMA_SECOND if second else C.APID_PLASMA, start, end, **kw)
+    rest = parse_live(mag, LIVE_MAG, "magnetic", C.APID_MAG_SECOND if second else C.APID_MAG, start, end, **kw)
+    return first.unionByName(rest, allowMissingColumns=True)
+
+
 def read_live(spark: SparkSession, plasma_path: str, mag_path: str, start: str, end: str,
               second: bool = False) -> DataFrame:
     """Plasma then magnetic packets in one table; ``second`` is the other craft."""
-    kw = {"spacecraft": "ACE", "source": "ace_spacecraft"} if second else {}
-    plasma = read_live_plasma(spark, plasma_path, start, end,
-                              C.APID_PLASMA_SECOND if second else C.APID_PLASMA, **kw)
-    mag = read_live_mag(spark, mag_path, start, end,
-                        C.APID_MAG_SECOND if second else C.APID_MAG, **kw)
-    return plasma.unionByName(mag, allowMissingColumns=True)
+    return live_packets(documents(spark, plasma_path), documents(spark, mag_path), start, end, second)
 
 
 def parse_aircraft(docs: DataFrame, limit: int | None = None,
