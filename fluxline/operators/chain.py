@@ -14,9 +14,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxline.functions.scalar import iso_text, sorted_json
 
@@ -73,26 +74,28 @@ def build_chain(
         .repartition(log, "segment")
         .sortWithinPartitions(log, "segment", seq)
     )
-    names = entries.columns
-    out = prepared.drop("__start", "__payload").schema
-    out = out.add("previous_hash", "string").add("entry_hash", "string")
+    kept = prepared.drop("__start", "__payload")
+    out = T.StructType([*kept.schema.fields, T.StructField("previous_hash", T.StringType()),
+                        T.StructField("entry_hash", T.StringType())])
+    names = kept.columns
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Only four columns become Python values; the others are handed on."""
         current, head = None, ""
         for batch in batches:
             before, after = [], []
-            rows = zip(batch[log], batch["segment"], batch["__start"], batch["__payload"])
-            for name, segment, start, digest in rows:
-                if (name, segment) != current:
-                    current, head = (name, segment), start
+            rows = zip(*(batch.column(c).to_pylist() for c in (log, "segment", "__start", "__payload")))
+            for name, number, start, digest in rows:
+                if (name, number) != current:
+                    current, head = (name, number), start
                 before.append(head)
                 head = hashlib.sha256((head + digest).encode()).hexdigest()
                 after.append(head)
-            batch = batch[names + ["segment"]].copy()
-            batch["previous_hash"], batch["entry_hash"] = before, after
-            yield batch
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in names], pa.array(before, pa.string()), pa.array(after, pa.string())],
+                names=[*names, "previous_hash", "entry_hash"])
 
-    return prepared.mapInPandas(fold, out)
+    return prepared.mapInArrow(fold, out)
 
 
 def verify_chain(chain: DataFrame, log: str, seq: str, payload: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxline import constants as C
 from fluxline.operators.gates import INSTRUMENTS, instrument_rows, strictly_inside
 from fluxline.schemas import CATALOG, KP, TABLES
-from fluxline.session import stored
+from fluxline.session import staged, stored
 from fluxline.sources.versions import Manifest, day_folder, day_key, replaced
 
 PARTS = ("year", "month", "day")
@@ -148,13 +148,13 @@ class Corpus:
         """
         wanted = F.col("instrument").isin(*INSTRUMENTS) & F.col("drop_reason").isNull()
         # Worked out once; both instruments, their days and the range sampling read this.
-        judged = stored(judged.filter(wanted), "judged")
-        for kind in INSTRUMENTS:
-            fresh = instrument_rows(judged, kind).dropDuplicates(list(ROW_KEY))
-            days = [str(r.day) for r in fresh.select(F.to_date("timestamp").alias("day")).distinct().collect()]
-            if days:
-                self._replace(kind, days, lambda kept, fresh=fresh: kept.join(
-                    fresh, list(ROW_KEY), "left_anti").unionByName(fresh, allowMissingColumns=True))
+        with staged(judged.filter(wanted), "judged") as judged:
+            for kind in INSTRUMENTS:
+                fresh = instrument_rows(judged, kind).dropDuplicates(list(ROW_KEY))
+                days = [str(r.day) for r in fresh.select(F.to_date("timestamp").alias("day")).distinct().collect()]
+                if days:
+                    self._replace(kind, days, lambda kept, fresh=fresh: kept.join(
+                        fresh, list(ROW_KEY), "left_anti").unionByName(fresh, allowMissingColumns=True))
 
     def _replace(self, name: str, days: list[str], make) -> None:
         """Makes days anew from their old rows: ``make(old)`` gives the new ones.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxline.operators.gates import gate_report, judge
+from fluxline.session import staged
 from fluxline.sources import archive
 from fluxline.sources.corpus import Corpus
 
@@ -48,10 +49,11 @@ def ingest(
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
 
     def handle(lines: DataFrame, batch: int) -> None:
-        judged = judge(PARSERS[kind](lines))
-        corpus.write(judged)
-        _replace_batch(gate_report(judged).filter(F.col("instrument") == kind), batch,
-                       f"{corpus.root}/ingest/reports/{kind}")
+        # Lines are parsed and judged once; the corpus and the report read the result.
+        with staged(judge(PARSERS[kind](lines)), "batch") as judged:
+            corpus.write(judged)
+            _replace_batch(gate_report(judged).filter(F.col("instrument") == kind), batch,
+                           f"{corpus.root}/ingest/reports/{kind}")
         _replace_batch(archive.rejects(lines, kind), batch, f"{corpus.root}/ingest/rejects/{kind}")
 
     return (

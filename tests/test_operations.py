@@ -352,3 +352,77 @@ def test_chain_by_day_shows_the_break(spark):
     found = built.filter("seq = 6").first().entry_hash
     assert (bad.first_broken_seq, bad.first_broken_kind, bad.first_broken_found) == (6, "self", found)
     assert bad.first_broken_expected != found
+
+
+# -- reports, conditions and events in full ---------------------------------------------
+
+
+def test_conditions_of_every_kind_are_raised_and_resolved(spark):
+    h = timedelta(hours=1)
+    results = spark.createDataFrame([("a", T, False), ("a", T + h, True), ("b", T, False)], "source string, ts timestamp, success boolean")
+    rows = spark.createDataFrame([("a", T, 1.0, None), ("b", T + h, float("nan"), None), ("b", T, 1.0, 2.0)],
+                                 "source string, ts timestamp, x double, y double")
+    places = spark.createDataFrame([("c", T, 400.0), ("c", T + h, -3.0), ("d", T, None), ("d", T + h, float("nan"))],
+                                   "source string, ts timestamp, altitude_km double")
+    raised = provenance.unavailable(results).unionByName(provenance.missing_inputs(rows, ["x", "y"])).unionByName(
+        provenance.invalid_propagations(places, 100.0, 2000.0))
+    got = sorted((r.condition_type, r.source, r.description) for r in raised.collect())
+    assert got == [("invalid_propagation", "c", "altitude -3.0 km"), ("invalid_propagation", "d", "altitude NaN km"),
+                   ("invalid_propagation", "d", "altitude unknown km"), ("missing_inputs", "a", "missing: y"),
+                   ("missing_inputs", "b", "missing: x, y"), ("source_unavailable", "a", "no rows came in"),
+                   ("source_unavailable", "b", "no rows came in")]
+    good = spark.createDataFrame([("a", T + h), ("a", T + 2 * h), ("d", T), ("b", T - h)], "source string, ts timestamp")
+    closed = provenance.resolutions(raised, good)
+    assert sorted((r.source, r.ts) for r in closed.collect()) == [("a", T + h), ("a", T + h), ("d", T)]
+    state = provenance.condition_state(raised.unionByName(closed))
+    assert state.filter("resolved").count() == 3 and provenance.operational_state(state).first().state == "degraded"
+    assert provenance.resolutions(raised.where("false"), good).count() == 0
+
+
+def test_events_of_every_type_are_produced(spark):
+    rows = packets(spark, [{"x": 1}]).withColumn("bt_nt", F.lit(60.0)).drop("parameters")
+    seen = rules.evaluations(rows, [rules.Rule("a", "bt_nt", None, 50.0, "low", 1.0), rules.Rule("b", "bt_nt", None, 90.0, "low", 1.0),
+                                    rules.Rule("c", "absent", None, 1.0, "low", 1.0)])
+    assert sorted((r.rule_id, r.triggered) for r in seen.collect()) == [("a", True), ("b", False)]
+    assert rules.evaluations(rows, []).count() == 0
+    e = reports.rule_events(seen).collect()
+    assert {(r.event_type, r.details["triggered"]) for r in e} == {(reports.RULE, "true"), (reports.RULE, "false")}
+    assert len({r.event_id for r in e}) == 2
+    state = alerts.alert_state(spark.createDataFrame(alert_rows(), ALERTS))
+    done = reports.resolution_events(state)
+    assert done.count() == state.filter("resolved").count() > 0
+    conditions = provenance.unavailable(spark.createDataFrame([("a", T, False)], "source string, ts timestamp, success boolean"))
+    assert reports.degraded_events(conditions).first().details["condition_type"] == "source_unavailable"
+    moved = spark.createDataFrame([("sat", T, 420.0)], "object_id string, timestamp timestamp, altitude_km double")
+    assert reports.propagation_events(moved).first().details["altitude_km"] == "420.0"
+    every = reports.rule_events(seen).unionByName(done).unionByName(reports.degraded_events(conditions)).unionByName(
+        reports.propagation_events(moved))
+    assert reports.hourly_report(every).agg(F.sum("rules_triggered")).first()[0] == 1
+
+
+def test_status_of_every_part(spark, tmp_path):
+    summary = spark.createDataFrame([("s1", "A", 5, 1), ("s2", "B", 3, 0), ("s3", "B", 1, 0)],
+                                    "session_id string, source string, packet_count bigint, anomaly_count bigint")
+    stale = spark.createDataFrame([("A", True, T)], "source string, stale boolean, last_seen timestamp")
+    stats = sessions.source_stats(summary, staleness=stale)
+    assert sorted((r.source, r.status, r.packets) for r in stats.collect()) == [("A", "stale", 5), ("B", "silent", 4)]
+    assert "status" not in sessions.source_stats(summary).columns
+    system = spark.createDataFrame([("NOMINAL", 3)], "state string, sessions bigint")
+    logs = spark.createDataFrame([("L", 7, False), ("M", 2, True)], "log_id string, entries bigint, intact boolean")
+    got = sorted(map(tuple, sessions.status_rows(system, logs, stats, "log_id").collect()))
+    assert got == [("audit", "L", "broken", 7), ("audit", "M", "intact", 2), ("source", "A", "stale", 5),
+                   ("source", "B", "silent", 4), ("system", "all", "NOMINAL", 3)]
+    flags = spark.createDataFrame([("s1", "f1", "critical"), ("s1", "f2", "low"), ("s2", "f3", "critical")],
+                                  "session_id string, flag_id string, severity string")
+    sessions.write_documents(summary, flags, str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d/critical/session=s1")).collect()[0].flag_id == "f1"
+    assert spark.read.json(str(tmp_path / "d/reports")).count() == 3
+
+
+def test_staging_leaves_nothing_behind(spark, tmp_path):
+    from fluxline.session import shared_dir, staged
+
+    with staged(spark.range(3), "for-a-test") as rows:
+        assert rows.count() == 3
+    import os
+    assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("for-a-test")]
