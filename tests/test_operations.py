@@ -426,3 +426,78 @@ def test_staging_leaves_nothing_behind(spark, tmp_path):
         assert rows.count() == 3
     import os
     assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("for-a-test")]
+
+
+class _FakeStates(dict):
+    """A state store in memory that counts what it is asked."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls, self.one, self.timers = 0, None, []
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def exists(self):
+        return self.one is not None
+
+    def get(self):
+        return self.one
+
+    def update(self, value):
+        self.calls += 1
+        self.one = value
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+    def clear(self):
+        super().clear()
+        self.one = None
+
+
+def test_day_chain_asks_the_store_by_blocks(monkeypatch):
+    """Many small logs in one share: far fewer calls than entries, runs merged on the
+    way, repeats counted once, each log with the chain it has alone."""
+    import hashlib
+
+    import pandas as pd
+
+    monkeypatch.setattr(state, "_RUNS", 5)
+    monkeypatch.setattr(state, "_BLOCK", 50)
+    monkeypatch.setattr(state, "_FRAME", 77)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *(f"log{i}" for i in range(300))]), f"e{j}", pd.Timestamp(T) + pd.Timedelta(rng.randrange(900), "s"),
+             f"p{j}") for j in range(2000)]
+    sent = rows + [(log, e, at, "again" + p) for log, e, at, p in rows[:100]]
+    made = _FakeStates()
+    chain_of = state._DayChain()
+    chain_of.init(made)
+    for i in range(0, len(sent), 150):
+        frame = pd.DataFrame(sent[i:i + 150], columns=["log_id", "entry_id", "at", "payload"])
+        assert not list(chain_of.handleInputRows((7, 19737), iter([frame.assign(start=frame["log_id"].astype(str))]), None))
+    assert len(made.timers) == 1 and made.calls < 500
+    out = pd.concat(chain_of.handleExpiredTimer((7, 19737), None, None))
+    assert not made and made.one is None
+    last = {(log, at, e): p for log, e, at, p in sent}
+    want, heads = [], {}
+    for (log, at, e), p in sorted(last.items(), key=lambda x: (x[0][0] or "", x[0][1:])):
+        before, seq = heads.get(log, (str(log), 0))
+        after = hashlib.sha256((before + p).encode()).hexdigest()
+        heads[log] = after, seq + 1
+        want.append((log, seq + 1, e, p, before, after))
+    got = out[["log_id", "seq", "entry_id", "payload", "previous_hash", "entry_hash"]]
+    assert [tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)] == want
