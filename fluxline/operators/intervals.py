@@ -2,9 +2,9 @@
 
 An interval is laid onto the time buckets it touches and a point onto its one
 bucket; an equi-join on the bucket with a re-check of the bounds then finds
-each (point, interval) pair exactly once. Choose a bucket about as long as the
-typical interval or shorter: only the two end buckets of an interval can hold
-points that fail the re-check.
+each (point, interval) pair exactly once. Only the two end buckets of an interval
+can hold points that fail the re-check, so without a length given the bucket is a
+part of the median interval, or longer where too many rows would be laid out.
 """
 
 from __future__ import annotations
@@ -23,13 +23,34 @@ from fluxline.operators.ordered import position
 from fluxline.operators.slices import Slices, measured
 from fluxline.session import stored
 
-BUCKET_SECONDS = 6 * 3600
+# Parts of the median interval that a bucket is, where its length is measured, and
+# how far few long intervals may be laid out: so many rows, or so many each.
+BUCKETS, LAID_ROWS, LAID_EACH = 4, 200_000, 8
+# Intervals laid out that are copied to every task, at most.
+LOOKUP_ROWS = 1_000_000
+LOOKUP_TEXT_BYTES = 16 << 20
+# Where a point has more intervals than this on average, points are dealt evenly:
+# what a task writes follows its points, not its share of the file.
+DEEP = 16
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts.cast("timestamp")) / seconds).cast("long")
 
 
+def _laid(intervals: DataFrame, start: str, end: str) -> dict:
+    """Number of intervals, their seconds together, their median, from when to when
+    they run, and the bytes of their texts."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in intervals.schema.fields
+             if f.dataType.simpleString() in ("string", "binary")]
+    lo, hi = (F.unix_timestamp(F.col(c).cast("timestamp")) for c in (start, end))
+    return intervals.filter(F.col(start) <= F.col(end)).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hi - lo), F.lit(0)).alias("seconds"),
+        F.coalesce(F.percentile_approx(hi - lo, 0.5), F.lit(0)).alias("median"),
+        F.coalesce(F.max(hi) - F.min(lo), F.lit(0)).alias("span"),
+        F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("text")).first().asDict()
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -38,15 +59,25 @@ def interval_join(
     end: str,
     by: Sequence[str] = (),
     how: str = "inner",
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Points with the columns of each interval that covers them.
 
     ``how="left"`` keeps uncovered points once, with NULL interval columns.
-    ``by`` names equality columns present on both sides.
+    ``by`` names equality columns present on both sides. Without
+    ``bucket_seconds`` the intervals are counted first: buckets follow their median
+    length, and as long as they are few they are copied to the points' tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
+    few = deep = False
+    if bucket_seconds is None:
+        size = _laid(intervals, start, end)
+        laid = max(LAID_ROWS, LAID_EACH * size["n"])
+        bucket_seconds = max(1, size["median"] // BUCKETS, -(-size["seconds"] // laid))
+        rows = 2 * size["n"] + size["seconds"] // bucket_seconds
+        few = rows <= LOOKUP_ROWS and size["text"] * rows <= LOOKUP_TEXT_BYTES * max(1, size["n"])
+        deep = not points.isStreaming and size["seconds"] > DEEP * max(1, size["span"])
     lo, hi = _bucket(F.col(start), bucket_seconds), _bucket(F.col(end), bucket_seconds)
     spread = (
         intervals.filter(F.col(start) <= F.col(end))
@@ -54,6 +85,8 @@ def interval_join(
         .withColumn("__b", F.explode(F.sequence(lo, hi)))
     )
     placed = points.withColumn("__pb", _bucket(F.col(ts), bucket_seconds))
+    if deep and few:
+        placed = placed.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cond = (
         (F.col("__pb") == F.col("__b"))
         & (F.col(ts) >= F.col(start))
@@ -62,7 +95,7 @@ def interval_join(
     for k in by:
         cond = cond & (F.col(k) == F.col(f"__i_{k}"))
     keep = [c for c in intervals.columns if c not in by]
-    return placed.join(spread, cond, how).select(*points.columns, *keep)
+    return placed.join(F.broadcast(spread) if few else spread, cond, how).select(*points.columns, *keep)
 
 
 def interval_flag(
@@ -73,7 +106,7 @@ def interval_flag(
     end: str,
     marker: str,
     flag: str = "inside",
-    bucket_seconds: int = BUCKET_SECONDS,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Left interval join that adds a membership flag.
 

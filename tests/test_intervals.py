@@ -125,3 +125,22 @@ def test_extremes_of_nothing(spark):
     assert extremes_in_windows(one, w.where("false"), "ts", "a", "b", {"m": ("x", "max")}).count() == 0
     with pytest.raises(ValueError):
         extremes_in_windows(one, w, "ts", "a", "b", {"m": ("x", "avg")})
+
+
+def test_interval_pairs_by_measured_buckets(spark, monkeypatch):
+    """Few intervals are copied to the points, never the points to one task of
+    intervals; deep or many ones give the same pairs."""
+    spans, points = made(6)
+    s = spark.createDataFrame(spans, SPANS)
+    p = spark.createDataFrame(points, "id bigint, ts timestamp")
+    pairs = sorted((j, i) for j, t in points for i, a, b, _ in spans if t is not None and a <= t <= b)
+    got = intervals.interval_join(p, s, "ts", "a", "b")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert sorted((r.id, r.row) for r in got.collect()) == pairs
+    monkeypatch.setattr(intervals, "DEEP", 0)
+    assert sorted((r.id, r.row) for r in intervals.interval_join(p, s, "ts", "a", "b").collect()) == pairs
+    monkeypatch.setattr(intervals, "LOOKUP_ROWS", 0)
+    assert sorted((r.id, r.row) for r in intervals.interval_join(p, s, "ts", "a", "b").collect()) == pairs
+    left = intervals.interval_join(p, s.filter("false"), "ts", "a", "b", how="left")
+    assert left.filter("row IS NULL").count() == len(points)
