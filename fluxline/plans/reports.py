@@ -184,7 +184,19 @@ def propagation_events(positions: DataFrame, ts: str = "timestamp") -> DataFrame
 
 
 def export_json(df: DataFrame, path: str, parts: list[str]) -> None:
-    """Rows as JSON lines in one folder per key, e.g. per session or hour."""
-    df.repartitionByRange(*parts, *[c for c in df.columns if c not in parts and c.endswith("_id")][:1]) \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(*parts).json(path)
+    """Rows as JSON lines in one folder per key, e.g. per session or hour.
+
+    A file costs more than its few rows, so the folders are dealt over a fixed
+    number of tasks, whatever their bytes. Where ``path`` holds nothing yet, the
+    tasks put their files in place themselves; else the driver replaces the folders
+    written to and leaves the others.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    dealt = df.repartitionByRange(tasks, *parts, *[c for c in df.columns if c not in parts and c.endswith("_id")][:1])
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic")
+    if fresh:
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy(*parts).json(path)

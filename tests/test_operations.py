@@ -501,3 +501,14 @@ def test_day_chain_asks_the_store_by_blocks(monkeypatch):
         want.append((log, seq + 1, e, p, before, after))
     got = out[["log_id", "seq", "entry_id", "payload", "previous_hash", "entry_hash"]]
     assert [tuple(None if x != x else x for x in r) for r in got.itertuples(index=False)] == want
+
+
+def test_export_json_spreads_many_folders_and_replaces_only_its_own(spark, tmp_path):
+    rows = spark.range(40).select(F.concat(F.lit("s"), "id").alias("session"), F.col("id").alias("row_id"), F.lit(1).alias("v"))
+    path = str(tmp_path / "many")
+    reports.export_json(rows, path, ["session"])
+    names = {f.rsplit("/", 1)[1].split("-")[1] for f in spark.read.json(path).inputFiles()}
+    assert len(names) > 1  # not one task, however few bytes
+    reports.export_json(rows.filter("session = 's3'").withColumn("v", F.lit(2)), path, ["session"])
+    assert sorted((r.session, r.v) for r in spark.read.json(path).collect()) == sorted(
+        (f"s{i}", 2 if i == 3 else 1) for i in range(40))
