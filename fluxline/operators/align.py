@@ -69,11 +69,18 @@ def _kept_anchors(anchors: DataFrame, keys: list[str], rows_per_slice: int) -> D
 
 def _gaps(rows: DataFrame, kept: DataFrame, keys: list[str], place: str, rows_per_slice: int) -> DataFrame:
     """Rows that are no kept anchor, with ``__gap``, the anchors before them."""
-    marked = rows.join(kept.select(*keys, place, F.lit(1).cast("long").alias("__hit")), [*keys, place], "left")
+    # Places alone are counted through; contents follow for the few rows that are left.
+    marked = rows.select(*keys, place).join(
+        kept.select(*keys, place, F.lit(1).cast("long").alias("__hit")), [*keys, place], "left")
     marked = marked.withColumn("__hit", F.coalesce("__hit", F.lit(0)))
-    cut = measured(marked, [place], rows_per_slice)
+    # The join keeps every row once, so the rows themselves say where to cut.
+    cut = measured(rows, [place], rows_per_slice)
     placed = running(marked, [place], "__hit", keys, cut, "__gap", how=F.sum)
-    return placed.filter("__hit = 0").withColumn("__gap", F.coalesce("__gap", F.lit(0))).drop("__hit")
+    free = placed.filter("__hit = 0").withColumn("__gap", F.coalesce("__gap", F.lit(0))).drop("__hit")
+    free = stored(free, "gap-places").withColumnsRenamed({c: f"__{c}" for c in [*keys, place]})
+    # A null key is a log too.
+    same = [rows[c].eqNullSafe(free[f"__{c}"]) for c in [*keys, place]]
+    return rows.join(free, same).select(*rows.columns, "__gap")
 
 
 def _paired(e: DataFrame, a: DataFrame, on: list[str], rows_per_slice: int) -> DataFrame:
@@ -111,6 +118,9 @@ def differences(
     a = actual.select(*keys, F.col(seq).cast("long").alias("a"), F.col(entry_id).alias("a_id"),
                       F.col(content).alias("c"))
 
+    # Both are read several times; their numbering is worked out once.
+    e, a = stored(e, "expected"), stored(a, "actual")
+
     def once(rows: DataFrame, place: str) -> DataFrame:
         return rows.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias(place)).filter(
             "n = 1").drop("n")

@@ -267,3 +267,23 @@ def test_reports_are_stored(spark, tmp_path):
     validation.write_report(corpus, report.limit(1))
     validation.write_report(corpus, report)
     assert sorted(validation.read_report(corpus).collect()) == sorted(report.collect())
+
+
+def test_differences_number_each_side_once(spark):
+    """What numbers the logs is not worked out again for every step; a null log is one too."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "log string, seq bigint, entry_id string, content string"
+    rows = [(log, i, f"e{i}", f"{log}{i}") for log in ("L", None) for i in range(1, 31)]
+    hit = [r for r in rows if r[1] != 7]
+    sides = [spark.createDataFrame(x, schema).mapInPandas(count, schema) for x in (rows, hit)]
+    found = align.differences(*sides, ["log"], "seq", "entry_id", "content", rows_per_slice=10).collect()
+    assert seen.value == len(rows) + len(hit)
+    assert {(r.log, r.entry_id, r.kind) for r in found if r.log == "L"} == {("L", "e7", "removed")}
+    # Entries of a null log match none on the other side.
+    assert sorted(r.kind for r in found if r.log is None) == ["inserted"] * 29 + ["removed"] * 30
