@@ -91,6 +91,30 @@ def test_all_letters_of_all_scripts_are_counted(spark):
     assert any(toxicity.OTHER in g for g in folded)
 
 
+def test_trigrams_over_the_bound_are_looked_up_not_folded(spark, monkeypatch):
+    letters = [chr(c) for c in (*range(0x3b1, 0x3c9), *range(0x430, 0x450), 0x10400 + 0x28, 0x4e2d, 0x2a700)]
+    words = [f"{c}{d}{c}" for c, d in zip(letters, letters[1:])] * 2 + ["дурак", "villain", "stone", "don't"] * 9 + ["\U0002a700\U0002a700中"]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(None, None)], "doc_id bigint, text string").repartition(5)
+    whole = toxicity.CharModel(toxicity.count_trigrams(docs))
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 20)
+    table = toxicity.count_trigrams(docs)
+    assert isinstance(table, toxicity.GramTable)
+    model = toxicity.CharModel(table)
+    assert model.letters == whole.letters and model.size == whole.size > len(letters)
+    for ab, row in [*whole.rows.items(), ("zz", whole.unseen)]:
+        assert model.row(*ab) == row
+        assert model.held <= 20 + 1 + len(model.letters)
+    labels = spark.createDataFrame([(0, 0)], "doc_id bigint, toxic int")
+    odd = "д у р а к v1lla1n 中中 \U0002a7001\U0002a700 ααβ d0n't"
+    given = spark.createDataFrame([(i, odd) for i in range(30)], "doc_id bigint, text string").repartition(3)
+    fitted = toxicity.fit(docs, labels)
+    fitted.terms = {" дурак ": 0.9, " villain ": 0.8}
+    assert fitted.characters.table is not None
+    rows = toxicity.score_documents(given, fitted).collect()
+    assert len(rows) == 30 and {tuple(r.terms) for r in rows} == {("villain", "дурак")}
+    assert toxicity.normal_words(odd, model, {}) == toxicity.normal_words(odd, whole, {})
+
+
 def test_disguised_words_score_like_plain_ones(characters):
     model = toxicity.Model(characters, {" villain ": 0.9}, 0.05)
     scores = [model.score(f"a {w} by the river")[0] for w in ("villain", "v1llain", "VILLAIN", "viiillain", "v i l l a i n")]
