@@ -5,6 +5,10 @@ bucket; an equi-join on the bucket with a re-check of the bounds then finds
 each (point, interval) pair exactly once. Only the two end buckets of an interval
 can hold points that fail the re-check, so without a length given the bucket is a
 part of the median interval, or longer where too many rows would be laid out.
+
+Where a point has many intervals, points near in time go through the join as one
+block and come out interval by interval. The pairs are the same; written to files,
+whose columns then hold long runs and repeats, they take a fraction of the bytes.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkTypeError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fluxline.operators.asof import asof_join
 from fluxline.operators.ordered import position
@@ -32,6 +39,8 @@ LOOKUP_TEXT_BYTES = 16 << 20
 # Where a point has more intervals than this on average, points are dealt evenly:
 # what a task writes follows its points, not its share of the file.
 DEEP = 16
+# Points of a block, and bytes of those points, at most.
+BLOCK_POINTS, BLOCK_BYTES = 256, 1 << 20
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -51,6 +60,45 @@ def _laid(intervals: DataFrame, start: str, end: str) -> dict:
         F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("text")).first().asDict()
 
 
+def _dealt_in_blocks(points: DataFrame, intervals: DataFrame, ts: str, start: str, end: str) -> bool:
+    """Whether all three times are of one type, whose order blocks can follow, and
+    Arrow knows the points' columns."""
+    times = {points.select(F.col(ts)).schema[0].dataType, *(f.dataType for f in intervals.select(F.col(start), F.col(end)).schema)}
+    try:
+        to_arrow_schema(points.schema)
+    except PySparkTypeError:
+        return False
+    return len(times) == 1 and isinstance(next(iter(times)), (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _blocks(placed: DataFrame, ts: str) -> DataFrame:
+    """Points of a bucket that are near in time as one row: ``__pb``, the list
+    ``__points``, and its first and last time. Each task sorts its own points."""
+    point = T.StructType([f for f in placed.schema.fields if f.name != "__pb"])
+    timed = placed.filter(F.col("__pb").isNotNull()).withColumn("__ts", F.col(ts)).sortWithinPartitions("__pb", "__ts")
+    time = timed.schema["__ts"].dataType
+    schema = T.StructType([T.StructField("__pb", T.LongType()), T.StructField("__first", time),
+                           T.StructField("__last", time), T.StructField("__points", T.ArrayType(point))])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            buckets, times = batch.column("__pb").to_numpy(zero_copy_only=False), batch.column("__ts")
+            most = max(1, min(BLOCK_POINTS, BLOCK_BYTES * n // max(1, batch.nbytes)))
+            heads = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+            starts = np.concatenate([np.arange(a, b, most) for a, b in zip(heads, np.append(heads[1:], n))])
+            ends = np.append(starts[1:], n)
+            columns = [batch.column(f.name) for f in point.fields]
+            rows = pa.StructArray.from_arrays(columns, fields=[pa.field(f.name, c.type) for f, c in zip(point.fields, columns)])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(buckets[starts]), times.take(pa.array(starts)), times.take(pa.array(ends - 1)),
+                pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), rows)], names=schema.names)
+
+    return timed.mapInArrow(gathered, schema)
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -66,7 +114,8 @@ def interval_join(
     ``how="left"`` keeps uncovered points once, with NULL interval columns.
     ``by`` names equality columns present on both sides. Without
     ``bucket_seconds`` the intervals are counted first: buckets follow their median
-    length, and as long as they are few they are copied to the points' tasks.
+    length, and as long as they are few they are copied to the points' tasks. Where
+    they lie deep, an inner join without ``by`` takes points block by block.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, got {how!r}")
@@ -85,8 +134,27 @@ def interval_join(
         .withColumn("__b", F.explode(F.sequence(lo, hi)))
     )
     placed = points.withColumn("__pb", _bucket(F.col(ts), bucket_seconds))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if deep and how == "inner" and not by and _dealt_in_blocks(points, intervals, ts, start, end):
+        blocks = _blocks(placed, ts)
+        if few:
+            blocks = blocks.repartition(tasks)
+        taken = {f"__i{i}": c for i, c in enumerate(intervals.columns)}
+        spread = spread.select("__b", F.col(start).alias("__lo"), F.col(end).alias("__hi"),
+                               *[F.col(c).alias(i) for i, c in taken.items()])
+        near = (
+            (F.col("__pb") == F.col("__b"))
+            & (F.col("__last") >= F.col("__lo"))
+            & (F.col("__first") <= F.col("__hi"))
+        )
+        met = blocks.join(F.broadcast(spread) if few else spread, near)
+        return (
+            met.select("__lo", "__hi", *taken, F.inline("__points"))
+            .filter((F.col(ts) >= F.col("__lo")) & (F.col(ts) <= F.col("__hi")))
+            .select(*points.columns, *[F.col(i).alias(c) for i, c in taken.items()])
+        )
     if deep and few:
-        placed = placed.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        placed = placed.repartition(tasks)
     cond = (
         (F.col("__pb") == F.col("__b"))
         & (F.col(ts) >= F.col(start))

@@ -144,3 +144,40 @@ def test_interval_pairs_by_measured_buckets(spark, monkeypatch):
     assert sorted((r.id, r.row) for r in intervals.interval_join(p, s, "ts", "a", "b").collect()) == pairs
     left = intervals.interval_join(p, s.filter("false"), "ts", "a", "b", how="left")
     assert left.filter("row IS NULL").count() == len(points)
+
+
+def test_deep_pairs_come_out_in_blocks(spark, monkeypatch, tmp_path):
+    """Every pair once, rows that come twice twice, and files of them far smaller
+    than a number per pair; many at one instant or a batch's edge change nothing."""
+    rng = random.Random(9)
+    spans = [(i, a := T + timedelta(seconds=rng.randrange(20_000)), a + timedelta(seconds=rng.randrange(3600, 9000)), -float(i))
+             for i in range(400)] + [(900, T, None, 1.0), (901, None, T, 1.0), (902, T + timedelta(1), T, 1.0)]
+    points = [(j, T + timedelta(seconds=rng.randrange(26_000), microseconds=rng.randrange(10 ** 6)), None if j % 7 else "x")
+              for j in range(3000)]
+    points += [(5000 + j, T + timedelta(hours=2), "hot") for j in range(700)] + points[:50] + [(None, None, None), (9999, None, "y")]
+    rng.shuffle(points)
+    pairs = sorted((j, i) for j, t, _ in points for i, a, b, _ in spans if t is not None and a and b and a <= t <= b)
+    s = spark.createDataFrame(spans, SPANS)
+    p = spark.createDataFrame(points, "id bigint, ts timestamp, note string").repartition(2)
+    for rows, few in ((10_000, intervals.LOOKUP_ROWS), (300, 0)):
+        monkeypatch.setattr(intervals, "LOOKUP_ROWS", few)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        try:
+            got = intervals.interval_join(p, s, "ts", "a", "b")
+            assert got.columns == ["id", "ts", "note", "row", "a", "b", "dst"]
+            assert all((r.note == "hot") == (5000 <= r.id < 9999) and r.dst == -r.row for r in got.filter("id % 5 = 0").collect())
+            found = [(r.id, r.row) for r in got.select("id", "row").collect()]
+            assert sorted(found) == pairs
+            path = str(tmp_path / f"pairs{rows}")
+            got.select("id", "ts", "row", "dst").write.parquet(path)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        size = sum(f.stat().st_size for f in (tmp_path / f"pairs{rows}").glob("*.parquet"))
+        if few:
+            assert size < len(pairs)
+    # Times of other types, keys and left joins keep the pair by pair way.
+    day = intervals.interval_join(p.withColumn("ts", F.to_date("ts")), s, "ts", "a", "b")
+    days = [(j, i) for j, t, _ in points for i, a, b, _ in spans if t is not None and a and b and a <= T <= b]
+    assert sorted((r.id, r.row) for r in day.collect()) == sorted(days)
+    left = intervals.interval_join(p, s, "ts", "a", "b", how="left")
+    assert left.filter("row IS NOT NULL").count() == len(pairs)
