@@ -6,9 +6,15 @@ hour (and source, rule or object) with conditional counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+import os
+import struct
+import uuid
+import zlib
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values -- event types.
@@ -183,6 +189,84 @@ def propagation_events(positions: DataFrame, ts: str = "timestamp") -> DataFrame
         "altitude_km": F.col("altitude_km")})
 
 
+# What Spark calls the folder of a null or empty key, and what it escapes in names.
+_NO_KEY = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = str.maketrans({c: f"%{ord(c):02X}" for c in [*map(chr, range(1, 0x20)), *"\"#%'*/:=?\\\x7f{[]^"]})
+# Bytes of a file that Hadoop's local file system keeps one check sum for.
+_SUMMED = 512
+
+
+def _sums(data: bytes) -> bytes:
+    return b"".join(struct.pack(">I", zlib.crc32(data[i:i + _SUMMED])) for i in range(0, len(data), _SUMMED))
+
+
+class _Folders:
+    """Lines of a task, one file per folder, each put in place once it is whole,
+    with the check sums Hadoop's local file system keeps beside its files."""
+
+    def __init__(self, root: str, name: str):
+        self.root, self.name, self.files = root, name, 0
+        self.hidden = os.path.join(root, "_temporary", uuid.uuid4().hex)
+        self.folder: str | None = None
+
+    def write(self, folder: str, lines: bytes) -> None:
+        if folder != self.folder:
+            self.close()
+            if not self.files:
+                os.makedirs(os.path.dirname(self.hidden), exist_ok=True)
+            self.folder, self.file = folder, open(self.hidden, "wb")
+            self.sums, self.rest = bytearray(b"crc\0" + struct.pack(">i", _SUMMED)), b""
+        self.file.write(lines)
+        due = self.rest + lines
+        whole = len(due) - len(due) % _SUMMED
+        self.sums += _sums(due[:whole])
+        self.rest = due[whole:]
+
+    def close(self) -> None:
+        if self.folder is None:
+            return
+        self.sums += _sums(self.rest)
+        self.file.close()
+        place = os.path.join(self.root, self.folder)
+        os.makedirs(place, exist_ok=True)
+        with open(os.path.join(place, f".{self.name}.crc"), "wb") as f:
+            f.write(self.sums)
+        os.replace(self.hidden, os.path.join(place, self.name))
+        self.folder = None
+        self.files += 1
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _write_folders(dealt: DataFrame, root: str, parts: list[str]) -> None:
+    """JSON lines in folders below a local or mounted one, laid out as Spark's
+    writer does it, which starts a process of its own for the rights of each file.
+    A task that runs again writes the same lines under the same names."""
+    texts = [_quoted(c).cast("string") for c in parts]
+    keys = [F.when(t.isNull() | (t == ""), _NO_KEY).otherwise(t).alias(f"k{i}") for i, t in enumerate(texts)]
+    line = F.to_json(F.struct(*[_quoted(c) for c in dealt.columns if c not in parts])).alias("line")
+    own, names = uuid.uuid4().hex, [c.translate(_ESCAPED) for c in parts]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = _Folders(root, f"part-{TaskContext.get().partitionId():05d}-{own}.json")
+        for batch in batches:
+            *found, lines = (c.to_pylist() for c in batch.columns)
+            keyed = list(zip(*found))
+            begin = 0
+            for i in range(1, len(lines) + 1):
+                if i == len(lines) or keyed[i] != keyed[begin]:
+                    folder = "/".join(f"{n}={k.translate(_ESCAPED)}" for n, k in zip(names, keyed[begin]))
+                    folders.write(folder, "".join(f"{x}\n" for x in lines[begin:i]).encode())
+                    begin = i
+        folders.close()
+        yield pa.RecordBatch.from_arrays([pa.array([folders.files], pa.int64())], names=["files"])
+
+    rows = dealt.select(*keys, line)
+    rows.sortWithinPartitions(*rows.columns).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 def export_json(df: DataFrame, path: str, parts: list[str]) -> None:
     """Rows as JSON lines in one folder per key, e.g. per session or hour.
 
@@ -193,10 +277,38 @@ def export_json(df: DataFrame, path: str, parts: list[str]) -> None:
     """
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = not system.exists(target)
     dealt = df.repartitionByRange(tasks, *parts, *[c for c in df.columns if c not in parts and c.endswith("_id")][:1])
+    if fresh and system.getScheme() == "file" and len(df.columns) > len(parts):
+        root = system.makeQualified(target)
+        hidden = hadoop.Path(root, "_temporary")
+        system.mkdirs(root)
+        try:
+            _write_folders(dealt, root.toUri().getPath(), parts)
+        finally:
+            system.delete(hidden, True)
+        system.create(hadoop.Path(root, "_SUCCESS")).close()
+        return
     writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "static" if fresh else "dynamic")
     if fresh:
         writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     writer.partitionBy(*parts).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of such an export, by the columns of their lines. Its folders are listed
+    by as many tasks as wrote them, where Spark left to itself takes a task for each,
+    up to ten thousand, and the driver reads no keys out of their names."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

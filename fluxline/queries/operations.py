@@ -429,7 +429,7 @@ def mission_critical(spark, sf_dir):
     f = flags(spark, sf_dir).withColumnRenamed("user_id", "session_id")
     path = scratch_path(spark, "documents")
     sessions.write_documents(_summary(spark, sf_dir), f.withColumn("at", F.col("ts").cast("string")).drop("ts"), path)
-    return spark.read.schema("session_id bigint, event_id bigint, rule_id string").json(f"{path}/critical").select(
+    return reports.read_json(spark, f"{path}/critical", "session_id bigint, event_id bigint, rule_id string").select(
         "session_id", "event_id", "rule_id")
 
 

@@ -512,3 +512,63 @@ def test_export_json_spreads_many_folders_and_replaces_only_its_own(spark, tmp_p
     reports.export_json(rows.filter("session = 's3'").withColumn("v", F.lit(2)), path, ["session"])
     assert sorted((r.session, r.v) for r in spark.read.json(path).collect()) == sorted(
         (f"s{i}", 2 if i == 3 else 1) for i in range(40))
+
+
+def test_export_json_writes_what_sparks_writer_does(spark, tmp_path):
+    """Folders, lines, check sums and marks, whatever the keys; a process per file
+    for its rights is what made many folders slow."""
+    import glob
+    import os
+
+    names = ["a", "b c", "x/y=z", "100%", "{[^]}", "u\t", None, "a:b\\c", "'\"#*?"]
+    rows = [(n, 1.5 if i % 2 else None, T if i % 3 else None, i, None if i % 4 else "line\n\"ü" + "x" * (700 * i))
+            for i, n in enumerate(names * 3)]
+    rows += [("hot", 0.1, T, i, "v" * 40) for i in range(2000)]
+    df = spark.createDataFrame(rows, "name string, v double, at timestamp, row_id bigint, `a.b` string").withColumn("day", F.to_date("at"))
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    reports.export_json(df, ours, ["name", "day"])
+    df.write.partitionBy("name", "day").json(theirs)
+
+    def lines(root):
+        found = {}
+        for f in glob.glob(f"{glob.escape(root)}/*/*/part-*.json"):
+            found.setdefault(os.path.dirname(f)[len(root):], []).extend(open(f, encoding="utf-8").read().split("\n")[:-1])
+        return {k: sorted(v) for k, v in found.items()}
+
+    assert lines(ours) == lines(theirs) and len(lines(ours)) > 9
+    assert sorted(os.listdir(ours)) == sorted(os.listdir(theirs))
+    for f in glob.glob(f"{ours}/*/*/part-*.json"):
+        crc = open(os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc"), "rb").read()
+        assert crc == b"crc\0\0\0\2\0" + reports._sums(open(f, "rb").read())
+    schema = "v double, at timestamp, row_id bigint, `a.b` string"
+    back = reports.read_json(spark, ours, schema).select("row_id", "v", "at", "`a.b`")
+    assert sorted(back.collect(), key=str) == sorted(df.select("row_id", "v", "at", "`a.b`").collect(), key=str)
+    # A sum that does not fit is noticed by the reader.
+    crc = glob.glob(f"{ours}/name=a/*/.part-*.crc")[0]
+    broken = bytearray(open(crc, "rb").read())
+    broken[8] ^= 1
+    open(crc, "wb").write(broken)
+    with pytest.raises(Exception, match="(?i)checksum"):
+        reports.read_json(spark, ours, schema).select("row_id").collect()
+    # Keys that share a folder: Spark's writer makes it twice in one task and fails.
+    reports.export_json(spark.createDataFrame([("", 1), (None, 2), ("__HIVE_DEFAULT_PARTITION__", 3)], "name string, row_id long"),
+                        str(tmp_path / "shared"), ["name"])
+    assert reports.read_json(spark, str(tmp_path / "shared"), "row_id long").agg(F.sum("row_id")).first()[0] == 6
+    reports.export_json(df.where("false"), str(tmp_path / "none"), ["name"])
+    assert os.path.exists(tmp_path / "none/_SUCCESS") and reports.read_json(spark, str(tmp_path / "none"), schema).count() == 0
+
+
+def test_folders_of_an_export_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.range(60).select(F.concat(F.lit("s"), "id").alias("session"), F.col("id").alias("row_id"))
+    path = str(tmp_path / "many")
+    reports.export_json(rows, path, ["session"])
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        assert reports.read_json(spark, path, "row_id bigint").count() == 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 8 and spark.conf.get(key, None) == before
